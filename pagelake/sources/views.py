@@ -83,6 +83,22 @@ def v_edges_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("src", ((F.col("src") * 2 + F.col("k")) % 25).alias("dst")))
 
 
+def v_category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored categories: one per part (name unique), keywords = name words."""
+    p = read_table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("category_id"),
+                    F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")).alias("name"),
+                    F.col("p_type").alias("description"),
+                    F.split(F.col("p_name"), " ").alias("keywords"),
+                    (F.col("p_size") % 4 != 0).alias("is_active"))
+
+
+def v_result_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result -> category bridge (M:N): orders' parts."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("result_id"), F.col("l_partkey").alias("category_id")).distinct()
+
+
 # Portable SQL of the same views, used by the DuckDB oracle as CTEs.
 VIEW_SQL = {
     "v_pages": "SELECT page_id, url, html, 200 AS http_status FROM pages",
@@ -101,6 +117,9 @@ VIEW_SQL = {
                   "event_type AS content_key, ts AS created_at FROM events"),
     "v_history": ("SELECT doc_id AS result_id, source AS url, text, "
                   "CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS seq FROM documents"),
+    "v_category_table": ("SELECT p_partkey AS category_id, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS name, "
+                         "p_type AS description, string_split(p_name, ' ') AS keywords, (p_size % 4 <> 0) AS is_active FROM part"),
+    "v_result_categories": "SELECT DISTINCT l_orderkey AS result_id, l_partkey AS category_id FROM lineitem",
     "v_edges_nation": ("SELECT n_nationkey AS src, (n_nationkey * 2 + k.k) % 25 AS dst FROM nation "
                        "CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k"),
 }
