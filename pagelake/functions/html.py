@@ -94,9 +94,9 @@ def hrefs(html) -> Column:
 # ---------------------------------------------------------------------------
 def sql_entity_decode(s: str) -> str:
     dec = (f"list_reduce(list_prepend({s}, list_distinct(regexp_extract_all({s}, '&#([0-9]{{1,7}});', 1))), "
-           f"lambda acc, n: replace(acc, '&#' || n || ';', chr(CAST(n AS INTEGER))))")
+           f"lambda acc, nn: replace(acc, '&#' || nn || ';', chr(CAST(nn AS INTEGER))))")
     hexd = (f"list_reduce(list_prepend({dec}, list_distinct(regexp_extract_all({dec}, '&#[xX]([0-9a-fA-F]{{1,6}});', 1))), "
-            f"lambda acc, n: replace(acc, '&#x' || n || ';', chr(CAST('0x' || n AS INTEGER))))")
+            f"lambda acc, nx: replace(acc, '&#x' || nx || ';', chr(CAST('0x' || nx AS INTEGER))))")
     out = f"CASE WHEN contains({s}, '&#') THEN {hexd} ELSE {s} END"
     for ent, ch in NAMED_ENTITIES:
         out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
