@@ -49,3 +49,22 @@ def running_sum_skew_safe(df: DataFrame, keys: list[str], order_cols: list[str],
     return (df.join(offs, [*keys, bucket_col], "inner")
             .withColumn(out, F.sum(value_col).over(wb) + F.col("_off"))
             .drop("_off"))
+
+
+def lag_skew_safe(df: DataFrame, keys: list[str], order_cols: list[str], bucket_col: str,
+                  cols: list[str], prefix: str = "prev_") -> DataFrame:
+    """``lag(c) over (partition by keys order by order_cols)`` for each c in
+    ``cols``, computed per (keys, bucket) plus a hand-over of the previous
+    bucket's last row (a max_by aggregate and a window over bucket summaries)."""
+    w = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols)
+    d = df.withColumn("_rn_b", F.row_number().over(w))
+    for c in cols:
+        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    last = df.groupBy(*keys, bucket_col).agg(
+        F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_last"))
+    wk = Window.partitionBy(*keys).orderBy(bucket_col)
+    hand = last.select(*keys, bucket_col, F.lag("_last").over(wk).alias("_pl"))
+    d = d.join(hand, [*keys, bucket_col], "inner")
+    for c in cols:
+        d = d.withColumn(prefix + c, F.when(F.col("_rn_b") == 1, F.col("_pl")[c]).otherwise(F.col(prefix + c)))
+    return d.drop("_rn_b", "_pl")
