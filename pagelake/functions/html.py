@@ -30,8 +30,10 @@ SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HREF_RE = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-# Python's str.strip() also removes the no-break space that &nbsp; decodes to.
-PYSTRIP_RE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
+# Python's str.strip()/split() and re's \s also treat these Unicode spaces as
+# whitespace (the no-break space is what &nbsp; decodes to).
+WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
+PYSTRIP_RE = "^" + WS + "+|" + WS + "+$"
 
 
 def _c(x) -> Column:

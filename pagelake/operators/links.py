@@ -34,7 +34,10 @@ def extract_links(pages: DataFrame, rules: list[dict] | None = None,
 
     ``seen`` (a column ``link``) drops already known URLs; positions are
     counted before that anti join, as the seen test happens per link."""
-    out = pages.select("page_id", "url", F.posexplode(kept_links("html", "url", rules, cfg)).alias("pos", "link"))
+    # posexplode_outer: no inferred size(links) > 0 filter evaluating the link
+    # pipeline a second time below the projection
+    out = pages.select("page_id", "url", F.posexplode_outer(kept_links("html", "url", rules, cfg)).alias("pos", "link")) \
+        .where(F.col("link").isNotNull())
     if seen is not None:
         out = out.join(seen.select("link").distinct(), "link", "left_anti")
     return out.select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), "link")

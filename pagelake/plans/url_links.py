@@ -35,8 +35,8 @@ SQL_RAW_HREFS = (f"SELECT page_id, url, CAST(p - 1 AS BIGINT) AS pos, href FROM
 
 def raw_hrefs(spark, d):
     p = read_table(spark, d, "pages")
-    return p.select("page_id", "url", F.posexplode(H.hrefs(H.strip_raw_text("html"))).alias("pos", "href")) \
-            .withColumn("pos", F.col("pos").cast("bigint"))
+    return p.select("page_id", "url", F.posexplode_outer(H.hrefs(H.strip_raw_text("html"))).alias("pos", "href")) \
+            .where(F.col("href").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _links_sql(cfg: EngineConfig, rules=None) -> str:

@@ -35,6 +35,7 @@ def get_spark(master: str | None = None, app: str = "pagelake",
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     b = b.config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.showConsoleProgress", "false")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
