@@ -68,3 +68,13 @@ def lag_skew_safe(df: DataFrame, keys: list[str], order_cols: list[str], bucket_
     for c in cols:
         d = d.withColumn(prefix + c, F.when(F.col("_rn_b") == 1, F.col("_pl")[c]).otherwise(F.col(prefix + c)))
     return d.drop("_rn_b", "_pl")
+
+
+def row_barrier(df: DataFrame) -> DataFrame:
+    """Same rows and columns, evaluated once: the row is emitted through a
+    one-element ``inline_outer`` generator. Filters on derived columns above
+    it reference generator output, so Catalyst cannot push them below the
+    projections (which would re-evaluate large per-row expressions inside
+    the pushed predicate)."""
+    cols = df.columns
+    return df.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
