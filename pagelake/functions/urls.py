@@ -134,8 +134,8 @@ def add_url_join(df, base: str, href: str, out: str, normalize: bool = False):
 
 
 def url_normalize(href, base) -> Column:
-    """U3 as a single expression (for a column of absolute URLs; use
-    ``add_url_join`` / ``normalize_array`` for bulk hrefs)."""
+    """U3 as a single expression. Its tree repeats the parse per field, so
+    prefer ``add_url_join`` (staged columns) or ``normalize_array``."""
     h = _c(href)
     return normalize_joined(h, join_from(url_parse(h), url_parse(base)))
 

@@ -65,8 +65,11 @@ def links_per_host(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def link_graph(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """G1: distinct (src_url, dst_url) edges; the source is the page's own
     normalised URL."""
+    from ..plans.windows import row_barrier
     l = add_url_join(extract_links(pages, cfg=cfg), "url", "url", "src_url", normalize=True)
-    return (l.select("src_url", F.col("link").alias("dst_url"))
+    # barrier: the NOT NULL test must not be pushed (with the normalisation
+    # substituted into it) below the staged projections
+    return (row_barrier(l.select("src_url", F.col("link").alias("dst_url")))
             .where(F.col("src_url").isNotNull())
             .distinct())
 
