@@ -259,10 +259,13 @@ def with_pieces(df: DataFrame, src: str, col: str = "_P") -> DataFrame:
 CONTAINERS = ["div", "td", "section", "blockquote", "ul", "ol", "article", "pre", "li", "header", "footer"]
 
 
-def with_elements(df: DataFrame, html_col: str = "html", cfg: EngineConfig = DEFAULT) -> DataFrame:
+def with_elements(df: DataFrame, html_col: str = "html", cfg: EngineConfig = DEFAULT,
+                  main_only: bool = True) -> DataFrame:
     """Stage the per-row element model on ``_P``: span ends, span text, pass-2
-    code verdicts; and ``_code_spans``."""
-    df = df.withColumn("_main", clean_main(F.col(html_col), cfg))
+    code verdicts; and ``_code_spans``. ``main_only=False`` models the whole
+    page (comments, scripts and styles removed)."""
+    src = clean_main(F.col(html_col), cfg) if main_only else strip_raw_text(F.col(html_col))
+    df = df.withColumn("_main", src)
     df = with_pieces(df, "_main")
     df = df.withColumn("_K", F.transform("_P", lambda p: p["key"]))
     n = F.size(F.col("_P"))

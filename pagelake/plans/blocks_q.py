@@ -114,8 +114,8 @@ def sql_clean_main(h: str) -> str:
 MARK_RE_SQL = q(B.MARK_RE)
 CONT = ", ".join(f"'{t}'" for t in B.CONTAINERS)
 
-SQL_PIECES = f"""
-m AS MATERIALIZED (SELECT page_id, html, {sql_clean_main('html')} AS main FROM pages WHERE {STRIP('html')} <> ''),
+SQL_PIECES_T = f"""
+m AS MATERIALIZED (SELECT page_id, html, {{MAIN}} AS main FROM pages WHERE {{NONBLANK}} <> ''),
 pc AS (SELECT page_id, main, string_split(regexp_replace(main, '{MARK_RE_SQL}', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM m),
 p0 AS (SELECT page_id, main, len(parts) AS n, CAST(i - 1 AS INTEGER) AS idx, raw,
        CASE WHEN i = 1 THEN '' ELSE lower(regexp_extract(raw, '^<(/?[a-zA-Z0-9]+)', 1)) END AS key,
@@ -142,8 +142,12 @@ p9 AS MATERIALIZED (SELECT *, {sql_word_count('ptxt')} AS w, CASE WHEN NOT has_t
 """
 
 
-def with_pieces_sql(select: str) -> str:
-    return "WITH " + SQL_PIECES.strip() + " " + select
+SQL_PIECES = SQL_PIECES_T.replace("{MAIN}", sql_clean_main('html')).replace("{NONBLANK}", STRIP('html'))
+SQL_PIECES_PAGE = SQL_PIECES_T.replace("{MAIN}", H.sql_strip_raw_text('html')).replace("{NONBLANK}", STRIP('html'))
+
+
+def with_pieces_sql(select: str, whole_page: bool = False) -> str:
+    return "WITH " + (SQL_PIECES_PAGE if whole_page else SQL_PIECES).strip() + " " + select
 
 
 GATE = (f"NOT (w < {CFG.min_block_words} AND tag <> 'blockquote' AND w < {B.MIN_PARAGRAPH_WORDS_HARD}) AND "
@@ -382,3 +386,17 @@ def q_extract_blocks(spark, d):
 @register("block_type_counts")
 def q_block_type_counts(spark, d):
     return B.block_type_counts(_blocks(spark, d))
+
+
+@register("range_containment", sql=with_pieces_sql(
+    "SELECT page_id, idx, tag, CAST(len(span_frags) AS INTEGER) AS n_text, e - idx AS n_pieces FROM p9 "
+    "WHERE cont", whole_page=True))
+def q_range_containment(spark, d):
+    """Text fragments contained in each element span -- computed in the
+    page's row from the span bounds (no page_id x range pair join)."""
+    e = B.with_elements(pages(spark, d).where(H.pystrip(F.col("html")) != ""), "html", CFG, main_only=False)
+    x = e.select("page_id", F.inline_outer(F.transform("_P", lambda p: F.struct(
+        p["idx"].alias("idx"), p["tag"].alias("tag"), p["key"].alias("key"), F.size(p["span_frags"]).alias("n_text"),
+        (p["end"] - p["idx"]).alias("n_pieces")))))
+    return x.where(F.col("idx").isNotNull() & F.col("tag").isin(*B.CONTAINERS) & ~F.col("key").startswith("/")) \
+        .select("page_id", "idx", "tag", "n_text", "n_pieces")

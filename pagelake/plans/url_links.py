@@ -149,3 +149,36 @@ def q_link_counts(spark, d):
     f"SELECT DISTINCT {U.sql_normalize('url', 'url')} AS src_url, link AS dst_url FROM ({_links_sql(EngineConfig())})"))
 def q_link_graph(spark, d):
     return L.link_graph(read_table(spark, d, "pages"))
+
+
+# ---- J8: rules held in a table, matched per job ------------------------------
+def _rules_table(spark, d):
+    """Per-page (job) rules derived from the page id: three rule sets and no
+    rules at all for every fourth page."""
+    p = read_table(spark, d, "pages").select(F.col("page_id").alias("job_id"))
+    k = F.col("job_id") % 4
+    rules = (F.when(k == 0, F.array(F.struct(F.lit("contains").alias("type"), F.lit("/the").alias("pattern"))))
+             .when(k == 1, F.array(F.struct(F.lit("domain").alias("type"), F.lit("example.net").alias("pattern")),
+                                   F.struct(F.lit("regex").alias("type"), F.lit("^https://blog").alias("pattern"))))
+             .when(k == 2, F.array(F.struct(F.lit("ENDS_WITH").alias("type"), F.lit("s").alias("pattern")),
+                                   F.struct(F.lit("regex").alias("type"), F.lit("(bad").alias("pattern")))))
+    return p.select("job_id", F.explode_outer(rules).alias("r")).where(F.col("r").isNotNull()).select("job_id", "r.type", "r.pattern")
+
+
+SQL_RULES_T = ("SELECT job_id, r.type AS type, r.pattern AS pattern FROM (SELECT page_id AS job_id, unnest(CASE page_id % 4 "
+               "WHEN 0 THEN [{'type': 'contains', 'pattern': '/the'}] WHEN 1 THEN [{'type': 'domain', 'pattern': 'example.net'}, "
+               "{'type': 'regex', 'pattern': '^https://blog'}] WHEN 2 THEN [{'type': 'ENDS_WITH', 'pattern': 's'}, "
+               "{'type': 'regex', 'pattern': '(bad'}] END) AS r FROM pages)")
+
+
+@register("theta_rule_match", sql=(
+    f"WITH l AS (SELECT page_id AS job_id, link FROM ({_links_sql(EngineConfig())})), rt AS ({SQL_RULES_T}) "
+    f"SELECT job_id, link FROM l WHERE job_id NOT IN (SELECT job_id FROM rt) OR EXISTS (SELECT 1 FROM rt WHERE rt.job_id = l.job_id AND ("
+    f"(lower(rt.type) = 'contains' AND contains(lower(l.link), lower(rt.pattern))) OR "
+    f"(lower(rt.type) = 'starts_with' AND starts_with(lower(l.link), lower(rt.pattern))) OR "
+    f"(lower(rt.type) = 'ends_with' AND ends_with(lower(l.link), lower(rt.pattern))) OR "
+    f"(lower(rt.type) = 'domain' AND ({U.sql_domain('lower(l.link)')} = lower(rt.pattern) OR ends_with({U.sql_domain('lower(l.link)')}, '.' || lower(rt.pattern)))) OR "
+    f"(lower(rt.type) = 'regex' AND rt.pattern <> '(bad' AND regexp_matches(lower(l.link), rt.pattern, 'i'))))"))
+def q_theta_rule_match(spark, d):
+    links = L.extract_links(read_table(spark, d, "pages")).select(F.col("page_id").alias("job_id"), "link")
+    return L.match_rules_table(links, _rules_table(spark, d)).select("job_id", "link")
