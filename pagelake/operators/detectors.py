@@ -192,8 +192,14 @@ def js_detect(html, headers=None, n_blocks=None, cfg: EngineConfig = DEFAULT) ->
     sig.append((F.when(dv, 2), F.when(dv, F.lit("vue:data-v-attr(+2)"))))
     ang = _first_contained(raw, ANGULAR)
     sig.append((F.when(ang.isNotNull(), 2), F.when(ang.isNotNull(), F.concat(F.lit("angular:"), ang, F.lit("(+2)")))))
-    blen = _text_len(body_region(raw), 1)
-    thin = blen < MIN_BODY_TEXT_CHARS
+    region = body_region(raw)
+    # Letters and digits outside tags and entities survive decoding and
+    # stripping, so they bound the body text length from below: long bodies
+    # skip the exact (per-fragment decode) length.
+    lower_bound = F.length(F.regexp_replace(F.regexp_replace(region, r"<[^>]*>|&[#a-zA-Z0-9]+;", ""),
+                                            r"[^\p{L}\p{N}]", ""))
+    blen = _text_len(region, 1)
+    thin = F.when(lower_bound >= MIN_BODY_TEXT_CHARS, F.lit(False)).otherwise(blen < MIN_BODY_TEXT_CHARS)
     sig.append((F.when(thin, 2), F.when(thin, F.concat(F.lit("thin_body:"), blen.cast("string"), F.lit("chars(+2)")))))
     if headers is not None:
         hd = F.col(headers) if isinstance(headers, str) else headers

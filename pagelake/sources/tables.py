@@ -21,9 +21,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Tables whose rows carry long text and are processed per row (html, prose).
+TEXT_TABLES = {"pages", "documents", "conversations"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a text table over the cores when its scan yields fewer splits
+    than the default parallelism (a small single-file table). Per-row html /
+    text work is CPU-bound; on a cluster the scan already has thousands of
+    splits and this is a no-op (no shuffle added)."""
+    sc = df.sparkSession.sparkContext
+    n = df.rdd.getNumPartitions()
+    return df.repartition(sc.defaultParallelism) if n < sc.defaultParallelism else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stored table, schema taken from the parquet footer."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
