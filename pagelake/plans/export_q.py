@@ -24,7 +24,8 @@ def results(spark, d):
     r = t.select(F.col("doc_id").alias("result_id"), F.col("source").alias("job_id"), F.col("source").alias("url"),
                  F.lit(200).alias("http_status"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("page_title"),
                  c.alias("content"), F.lit(None).cast("string").alias("error"),
-                 F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 37500000).alias("created_at"))
+                 (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+                  + F.make_dt_interval(secs=(F.col("doc_id") * 37.5).cast("decimal(18,6)"))).alias("created_at"))
     return r.withColumn("content_length", content_length(F.col("content"))) \
             .withColumn("content_hash", content_hash(F.col("content")))
 

@@ -142,7 +142,9 @@ def stream_volume(spark, sf_dir: str) -> DataFrame:
     e = read_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("created_at"))
     s = e.withWatermark("created_at", "2 days").groupBy(F.window("created_at", "1 day")).agg(
         F.count(F.lit(1)).alias("count"))
-    s = s.select(F.to_date(F.col("window.start")).alias("date"), "count")
+    # epoch-day of the window start: independent of the session time zone
+    s = s.select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int")).alias("date"),
+                 "count")
     return latest_per_key(run(s, "volume", mode="update", batch_fn=_append_batch), ["date"])
 
 
