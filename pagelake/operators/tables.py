@@ -72,12 +72,13 @@ def delete_category_guarded(categories: DataFrame, bridge: DataFrame, requests:
     return r.select("category_id", "name", "usage_count", outcome.alias("outcome"))
 
 
-def replace_assignments(bridge: DataFrame, new_sets: DataFrame) -> DataFrame:
-    """Per result in ``new_sets`` (result_id, category_ids array) drop all
-    old links and insert the new ones; an empty array clears."""
-    kept = bridge.join(new_sets.select("result_id"), "result_id", "left_anti")
-    added = new_sets.select("result_id", F.explode("category_ids").alias("category_id")).distinct()
-    return kept.unionByName(added)
+def replace_assignments(bridge: DataFrame, changed: DataFrame, new_links: DataFrame) -> DataFrame:
+    """For every result in ``changed`` (result_id) drop all old links and
+    insert its rows of ``new_links`` (result_id, category_id); a changed
+    result without new rows is cleared. Rows, not per-result arrays, so no
+    result's set is ever gathered into one row."""
+    kept = bridge.join(changed.select("result_id").distinct(), "result_id", "left_anti")
+    return kept.unionByName(new_links.select("result_id", "category_id").distinct())
 
 
 def get_or_create_categories(existing: DataFrame, labels: DataFrame) -> DataFrame:
