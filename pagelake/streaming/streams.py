@@ -50,18 +50,25 @@ def run(sdf: DataFrame, name: str, mode: str = "append", batch_fn=None) -> DataF
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(out)
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # noqa: BLE001 -- no batch produced any row: empty result
+        schema = sdf.schema if batch_fn is None else sdf.schema.add("batch_id", "long")
+        return spark.createDataFrame([], schema)
 
 
-def _append_batch(df: DataFrame, bid: int, out: str) -> None:
-    df.withColumn("_batch", F.lit(bid)).write.mode("append").parquet(out)
+def write_batch(df: DataFrame, bid: int, out: str) -> None:
+    """Idempotent micro-batch write: batch ``bid`` owns the folder
+    ``batch_id=<bid>`` and overwrites it, so a batch replayed after a failure
+    replaces its own output instead of duplicating it."""
+    df.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={bid}"))
 
 
 def latest_per_key(sink: DataFrame, keys: list[str]) -> DataFrame:
-    """Collapse an upsert log (rows tagged with ``_batch``) to the newest row
-    per key -- an aggregate, partial per task."""
-    vals = [c for c in sink.columns if c not in keys and c != "_batch"]
-    return sink.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_v")).select(*keys, "_v.*")
+    """Collapse an upsert log (rows tagged with ``batch_id``) to the newest
+    row per key -- an aggregate, partial per task."""
+    vals = [c for c in sink.columns if c not in keys and c != "batch_id"]
+    return sink.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
 def logs_stream(spark, sf_dir: str) -> DataFrame:
@@ -78,8 +85,8 @@ def stream_log_tail(spark, sf_dir: str, job_id: int) -> DataFrame:
     s = logs_stream(spark, sf_dir).where(F.col("job_id") == job_id)
 
     def fb(df, bid, out):
-        df.orderBy("created_at", "log_id").withColumn("_batch", F.lit(bid)).write.mode("append").parquet(out)
-    return run(s, "log_tail", batch_fn=fb).drop("_batch")
+        write_batch(df.orderBy("created_at", "log_id"), bid, out)
+    return run(s, "log_tail", batch_fn=fb).drop("batch_id")
 
 
 def stream_job_status(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +94,7 @@ def stream_job_status(spark, sf_dir: str) -> DataFrame:
     s = logs_stream(spark, sf_dir).groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "error").alias("errors"),
         F.max("created_at").alias("last_at"))
-    return latest_per_key(run(s, "job_status", mode="update", batch_fn=_append_batch), ["job_id"])
+    return latest_per_key(run(s, "job_status", mode="update", batch_fn=write_batch), ["job_id"])
 
 
 def stream_job_finished(spark, sf_dir: str) -> DataFrame:
@@ -145,7 +152,7 @@ def stream_volume(spark, sf_dir: str) -> DataFrame:
     # epoch-day of the window start: independent of the session time zone
     s = s.select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int")).alias("date"),
                  "count")
-    return latest_per_key(run(s, "volume", mode="update", batch_fn=_append_batch), ["date"])
+    return latest_per_key(run(s, "volume", mode="update", batch_fn=write_batch), ["date"])
 
 
 def stream_extract(spark, sf_dir: str) -> DataFrame:
