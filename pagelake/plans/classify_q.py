@@ -306,7 +306,20 @@ def q_llm_json_extract(spark, d):
     return r.select("conv_id", "turn", C.llm_json_extract(F.col("resp")).alias("obj"))
 
 
-@register("llm_parse_labels")
+SQL_CANON = "CASE lower(" + STRIP("lb") + ") " + " ".join(f"WHEN '{x.lower()}' THEN '{x}'" for x in LABELS) + " END"
+SQL_PARSE = (
+    "SELECT conv_id, turn, CASE WHEN bad THEN '' ELSE array_to_string(list_transform(srt, lambda z: z.l), '|') END AS labels, "
+    "CASE WHEN bad THEN '' ELSE array_to_string(list_transform(srt, lambda z: CAST(z.s AS VARCHAR)), '|') END AS scores, "
+    "CASE WHEN bad THEN NULL ELSE srt[1].l END AS primary_label, CASE WHEN bad THEN 'no_json' END AS error FROM ("
+    "SELECT *, list_sort(list_transform(list_filter(pairs, lambda z: z.l IS NOT NULL), "
+    "lambda z: {'neg': -z.s, 'i': z.i, 'l': z.l, 's': z.s})) AS srt FROM ("
+    f"SELECT *, list_transform(p.labels, lambda lb, i: {{'l': {SQL_CANON}, 's': greatest(0.0, least(1.0, CASE WHEN i <= len(p.scores) "
+    "THEN coalesce(TRY_CAST(p.scores[i] AS DOUBLE), 1.0) ELSE 1.0 END)), 'i': i}) AS pairs FROM ("
+    "SELECT *, obj IS NULL OR p IS NULL OR p.labels IS NULL AS bad FROM (SELECT conv_id, turn, obj, "
+    "json_transform(obj, '{\"labels\": [\"VARCHAR\"], \"scores\": [\"VARCHAR\"]}') AS p FROM (" + SQL_EXTRACT + ")))))")
+
+
+@register("llm_parse_labels", sql=SQL_PARSE)
 def q_llm_parse_labels(spark, d):
     r = _responses(spark, d).withColumn("obj", C.llm_json_extract(F.col("resp")))
     p = r.withColumn("res", C.llm_parse_labels(F.col("obj"), LABELS))
