@@ -158,7 +158,7 @@ GATE = (f"NOT (w < {CFG.min_block_words} AND tag <> 'blockquote' AND w < {B.MIN_
 @register("html_tokens", sql=(
     "SELECT page_id, CAST(p - 1 AS BIGINT) AS pos, CASE WHEN starts_with(t, '</') THEN 'close' WHEN starts_with(t, '<!') "
     "OR starts_with(t, '<?') THEN 'other' WHEN starts_with(t, '<') THEN 'open' ELSE 'text' END AS kind, "
-    "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, length(t) AS len FROM ("
+    "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, CAST(length(t) AS INTEGER) AS len FROM ("
     f"SELECT page_id, unnest(tk) AS t, generate_subscripts(tk, 1) AS p FROM (SELECT page_id, "
     f"regexp_extract_all({H.sql_strip_raw_text('html')}, '<[^>]*>|[^<]+') AS tk FROM pages))"))
 def q_html_tokens(spark, d):
@@ -187,30 +187,30 @@ def q_page_title(spark, d):
     return pages(spark, d).select("page_id", H.page_title("html").alias("title"))
 
 
-@register("main_content", sql=f"SELECT page_id, length({sql_main('html')}) AS main_chars, md5({sql_main('html')}) AS main_md5 FROM pages")
+@register("main_content", sql=f"SELECT page_id, CAST(length({sql_main('html')}) AS INTEGER) AS main_chars, md5({sql_main('html')}) AS main_md5 FROM pages")
 def q_main_content(spark, d):
     m = pages(spark, d).select("page_id", B.main_content(H.strip_raw_text("html")).alias("m"))
     return m.select("page_id", F.length("m").alias("main_chars"), F.md5("m").alias("main_md5"))
 
 
-@register("strip_tags", sql=f"SELECT page_id, length({sql_strip_subtrees(H.sql_strip_raw_text('html'))}) AS chars FROM pages")
+@register("strip_tags", sql=f"SELECT page_id, CAST(length({sql_strip_subtrees(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
 def q_strip_tags(spark, d):
     return pages(spark, d).select("page_id", F.length(B.strip_subtrees(H.strip_raw_text("html"), CFG.strip_tags)).alias("chars"))
 
 
-@register("strip_classes", sql=f"SELECT page_id, length({sql_strip_classes(H.sql_strip_raw_text('html'))}) AS chars FROM pages")
+@register("strip_classes", sql=f"SELECT page_id, CAST(length({sql_strip_classes(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
 def q_strip_classes(spark, d):
     return pages(spark, d).select("page_id", F.length(B.strip_class_subtrees(H.strip_raw_text("html"), CFG.strip_classes))
                                   .alias("chars"))
 
 
-@register("strip_hidden", sql=f"SELECT page_id, length({sql_strip_hidden(H.sql_strip_raw_text('html'))}) AS chars FROM pages")
+@register("strip_hidden", sql=f"SELECT page_id, CAST(length({sql_strip_hidden(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
 def q_strip_hidden(spark, d):
     return pages(spark, d).select("page_id", F.length(B.strip_hidden(H.strip_raw_text("html"))).alias("chars"))
 
 
-@register("strip_comments", sql=("SELECT page_id, length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS chars, "
-                                 "len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS n_comments FROM pages"))
+@register("strip_comments", sql=("SELECT page_id, CAST(length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS INTEGER) AS chars, "
+                                 "CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS n_comments FROM pages"))
 def q_strip_comments(spark, d):
     return pages(spark, d).select("page_id", F.length(H.strip_comments("html")).alias("chars"),
                                   F.size(F.regexp_extract_all("html", F.lit(H.COMMENT_RE), 0)).alias("n_comments"))

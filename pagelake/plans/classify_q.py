@@ -59,7 +59,7 @@ def sql_words(t: str) -> str:
 
 def sql_kw_score(kws):
     if not kws:
-        return "0.0"
+        return "CAST(0.0 AS DOUBLE)"
     counts = []
     for k in kws:
         kl = k.lower()
@@ -78,9 +78,9 @@ def sql_kw_score(kws):
 def sql_cat_struct(i, c):
     kws = c["keywords"]
     pats = c["url_patterns"]
-    u = "0.0" if not pats else "(CASE WHEN " + " OR ".join(sql_rule("url", p["type"], p["pattern"]) for p in pats) + " THEN 1.0 ELSE 0.0 END)"
-    dm = "0.0" if not kws else ("(CASE WHEN " + " OR ".join(f"list_bool_or(list_transform(hp, lambda hx: contains(hx, '{k.lower()}')))"
-                                                             for k in kws) + " THEN 1.0 ELSE 0.0 END)")
+    u = "CAST(0.0 AS DOUBLE)" if not pats else "(CASE WHEN " + " OR ".join(sql_rule("url", p["type"], p["pattern"]) for p in pats) + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)"
+    dm = "CAST(0.0 AS DOUBLE)" if not kws else ("(CASE WHEN " + " OR ".join(f"list_bool_or(list_transform(hp, lambda hx: contains(hx, '{k.lower()}')))"
+                                                             for k in kws) + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)")
     k = sql_kw_score(kws)
     return (f"{{'neg': -({u} * {C.W_URL} + {k} * {C.W_KEYWORD} + {dm} * {C.W_DOMAIN}), 'ord': {i}, 'name': '{c['name']}', "
             f"'u': {u}, 'k': {k}, 'd': {dm}}}")
@@ -107,7 +107,7 @@ def q_flatten_text(spark, d):
 
 
 @register("score_url", sql=(f"SELECT doc_id, " + ", ".join(
-    f"(CASE WHEN {' OR '.join(sql_rule('url', p['type'], p['pattern']) for p in c['url_patterns']) or 'FALSE'} THEN 1.0 ELSE 0.0 END) AS s{i}"
+    f"(CASE WHEN {' OR '.join(sql_rule('url', p['type'], p['pattern']) for p in c['url_patterns']) or 'FALSE'} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS s{i}"
     for i, c in enumerate(CATEGORIES)) + f" FROM ({SQL_DOCS})"))
 def q_score_url(spark, d):
     t = docs(spark, d)
@@ -125,7 +125,7 @@ def q_score_keywords(spark, d):
 
 @register("score_domain", sql=(f"SELECT doc_id, " + ", ".join(
     ("(CASE WHEN " + " OR ".join(f"list_bool_or(list_transform(hp, lambda hx: contains(hx, '{k.lower()}')))" for k in c["keywords"])
-     + " THEN 1.0 ELSE 0.0 END)" if c["keywords"] else "0.0") + f" AS d{i}" for i, c in enumerate(CATEGORIES))
+     + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)" if c["keywords"] else "CAST(0.0 AS DOUBLE)") + f" AS d{i}" for i, c in enumerate(CATEGORIES))
     + f" FROM (SELECT doc_id, list_filter(regexp_split_to_array({sql_domain('lower(url)')}, '[.\\-]'), lambda s: s <> '') AS hp "
     f"FROM ({SQL_DOCS}))"))
 def q_score_domain(spark, d):
@@ -252,9 +252,9 @@ def q_llm_prompt(spark, d):
 
 
 @register("llm_request_body", sql=(
-    "SELECT conv_id, turn, to_json({'model': 'classifier', 'messages': [{'role': 'user', 'content': text}], 'temperature': 0.0, "
-    "'stream': false}) AS chat, to_json({'model': 'classifier', 'prompt': text, 'stream': false, 'options': {'temperature': 0.0}}) "
-    "AS generate FROM conversations"))
+    "SELECT conv_id, turn, CAST(to_json({'model': 'classifier', 'messages': [{'role': 'user', 'content': text}], 'temperature': 0.0, "
+    "'stream': false}) AS VARCHAR) AS chat, CAST(to_json({'model': 'classifier', 'prompt': text, 'stream': false, "
+    "'options': {'temperature': 0.0}}) AS VARCHAR) AS generate FROM conversations"))
 def q_llm_request_body(spark, d):
     t = read_table(spark, d, "conversations")
     return t.select("conv_id", "turn", C.llm_request_body(F.col("text"), "classifier", "openai_chat").alias("chat"),
