@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, langid, secrets, toxicity
+from . import html_main, langid, mixing, quality, secrets, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def crc_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string"))
 
 
+# -- 1 -----------------------------------------------------------------------------------------------------------
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                             "n_repeat_words", "base_failed", "kept")
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------
 
 @query
@@ -66,3 +76,61 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# -- 10 ----------------------------------------------------------------------------------------------------------
+
+#: Production parameters of the mix: thousandths by level; what isn't named weighs 1000.
+MIX_WEIGHTS = {"domain": {"d0": 500, "d1": 2000}, "lang": {"en": 1500, "es": 4000}, "source": {"src3": 3000, "src7": 250}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 3, 17
+
+
+def domain() -> Column:
+    """Sources are dealt to four domains by their number."""
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long") % 4).cast("string"))
+
+
+def mix_levels() -> dict[str, Column]:
+    return {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, mix_levels(), MIX_PERCENT, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return got.select("doc_id", F.col("mix.epoch").alias("epoch"), F.col("mix.n_tokens").alias("n_tokens"), F.col("mix.domain").alias("domain"), "lang", "source")
+
+
+def _mix_sql() -> str:
+    def weight(level: str) -> str:
+        return f"CASE c.{level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1000 END"
+
+    levels, parts, above = ["domain", "lang", "source"], [], None
+    for depth, level in enumerate(levels, 1):
+        at = ", ".join(f"c.{x}" for x in levels[:depth])
+        same = " AND ".join(f"c.{x} = p.{x}" for x in levels[: depth - 1])
+        total = f"(SELECT (sum(supply) * {MIX_PERCENT}) // 100 FROM caps)" if above is None else "any_value(p.budget)"
+        join = "" if above is None else f"JOIN {above} p ON {same}"
+        by = ", ".join(levels[: depth - 1]) or "1"
+        ratio = f"CASE WHEN weight > 0 THEN cap::DOUBLE / weight ELSE 'inf'::DOUBLE END, {level}"
+        parts.append(f"""n{depth} AS (SELECT {at}, sum(c.cap) AS cap, sum(c.supply) AS supply, {weight(level)} AS weight, {total} AS total FROM caps c {join} GROUP BY {at}),
+s{depth} AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {by} ORDER BY {ratio} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+ sum(weight) OVER (PARTITION BY {by} ORDER BY {ratio} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws,
+ row_number() OVER (PARTITION BY {by} ORDER BY {ratio}) AS rn FROM n{depth}),
+f{depth} AS (SELECT *, weight > 0 AND cap::HUGEINT * ws <= weight::HUGEINT * (total - used) AS filled FROM s{depth}),
+g{depth} AS (SELECT *, first_value(used) OVER w AS u0, first_value(ws) OVER w AS w0 FROM f{depth} WINDOW w AS (PARTITION BY {by}, filled ORDER BY rn)),
+b{depth} AS (SELECT {', '.join(levels[:depth])}, supply, CASE WHEN filled THEN cap ELSE least(cap, CASE WHEN w0 > 0 THEN weight::HUGEINT * greatest(total - u0, 0) // w0 ELSE 0 END) END AS budget FROM g{depth})""")
+        above = f"b{depth}"
+    return f"""WITH docs AS (SELECT doc_id, coalesce('d' || (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4)::VARCHAR, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n, md5(concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key FROM documents),
+caps AS (SELECT domain, lang, source, sum(n)::BIGINT AS supply, sum(n)::BIGINT * {MIX_EPOCHS} AS cap FROM docs GROUP BY ALL), {', '.join(parts)},
+plan AS (SELECT domain, lang, source, (budget // supply)::BIGINT AS whole, (budget % supply)::BIGINT AS rest FROM b3 WHERE budget > 0),
+o AS (SELECT d.*, whole, rest, md5(concat_ws('|', '{MIX_SEED}', (whole + 1)::VARCHAR, key)) AS ord FROM docs d JOIN plan USING (domain, lang, source)),
+t AS (SELECT *, whole + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord) <= rest THEN 1 ELSE 0 END AS epochs FROM o)
+SELECT doc_id, unnest(generate_series(1, epochs))::BIGINT AS epoch, n AS n_tokens, domain, lang, source FROM t WHERE epochs > 0"""
+
+
+ORACLE_SQL["op10_mixing"] = _mix_sql()
