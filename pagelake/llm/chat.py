@@ -46,21 +46,17 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("<|n|>"), F.lit("\n")))
 
 
-def scan(df: DataFrame, value: Column, block: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds the running total of ``value`` before each row by (conv, block..., order...): windows over blocks, and over one
-    row for each block."""
-    df = df.withColumn("_v", value)
-    sums = df.groupBy("conv", *block).agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy("conv").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_o", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
-    inside = Window.partitionBy("conv", *block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    same = df["conv"].eqNullSafe(sums["conv"])
-    for b in block:
-        same = same & df[b].eqNullSafe(sums[b])
-    return df.join(sums.select(*(F.col(c).alias(f"_r_{c}") for c in ("conv", *block)), "_o"),
-                   [F.col("conv").eqNullSafe(F.col("_r_conv")), *(F.col(b).eqNullSafe(F.col(f"_r_{b}")) for b in block)]
-                   ).withColumn(out, F.col(out) + F.col("_o")).select(*df.columns).drop("_v") if same is not None else df
+def running(df: DataFrame, value: Column, order: list[str], out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row of its ``conv``, by (block, order): a window inside each block,
+    and one over a single row for each block."""
+    df = df.withColumn(out, value)
+    sums = df.groupBy(F.col("conv").alias("_c"), F.col("block").alias("_b")).agg(F.sum(out).alias("_s"))
+    over = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_c", "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("conv", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(out, F.coalesce(F.sum(out).over(inside), F.lit(0)))
+    both = df.join(sums, F.col("conv").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b")))
+    return both.withColumn(out, F.col(out) + F.col("_o")).drop("_c", "_b", "_o")
 
 
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, id_col: str = "conv_id", turn_col: str = "turn",
@@ -72,7 +68,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, id_col: st
         F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.floor(F.col(turn_col) / BLOCK).alias("block"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("said"))
     size = (F.ceil(F.length("said") / CHARS) + MARKS).cast("long")
-    df = scan(df, size, ["block"], ["turn", "role", "said"], "at").withColumn("end", F.col("at") + size)
+    df = running(df, size, ["turn", "role", "said"], "at").withColumn("end", F.col("at") + size)
     # the first turn, if it is the system's, belongs to every window and is new in none but the first
     df = df.withColumn("cell", F.floor(F.col("at") / budget)).withColumn("crossing", F.floor((F.col("end") - 1) / budget) > F.col("cell"))
     # a window: turns of one cell; those before a crossing turn share it, the crossing turn is alone

@@ -23,6 +23,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.windows import row_barrier
 from .common import WHITE, materialize
 
 WINDOW = 5
@@ -194,4 +195,4 @@ def judge(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rules and the list keep, with their columns."""
-    return judge(docs, rules, text_col).where("kept").select("row.*")
+    return row_barrier(judge(docs, rules, text_col).select("row", "kept")).where("kept").select("row.*")

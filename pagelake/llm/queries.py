@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, langid, mixing, quality, secrets, toxicity
+from . import chat, decontaminate, html_main, langid, mixing, quality, secrets, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,68 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+# -- 4 -----------------------------------------------------------------------------------------------------------
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(listed, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op4_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS t, least(len(w), 10) AS n FROM bi),
+ln AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS s, unnest(list_transform(generate_series(1, len(w) - n + 1), x -> array_to_string(w[x:x + n - 1], ' '))) AS t FROM d, ln WHERE len(w) >= n),
+h AS (SELECT r, s, di.n, item_id FROM di JOIN bw ON bw.n = di.n AND bw.t = di.t),
+p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM h) GROUP BY r),
+i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN i USING (r)"""
+
+
+# -- 5 -----------------------------------------------------------------------------------------------------------
+
+CHAT_BUDGET, CHAT_HISTORY = 1024, 256
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = f"{chat.END}{chat.START}assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    back = chat.read_back(chat.windows(turns.unionByName(more), CHAT_BUDGET, CHAT_HISTORY))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    each = F.sort_array(F.collect_list(F.struct("start", said.alias("said"), F.array_join("targets", "").alias("loss"))))
+    got = back.groupBy("conv_id").agg(each.alias("w"), F.sum(F.size("turns")).alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    joined = lambda part: F.array_join(F.transform("w", lambda w: w[part]), "")
+    got = got.select("conv_id", "n_turns", joined("said").alias("said"), joined("loss").alias("loss"), "formatted_chars")
+    return got.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                      F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLE_SQL["op5_chat_formatting"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+n AS (SELECT *, CAST(ceil(length(said) / 4.0) AS BIGINT) + 4 AS size, 24 + length(replace(replace(role, '<|', '<||'), chr(10), '<|n|>')) + length(replace(said, '<|', '<||')) AS chars,
+  row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rn) - size AS a FROM n),
+c AS (SELECT *, a // {CHAT_BUDGET} AS cell, (a + size - 1) // {CHAT_BUDGET} > a // {CHAT_BUDGET} AS crossing FROM p),
+s AS (SELECT *, min(a) OVER w AS start, max(a + size) OVER w AS stop, max(a + size) OVER (PARTITION BY conv_id) AS total FROM c WINDOW w AS (PARTITION BY conv_id, cell, crossing))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  CAST(coalesce(sum(length(said)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(said, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) + coalesce(sum(chars) FILTER (stop < total AND stop - a <= {CHAT_HISTORY} AND NOT (a = 0 AND role = 'system')), 0)
+   + coalesce(max(chars) FILTER (a = 0 AND role = 'system'), 0) * (count(DISTINCT start) - 1) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 
 @query
