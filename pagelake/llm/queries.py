@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, langid, mixing, quality, secrets, toxicity
+from . import chat, decontaminate, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 bi AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS t, least(len(w), 10) AS n FROM bi),
 ln AS (SELECT DISTINCT n FROM bw),
-di AS (SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS s, unnest(list_transform(generate_series(1, len(w) - n + 1), x -> array_to_string(w[x:x + n - 1], ' '))) AS t FROM d, ln WHERE len(w) >= n),
+di AS (SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS s, unnest([array_to_string(w[x:x + n - 1], ' ') for x in generate_series(1, len(w) - n + 1)]) AS t FROM d, ln WHERE len(w) >= n),
 h AS (SELECT r, s, di.n, item_id FROM di JOIN bw ON bw.n = di.n AND bw.t = di.t),
 p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM h) GROUP BY r),
 i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY r)
@@ -123,6 +123,24 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM s GROUP BY conv_id"""
 
 
+# -- 6 -----------------------------------------------------------------------------------------------------------
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL["op6_substring_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(generate_series(1, len(w) - 34)) AS s, unnest([md5(array_to_string(w[i:i + 34], ' ')) for i in generate_series(1, len(w) - 34)]) AS h FROM d WHERE len(w) >= 35),
+t AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+p AS (SELECT DISTINCT r, unnest(generate_series(s, s + 34)) AS p FROM x JOIN t USING (h)),
+c AS (SELECT r, list(p) AS ps, count(*) AS n FROM p GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(v, ' ' ORDER BY i) FROM (SELECT unnest(w) AS v, unnest(generate_series(1, len(w))) AS i) u WHERE NOT list_contains(ps, i)), '') END) AS kept_sha256
+FROM d LEFT JOIN c USING (r)"""
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 
 @query
@@ -133,6 +151,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+# -- 8 -----------------------------------------------------------------------------------------------------------
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------------
 
 @query
