@@ -6,24 +6,16 @@ they run inside the scan stage with no shuffle and parallelise per page.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --------------------------------------------------------------------------
-# FIXED VALUES -- named character references decoded by the parser, in the
-# order they are applied; "&amp;" must stay last.
-# --------------------------------------------------------------------------
-NAMED_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"),
-    ("&pound;", "£"), ("&yen;", "¥"), ("&cent;", "¢"), ("&sect;", "§"),
-    ("&deg;", "°"), ("&para;", "¶"), ("&times;", "×"), ("&divide;", "÷"),
-    ("&amp;", "&"),
-]
-# --------------------------------------------------------------------------
+# Named references: those of HTML 4 and XHTML, from the standard library's table.
+NAMED_ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+# A reference: decimal, hexadecimal or named, ended by a semicolon.
+REFERENCE_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+REPLACEMENT = "\ufffd"
 
 COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
@@ -40,22 +32,32 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _code_point(digits: Column, base: int) -> Column:
+    """The character with a number; one that is no character (too large, zero,
+    or half of a pair) becomes the replacement character."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(short).between(1, 7), F.conv(short, base, 10).cast("int"))
+    ok = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT))
+
+
+def _reference(ref: Column) -> Column:
+    """One reference, decoded; an unknown name stays as it is."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    body = F.substring(ref, 2, F.length(ref) - 2)
+    return (F.when(body.rlike("^#[xX]"), _code_point(F.substring(body, 3, F.length(body)), 16))
+            .when(body.startswith("#"), _code_point(F.substring(body, 2, F.length(body)), 10))
+            .otherwise(F.coalesce(F.try_element_at(names, body), ref)))
+
+
 def entity_decode(s) -> Column:
-    """Decode numeric (decimal and hex) and common named references."""
+    """Decode numeric (decimal and hex) and named references, in one pass:
+    what a reference stands for is not looked at again."""
     s = _c(s)
-    dec = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([0-9]{1,7});"), 1)), s,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                 F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
-    hexd = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(dec, F.lit(r"&#[xX]([0-9a-fA-F]{1,6});"), 1)), dec,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#x"), n, F.lit(";")),
-                                 F.decode(F.unhex(F.lpad(n, 8, "0")), "UTF-32")))
-    num = F.when(s.contains("&#"), hexd).otherwise(s)
-    out = num
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.when(s.contains("&"), out).otherwise(s)
+    parts = F.split(s, REFERENCE_RE, -1)
+    refs = F.regexp_extract_all(s, F.lit(REFERENCE_RE), 0)
+    both = F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(F.when(r.isNotNull(), _reference(r)), F.lit(""))))
+    return F.when(s.contains("&"), F.array_join(both, "")).otherwise(s)
 
 
 def pystrip(s) -> Column:
@@ -94,15 +96,23 @@ def hrefs(html) -> Column:
 # ---------------------------------------------------------------------------
 # DuckDB twins.
 # ---------------------------------------------------------------------------
+def _sql_code_point(n: str) -> str:
+    ok = f"({n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111)"
+    return f"CASE WHEN {ok} THEN chr(CAST({n} AS INTEGER)) ELSE '{REPLACEMENT}' END"
+
+
 def sql_entity_decode(s: str) -> str:
-    dec = (f"list_reduce(list_prepend({s}, list_distinct(regexp_extract_all({s}, '&#([0-9]{{1,7}});', 1))), "
-           f"lambda acc, nn: replace(acc, '&#' || nn || ';', chr(CAST(nn AS INTEGER))))")
-    hexd = (f"list_reduce(list_prepend({dec}, list_distinct(regexp_extract_all({dec}, '&#[xX]([0-9a-fA-F]{{1,6}});', 1))), "
-            f"lambda acc, nx: replace(acc, '&#x' || nx || ';', chr(CAST('0x' || nx AS INTEGER))))")
-    out = f"CASE WHEN contains({s}, '&#') THEN {hexd} ELSE {s} END"
-    for ent, ch in NAMED_ENTITIES:
-        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return f"CASE WHEN contains({s}, '&') THEN {out} ELSE {s} END"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in NAMED_ENTITIES.items()) + "}"
+    # digits beyond what a number type holds are no character
+    dec = _sql_code_point("TRY_CAST(substr(rf, 3, length(rf) - 3) AS BIGINT)")
+    hexa = _sql_code_point("TRY_CAST('0x' || right('0' || ltrim(substr(rf, 4, length(rf) - 4), '0'), greatest(15, length(ltrim(substr(rf, 4, length(rf) - 4), '0')))) AS BIGINT)")
+    one = (f"CASE WHEN regexp_matches(rf, '^&#[xX]') THEN {hexa} WHEN starts_with(rf, '&#') THEN {dec} "
+           f"ELSE coalesce({names}[substr(rf, 2, length(rf) - 2)], rf) END")
+    refs = f"list_transform(regexp_extract_all({s}, '{REFERENCE_RE}'), lambda rf: {one})"
+    parts = f"string_split_regex({s}, '{REFERENCE_RE}')"
+    return (f"CASE WHEN contains({s}, '&') THEN array_to_string(list_transform(list_zip({parts}, {refs}), "
+            f"lambda zp: zp[1] || coalesce(zp[2], '')), '') ELSE {s} END")
 
 
 def sql_pystrip(s: str) -> str:

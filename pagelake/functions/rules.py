@@ -23,12 +23,54 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def regex_is_valid(pattern: str) -> bool:
+def java_regex(pattern: str | None) -> str | None:
+    """A rule's pattern in the dialect that runs it, or None if the pattern is invalid or uses what that dialect lacks.
+    Named groups are written ``(?<g1x>``, back references ``\\k<g1x>``, and the end of text ``\\z``."""
+    pattern = pattern or ""
     try:
-        re.compile(pattern)
-        return True
+        names = sorted(re.compile(pattern).groupindex)
     except re.error:
-        return False
+        return None
+    safe = {n: f"g{i}x" for i, n in enumerate(names)}
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append("\\z" if pattern[i : i + 2] == "\\Z" and not in_class else pattern[i : i + 2])
+            i += 2
+            continue
+        m = None if in_class else _NAMED.match(pattern, i)
+        if m:
+            if m[1] is None:
+                return None  # a conditional group
+            out.append(f"(?<{safe[m[2]]}>" if m[1] == "P<" else f"\\k<{safe[m[2]]}>")
+            i = m.end()
+            continue
+        if in_class and c in "[&":
+            out.append("\\")  # nested classes and intersections are plain characters in a rule
+        if c == "[" and not in_class:
+            in_class = True
+            out.append(c)
+            i += 1
+            if pattern[i : i + 1] == "^":
+                out.append("^")
+                i += 1
+            if pattern[i : i + 1] == "]":
+                out.append("\\]")
+                i += 1
+            continue
+        if c == "]" and in_class:
+            in_class = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+_NAMED = re.compile(r"\(\?(?:(P<|P=)(\w+)[>)]|\()")
+
+
+def regex_is_valid(pattern: str) -> bool:
+    return java_regex(pattern) is not None
 
 
 def rule_predicate(url, rule_type: str, pattern: str) -> Column:
@@ -49,9 +91,8 @@ def rule_predicate(url, rule_type: str, pattern: str) -> Column:
     if t == "ends_with":
         return u.endswith(p)
     if t == "regex":
-        if not regex_is_valid(raw):
-            return F.lit(False)
-        return u.rlike("(?i)" + raw)
+        java = java_regex(raw)
+        return F.lit(False) if java is None else u.rlike("(?i)" + java)
     if t == "domain":
         host = url_domain(u)
         return (host == p) | host.endswith("." + p)

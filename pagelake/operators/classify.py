@@ -219,14 +219,15 @@ def keyword_scorer(text: Column, labels: list[str], threshold: float) -> Column:
 _PANDAS_SCORERS: dict[str, Callable] = {}
 
 
-def register_scorer(name: str, fn: Callable[[pd.Series, list[str]], pd.DataFrame]) -> bool:
-    """Register a pandas scorer: (texts, labels) -> frame with list columns
-    ``labels`` and ``scores``. Names are case-insensitive; a second
-    registration of a name is ignored (returns False)."""
+def register_scorer(name: str, fn: Callable[..., pd.DataFrame], loader: Callable[[], object] | None = None) -> bool:
+    """Register a pandas scorer: (texts, labels[, what the loader returns]) ->
+    frame with list columns ``labels`` and ``scores``. Names are
+    case-insensitive; a second registration of a name is ignored (returns
+    False)."""
     key = name.strip().lower()
     if key in _PANDAS_SCORERS or key in ("none", "keyword"):
         return False
-    _PANDAS_SCORERS[key] = fn
+    _PANDAS_SCORERS[key] = (fn, loader)
     return True
 
 
@@ -239,7 +240,8 @@ def classify_with_scorer(text: Column, scorer: str, labels: list[str], threshold
     if key == "keyword":
         return F.when(blank, _empty_result()).otherwise(keyword_scorer(text, labels, threshold))
     from .scorer_udf import make_scorer_udf
-    r = make_scorer_udf(_PANDAS_SCORERS[key], labels)(text)
+    fn, loader = _PANDAS_SCORERS[key]
+    r = make_scorer_udf(fn, labels, loader)(text)
     return F.when(blank, _empty_result()).otherwise(
         F.when(r["error"].isNotNull(), _empty_result(r["error"])).otherwise(_result(r["labels"], r["scores"], threshold)))
 

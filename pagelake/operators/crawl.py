@@ -20,39 +20,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EngineConfig
 from ..session import ensure_checkpoint_dir
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int,
           edge_filter: Callable[[DataFrame], DataFrame] | None = None,
-          checkpoint_every: int = 1) -> DataFrame:
+          compact_every: int = 16) -> DataFrame:
     """Multi-job BFS. ``edges(src, dst)``, ``seeds(job_id, url)``. Returns the
     seen set ``(job_id, url, depth)`` including the discovered-only level
     ``max_depth + 1``. ``edge_filter`` sees candidate rows
-    ``(job_id, start_url, src, url)`` and keeps the links a job may follow."""
+    ``(job_id, start_url, src, url)`` and keeps the links a job may follow.
+
+    The seen set is the union of the checkpointed levels; it is written anew
+    only every ``compact_every`` levels, to keep the plan short. The start
+    page travels with the frontier."""
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    s = seeds.select("job_id", "url").distinct()
-    start = s.select("job_id", F.col("url").alias("start_url"))
-    seen = s.withColumn("depth", F.lit(0))
-    frontier = seen
+    frontier = seeds.select("job_id", "url").distinct().withColumn("start_url", F.col("url")).withColumn("depth", F.lit(0))
+    frontier = frontier.checkpoint(eager=True)
+    seen = frontier.select("job_id", "url", "depth")
     # The edge table is read at every level: materialise it once (reliable
     # checkpoint) instead of re-deriving it from the pages per level.
     e = edges.select(F.col("src"), F.col("dst")).checkpoint(eager=True)
     for d in range(max_depth + 1):
-        cand = frontier.select("job_id", F.col("url").alias("src")).join(e, "src") \
-            .select("job_id", "src", F.col("dst").alias("url"))
+        cand = frontier.select("job_id", "start_url", F.col("url").alias("src")).join(e, "src") \
+            .select("job_id", "start_url", "src", F.col("dst").alias("url"))
         if edge_filter is not None:
-            cand = edge_filter(cand.join(start, "job_id"))
-        nxt = (cand.select("job_id", "url").distinct()
+            cand = edge_filter(cand)
+        # a job may have several start pages: the least one that reaches a page stands for it
+        nxt = (cand.groupBy("job_id", "url").agg(F.min("start_url").alias("start_url"))
                .join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
                .withColumn("depth", F.lit(d + 1)))
         nxt = nxt.checkpoint(eager=True)
         if nxt.isEmpty():
             break
-        seen = seen.unionByName(nxt)
-        if (d + 1) % checkpoint_every == 0:
+        seen = seen.unionByName(nxt.select("job_id", "url", "depth"))
+        if (d + 1) % compact_every == 0:
             seen = seen.checkpoint(eager=True)
         frontier = nxt
     return seen
@@ -63,13 +66,13 @@ def crawl_reach(seen: DataFrame, max_depth: int) -> DataFrame:
     return seen.where(F.col("depth") <= max_depth)
 
 
-def frontier_cap(reach: DataFrame, max_pages: int) -> DataFrame:
-    """At most ``max_pages`` pages per job, cut by (depth, url). The
-    ``row_number() <= n`` form lets Spark pre-limit per task before the
-    shuffle on job_id."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("job_id").orderBy("depth", "url")
-    return reach.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_pages).drop("_rn")
+def frontier_cap(reach: DataFrame, max_pages: int, prefix: int = 32) -> DataFrame:
+    """At most ``max_pages`` pages per job, cut by (depth, url). Pages are
+    counted by (job, depth, beginning of the url) and ranked inside these
+    buckets only, so that a hot job is spread over them."""
+    from ..plans.windows import limit_per_group
+    bucket = [(F.col("depth"), True), (F.substring("url", 1, prefix), True)]
+    return limit_per_group(reach, ["job_id"], bucket, [(F.col("url"), True)], max_pages)
 
 
 def crawl_discovered(seen: DataFrame) -> DataFrame:
@@ -80,7 +83,3 @@ def crawl_discovered(seen: DataFrame) -> DataFrame:
 def crawl_single(seeds: DataFrame) -> DataFrame:
     """Single mode -- the start page only, one discovered URL."""
     return seeds.select("job_id", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("discovered"))
-
-
-def default_max_depth(cfg: EngineConfig = DEFAULT) -> int:
-    return cfg.max_crawl_depth

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.html import hrefs, strip_raw_text
-from ..functions.rules import blocked_domain, rule_predicate, rules_any, skip_extension, valid_url
+from ..functions.rules import blocked_domain, java_regex, rule_predicate, rules_any, skip_extension, valid_url
 from ..functions.urls import add_url_join, normalize_array, url_domain
 
 
@@ -74,17 +74,9 @@ def link_graph(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
             .distinct())
 
 
-@F.pandas_udf(T.BooleanType())
-def _regex_ok(p: pd.Series) -> pd.Series:
-    import re
-
-    def ok(x):
-        try:
-            re.compile(x or "")
-            return True
-        except re.error:
-            return False
-    return p.map(ok)
+@F.pandas_udf(T.StringType())
+def _java_regex(p: pd.Series) -> pd.Series:
+    return p.map(java_regex)
 
 
 def match_rules_table(links: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,6 +86,7 @@ def match_rules_table(links: DataFrame, rules: DataFrame) -> DataFrame:
     The join is an equi join on job_id plus the rule condition, so no pair is
     formed across jobs. Regex rules are matched by ``rlike`` with the pattern
     as a column."""
+    from ..plans.windows import row_barrier
     lr = F.lower(F.col("link"))
     t = F.lower(F.trim(F.col("r.type")))
     p = F.lower(F.col("r.pattern"))
@@ -103,10 +96,12 @@ def match_rules_table(links: DataFrame, rules: DataFrame) -> DataFrame:
         | ((t == "starts_with") & lr.startswith(p))
         | ((t == "ends_with") & lr.endswith(p))
         | ((t == "domain") & ((host == p) | host.endswith(F.concat(F.lit("."), p))))
-        | ((t == "regex") & F.regexp_like(lr, F.concat(F.lit("(?i)"), F.col("r.pattern"))))
+        | ((t == "regex") & F.regexp_like(lr, F.concat(F.lit("(?i)"), F.col("r.java"))))
     ) & (p != "") & (t != "")
-    # Invalid regex rules never match: drop them on the (small) rules side.
-    checked = rules.where(~(F.lower(F.trim("type")) == "regex") | _regex_ok("pattern"))
+    # Regex rules are brought into the dialect that runs them; invalid ones
+    # never match: they are dropped on the (small) rules side.
+    is_regex = F.lower(F.trim("type")) == "regex"
+    checked = row_barrier(rules.withColumn("java", F.when(is_regex, _java_regex("pattern")).otherwise(F.lit("")))).where("java is not null")
     matched = links.alias("l").join(checked.alias("r"), cond, "left_semi")
     no_rules = links.join(rules.select("job_id").distinct(), "job_id", "left_anti")
     return matched.unionByName(no_rules)

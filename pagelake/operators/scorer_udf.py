@@ -12,19 +12,32 @@ OUT_TYPE = T.StructType([T.StructField("labels", T.ArrayType(T.StringType())),
                          T.StructField("error", T.StringType())])
 
 
-def make_scorer_udf(fn, labels: list):
+def make_scorer_udf(fn, labels: list, loader=None):
     """(texts, labels) -> frame(labels, scores) scorer as an Iterator pandas
-    UDF: whatever ``fn`` loads is loaded once per Python worker and reused for
-    every Arrow batch; a failing batch yields empty results with the error."""
+    UDF. ``loader()``, if given, runs once per task and its result is the
+    scorer's third argument (a model that all batches of the task share). When
+    a batch fails its rows are scored one by one, so that only the rows that
+    fail get empty results and their error."""
 
     @F.pandas_udf(OUT_TYPE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        more = (loader(),) if loader is not None else ()
+
+        def run(texts):
+            res = fn(texts, labels, *more)
+            return list(res["labels"]), list(res["scores"]), [None] * len(texts)
+
         for texts in batches:
             try:
-                res = fn(texts, labels)
-                yield pd.DataFrame({"labels": list(res["labels"]), "scores": list(res["scores"]),
-                                    "error": [None] * len(texts)})
-            except Exception as ex:  # noqa: BLE001
-                n = len(texts)
-                yield pd.DataFrame({"labels": [[]] * n, "scores": [[]] * n, "error": [str(ex)[:200]] * n})
+                found = run(texts)
+            except Exception:  # noqa: BLE001 -- told apart row by row
+                found = [], [], []
+                for i in range(len(texts)):
+                    try:
+                        one = run(texts.iloc[i : i + 1])
+                    except Exception as ex:  # noqa: BLE001
+                        one = [[]], [[]], [str(ex)]
+                    for whole, part in zip(found, one):
+                        whole.extend(part)
+            yield pd.DataFrame(dict(zip(("labels", "scores", "error"), found)))
     return score

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (AUTO_CREATED_DESCRIPTION, CRAWL_MODES, DEFAULT, JOB_STATUSES,
                       UNCATEGORIZED, EngineConfig)
+from ..plans.windows import limit_per_group
 
 TERMINAL_OR_PAUSED = ["completed", "stopped", "failed", "paused"]
 
@@ -126,12 +127,19 @@ def log_retention(logs: DataFrame, as_of: str, days: int) -> tuple[DataFrame, Da
     return kept, deleted
 
 
+def log_retention_counts(logs: DataFrame, as_of: str, days: int) -> DataFrame:
+    """T10 as counts: kept and deleted rows in one pass."""
+    cutoff = F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(days))
+    old = F.coalesce(F.col("created_at") < cutoff, F.lit(True))
+    return logs.agg(F.count_if(~old).cast("bigint").alias("kept"), F.count_if(old).cast("bigint").alias("deleted"))
+
+
 def log_cap_per_job(logs: DataFrame, cap: int) -> DataFrame:
-    """Newest ``cap`` entries per job. ``row_number() <= cap`` lets Spark
-    insert a partial per-task group limit before the shuffle, so a hot job
-    ships at most ``cap`` rows per map task."""
-    w = Window.partitionBy("job_id").orderBy(F.col("created_at").desc(), F.col("log_id").desc())
-    return logs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    """Newest ``cap`` entries per job. Entries are counted by job and hour
+    and ranked only within an hour, so a hot job is spread over its hours
+    (Spark limits groups before the shuffle only for caps up to 1000)."""
+    hour = F.date_trunc("hour", F.col("created_at"))
+    return limit_per_group(logs, ["job_id"], [(hour, False)], [(F.col("created_at"), False), (F.col("log_id"), False)], cap)
 
 
 # -------------------------------------------------------------------- F14-F18

@@ -9,6 +9,7 @@ from ..operators import stats as A
 from ..operators import tables as T
 from ..sources import views as V
 from ..sources.tables import read_pages, read_table
+from ..config import DEFAULT as CFG
 from .registry import register
 
 AS_OF = "2024-01-30 00:00:00"
@@ -331,16 +332,14 @@ def q_update_category_fields(spark, d):
     "CAST(count(*) FILTER (WHERE NOT (created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 10 DAY) OR created_at IS NULL) AS BIGINT) AS deleted "
     "FROM v_logs"), views=["v_logs"])
 def q_log_retention(spark, d):
-    kept, deleted = T.log_retention(V.v_logs(spark, d), AS_OF, 10)
-    k = kept.agg(F.count(F.lit(1)).cast("bigint").alias("kept"), F.lit(1).alias("_k"))
-    return k.join(deleted.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return T.log_retention_counts(V.v_logs(spark, d), AS_OF, 10)
 
 
 @register("log_cap_per_job", sql=(
     "SELECT log_id, job_id FROM (SELECT log_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, "
-    "log_id DESC) AS rn FROM v_logs) WHERE rn <= 50"), views=["v_logs"])
+    f"log_id DESC) AS rn FROM v_logs) WHERE rn <= {CFG.max_log_entries_per_job}"), views=["v_logs"])
 def q_log_cap_per_job(spark, d):
-    return T.log_cap_per_job(V.v_logs(spark, d), 50).select("log_id", "job_id")
+    return T.log_cap_per_job(V.v_logs(spark, d), CFG.max_log_entries_per_job).select("log_id", "job_id")
 
 
 # ------------------------------------------------------------------ joins

@@ -354,10 +354,17 @@ def q_target_ads(spark, d):
     return _targets(spark, d, "ad")
 
 
-@register("entity_decode", sql=f"SELECT page_id, {DEC(chr(39) + 'x' + chr(39))} AS x, "
-                               f"{DEC('regexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(39) + ', 1)')} AS title FROM pages")
+# decimal and hexadecimal numbers that grow with the page id (some are no characters), names, and a reference to an ampersand
+SQL_REFS = ("concat('caf&eacute; &#', page_id * 97, ';&#X', to_hex(page_id * 4099), ';&#x0000', to_hex(page_id % 90 + 33), "
+            "'; &#38;lt; &nosuch; &#99999999999999999999; &amp;amp; ', url)")
+
+
+@register("entity_decode", sql=f"SELECT page_id, {DEC('o')} AS odd, {DEC('t')} AS title FROM (SELECT page_id, {SQL_REFS} AS o, "
+                               "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS t FROM pages)")
 def q_entity_decode(spark, d):
-    return pages(spark, d).select("page_id", H.entity_decode(F.lit("x")).alias("x"),
+    odd = F.concat(F.lit("caf&eacute; &#"), (F.col("page_id") * 97).cast("string"), F.lit(";&#X"), F.hex(F.col("page_id") * 4099), F.lit(";&#x0000"),
+                   F.hex(F.col("page_id") % 90 + 33), F.lit("; &#38;lt; &nosuch; &#99999999999999999999; &amp;amp; "), F.col("url"))
+    return pages(spark, d).select("page_id", H.entity_decode(odd).alias("odd"),
                                   H.entity_decode(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)).alias("title"))
 
 

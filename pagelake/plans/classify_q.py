@@ -263,9 +263,9 @@ def q_llm_request_body(spark, d):
 
 @register("llm_response_text", sql=(
     "SELECT conv_id, turn, json_extract_string(to_json({'choices': [{'message': {'content': text}}]}), '$.choices[0].message.content') "
-    "AS chat, json_extract_string(to_json({'response': text}), '$.response') AS generate FROM conversations WHERE role = 'assistant'"))
+    "AS chat, json_extract_string(to_json({'response': text}), '$.response') AS generate FROM conversations"))
 def q_llm_response_text(spark, d):
-    t = read_table(spark, d, "conversations").where(F.col("role") == "assistant")
+    t = read_table(spark, d, "conversations")
     chat = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
     gen = F.to_json(F.struct(F.col("text").alias("response")))
     return t.select("conv_id", "turn", C.llm_response_text(chat, "openai_chat").alias("chat"),

@@ -20,9 +20,9 @@ from .url_links import _links_sql
 from ..config import EngineConfig
 from ..functions.urls import sql_domain, sql_normalize
 
-DEEP_MAX_DEPTH = 4
+DEEP_MAX_DEPTH = DEFAULT.max_crawl_depth
 PAGE_MAX_DEPTH = DEFAULT.max_crawl_depth
-CAP = 500
+CAP = DEFAULT.max_pages_per_job
 RULES = [{"type": "contains", "pattern": "/the"}, {"type": "regex", "pattern": r"/[a-z]{2}$"}]
 CATEGORY_PATTERNS = [{"type": "domain", "pattern": "example.com"}]
 
@@ -45,9 +45,11 @@ def deep_seeds(spark, d):
 SQL_GRAPH = ("SELECT DISTINCT src, dst FROM (SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst "
              "FROM lineitem UNION ALL SELECT 'p' || CAST(l_partkey AS VARCHAR), 'o' || CAST(l_orderkey AS VARCHAR) FROM lineitem)")
 SQL_SEEDS = "SELECT o_orderstatus AS job_id, 'o' || CAST(min(o_orderkey) AS VARCHAR) AS url FROM orders GROUP BY 1"
-SQL_SEEN = (f"WITH RECURSIVE g AS ({SQL_GRAPH}), r(job_id, url, depth) AS (SELECT job_id, url, 0 FROM ({SQL_SEEDS}) "
-            f"UNION SELECT r.job_id, g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.url WHERE r.depth <= {DEEP_MAX_DEPTH}) "
-            f"SELECT job_id, url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY job_id, url")
+# every (job, page) once, at the depth where it is first reached
+SQL_SEEN = (f"WITH RECURSIVE g AS MATERIALIZED ({SQL_GRAPH}), r(job_id, url, depth) USING KEY (job_id, url) AS (SELECT job_id, url, 0 FROM ({SQL_SEEDS}) "
+            f"UNION SELECT r.job_id, g.dst, min(r.depth) + 1 FROM r JOIN g ON g.src = r.url LEFT JOIN recurring.r AS s "
+            f"ON s.job_id = r.job_id AND s.url = g.dst WHERE s.url IS NULL AND r.depth <= {DEEP_MAX_DEPTH} GROUP BY r.job_id, g.dst) "
+            f"SELECT job_id, url, CAST(depth AS INTEGER) AS depth FROM r")
 
 
 def deep_seen(spark, d):

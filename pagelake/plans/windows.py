@@ -70,6 +70,28 @@ def lag_skew_safe(df: DataFrame, keys: list[str], order_cols: list[str], bucket_
     return d.drop("_rn_b", "_pl")
 
 
+def limit_per_group(df: DataFrame, keys: list[str], bucket: list, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of every group by (bucket, order): ``bucket`` and
+    ``order`` are lists of (column, ascending). Rows are counted by (keys,
+    bucket), running counts over these summaries say in which bucket a group's
+    cut lies, and rows are ranked inside single buckets only, so that a hot
+    group is spread over its buckets however large ``n`` is."""
+    names = [f"_b{i}" for i in range(len(bucket))]
+    d = df.withColumns({b: c for b, (c, _) in zip(names, bucket)})
+    sort = [F.col(b).asc() if up else F.col(b).desc() for b, (_, up) in zip(names, bucket)]
+    counts = d.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(F.col("_before") < n).drop("_n")
+    right = counts.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, *names)], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, *names)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    inside = Window.partitionBy(*keys, *names).orderBy(*[c.asc() if up else c.desc() for c, up in order])
+    kept = d.join(right, on).withColumn("_rn", F.row_number().over(inside) + F.col("_before")).where(F.col("_rn") <= n)
+    return kept.select(*df.columns)
+
+
 def row_barrier(df: DataFrame) -> DataFrame:
     """Same rows and columns, evaluated once: the row is emitted through a
     one-element ``inline_outer`` generator. Filters on derived columns above

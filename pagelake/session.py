@@ -8,7 +8,6 @@ library needs a shared folder (lineage cuts in iterative jobs).
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,8 +19,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Tokenised html arrays and block arrays can be wide; keep broadcasts
-    # explicit (see plans.broadcast_if_small) instead of size-guessing.
+    # Tokenised html arrays and block arrays can be wide: Spark broadcasts
+    # only what it knows to be small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
@@ -46,13 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a shared filesystem path) and is
-    only read here. Only when it is unset -- local tests -- a folder is created.
+    only read here; unset, it is an error. A local master (tests, benches)
+    gets /tmp/checkpoints.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # Unset: only in local tests and benches, never on a cluster.
-        d = tempfile.mkdtemp(prefix="pagelake-ckpt-")
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        d = "/tmp/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -2,8 +2,9 @@
 
 Sources are file streams over the table folders; sinks are parquet folders
 (append) or ``foreachBatch`` upserts, both under the shared checkpoint folder
-(``spark.checkpoint.dir``) with their own checkpoint locations, so a restarted
-query resumes from its offsets and no result passes through driver memory.
+(``spark.checkpoint.dir``) with their own checkpoint locations; a query that is
+given a run id resumes from the offsets of its earlier runs, and no result
+passes through driver memory.
 ``run`` drives a query with ``trigger(availableNow=True)`` (all available
 input, then stop) and returns the sink as a DataFrame.
 """
@@ -21,9 +22,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..session import ensure_checkpoint_dir
 
 
-def stream_dir(spark: SparkSession, name: str) -> str:
+def stream_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str:
+    """The folder of a stream's sink and checkpoint: the same for the same
+    ``run_id``, a new one without."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(base, "streams", f"{name}-{run_id or uuid.uuid4().hex[:12]}")
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
@@ -37,10 +40,11 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
             .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
 
 
-def run(sdf: DataFrame, name: str, mode: str = "append", batch_fn=None) -> DataFrame:
-    """Run to completion over the available input; return the sink."""
+def run(sdf: DataFrame, name: str, mode: str = "append", batch_fn=None, run_id: str | None = None) -> DataFrame:
+    """Run to completion over the available input; return the sink. With a
+    ``run_id`` the query goes on from the offsets of its earlier runs."""
     spark = sdf.sparkSession
-    base = stream_dir(spark, name)
+    base = stream_dir(spark, name, run_id)
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     w = sdf.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
     if batch_fn is None:
@@ -50,11 +54,10 @@ def run(sdf: DataFrame, name: str, mode: str = "append", batch_fn=None) -> DataF
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 -- no batch produced any row: empty result
-        schema = sdf.schema if batch_fn is None else sdf.schema.add("batch_id", "long")
-        return spark.createDataFrame([], schema)
+    schema = sdf.schema if batch_fn is None else sdf.schema.add("batch_id", "long")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(out) if written else spark.createDataFrame([], schema)
 
 
 def write_batch(df: DataFrame, bid: int, out: str) -> None:
@@ -109,15 +112,13 @@ def stream_job_finished(spark, sf_dir: str) -> DataFrame:
 def _version_state(key, pdfs, state):
     """Z4 state function: last hash and version number per URL."""
     last_hash, version = (state.get if state.exists else (None, 0))
-    out = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["created_at", "result_id"]).itertuples(index=False):
-            if r.content_hash != last_hash:
-                version += 1
-                last_hash = r.content_hash
-                out.append((key[0], r.result_id, int(version), r.content_hash))
-    state.update((last_hash, int(version)))
-    yield pd.DataFrame(out, columns=["url", "result_id", "version_number", "content_hash"])
+    # A URL's rows of one batch may come in several chunks: order them together.
+    rows = pd.concat(list(pdfs)).sort_values(["created_at", "result_id"])
+    hashes = rows["content_hash"].fillna("")
+    new = rows[hashes != hashes.shift(1, fill_value=last_hash or "")]
+    numbers = range(int(version) + 1, int(version) + 1 + len(new))
+    state.update((rows["content_hash"].iloc[-1], int(version) + len(new)))
+    yield pd.DataFrame({"url": key[0], "result_id": new["result_id"], "version_number": list(numbers), "content_hash": new["content_hash"]})
 
 
 def stream_versions(spark, sf_dir: str) -> DataFrame:
