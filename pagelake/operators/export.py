@@ -2,15 +2,21 @@
 
 Exports are projections written by Spark's own writers, partitioned like the
 data (JSON Lines, not one in-memory document); the job export keeps its
-newest-N cut as a top-k (TakeOrderedAndProject), not a global sort.
+newest-N cut as a top-k (TakeOrderedAndProject), not a global sort. Every
+writer has a reader that gives the written rows back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.jsonx import BLOCK_TYPE
 from ..functions.jsonx import q as jq
+from ..session import ensure_checkpoint_dir
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -71,9 +77,29 @@ def csv_rows(results: DataFrame, with_hash: bool = True, with_content: bool = Tr
     return results.select(*cols)
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object for each export row, as one text column: null fields are
+    kept, ``content`` (JSON text) becomes a value."""
+    def value(c: str) -> Column:
+        v = F.col(c) if c == "content" else jq(F.col(c)) if dict(rows.dtypes)[c] == "string" else F.col(c).cast("string")
+        return F.concat(F.lit(f'"{c}": '), F.when(F.col(c).isNotNull(), v).otherwise(F.lit("null")))
+    return rows.select(F.concat(F.lit("{"), F.concat_ws(", ", *[value(c) for c in rows.columns]), F.lit("}")).alias("value"))
+
+
 def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1 writer: JSON Lines with null fields kept."""
-    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """K1 writer: JSON Lines with null fields kept and content as a value."""
+    json_lines(rows).write.mode(mode).text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`write_json` wrote; ``content`` is read as blocks and shown
+    as JSON text again."""
+    blocks = f"array<{BLOCK_TYPE}>"
+    fields = [T.StructField(f.name, T._parse_datatype_string(blocks) if f.name == "content" else f.dataType) for f in schema]
+    got = spark.read.schema(T.StructType(fields)).json(path)
+    if "content" in got.columns:
+        got = got.withColumn("content", F.when(F.col("content").isNotNull(), content_json(F.col("content"))))
+    return got
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -82,6 +108,12 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`write_csv` wrote (an empty field is an empty string)."""
+    got = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return got.na.fill("")
+
+
 def newest(results: DataFrame, job_id, cap: int) -> DataFrame:
     """K3/K4 input: one job's newest ``cap`` results (id breaks ties)."""
     return results.where(F.col("job_id") == F.lit(job_id)) \
@@ -107,6 +139,17 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The results table, without its partition column."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+# FIXED VALUES -- the log texts of a page outcome are behaviour.
 def outcome_logs(outcomes: DataFrame) -> DataFrame:
     """K7: one log row per page outcome."""
     labels = F.coalesce(F.col("labels"), F.array().cast("array<string>")) if "labels" in outcomes.columns \

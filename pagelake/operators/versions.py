@@ -118,12 +118,16 @@ def with_change_flags(history: DataFrame, key: str, order_cols: list[str], bucke
 
 
 def build_versions(history: DataFrame, key: str = "url", order_cols=("seq", "result_id"),
-                   bucket_col: str = "_bucket") -> DataFrame:
+                   bucket_col: str = "_bucket", snapshot_every: int | None = None) -> DataFrame:
     """Versions (url, result_id, version_number, content_hash, is_snapshot,
     full_content, diff, change_summary, blocks_changed). Later versions are
-    diffed against the real previous content (a reconstructable chain)."""
+    diffed against the real previous content (a reconstructable chain). The
+    first version is a snapshot; with ``snapshot_every``, so is the first of
+    every so many versions, which bounds what a reconstruction folds."""
     h = with_change_flags(history, key, list(order_cols), bucket_col).where(F.col("_chg") == 1)
     snap = F.col("prev_content_hash").isNull()
+    if snapshot_every:
+        snap = snap | ((F.col("version_number") - 1) % snapshot_every == 0)
     diff = diff_positional(F.col("prev_content"), F.col("content"))
     n = F.size(diff["added"]) + F.size(diff["removed"]) + F.size(diff["modified"])
     return h.select(
@@ -133,19 +137,28 @@ def build_versions(history: DataFrame, key: str = "url", order_cols=("seq", "res
         F.when(~snap, diff).alias("diff_content"),
         F.when(snap, F.lit("Initial snapshot")).otherwise(F.concat(n.cast("string"), F.lit(" block(s) changed")))
         .alias("change_summary"),
-        F.when(snap, F.size("content")).otherwise(n).cast("int").alias("blocks_changed"),
-        F.col("content").alias("_content"), F.col("prev_content").alias("_prev_content"))
-
-
-def reconstruct_versions(versions: DataFrame, key: str = "url", bucket_col: str = "_bucket") -> DataFrame:
-    """Content of every version rebuilt from the chain: snapshot for v1,
-    ``apply(previous version content, diff)`` after. Each step uses the
-    previous *version's* content (a lag over versions, skew-safe), so no URL
-    history is gathered into one row."""
-    v = lag_skew_safe(versions, [key], ["version_number"], bucket_col, ["_content"], prefix="pv")
-    rebuilt = F.when(F.col("is_snapshot"), F.col("full_content")).otherwise(
-        apply_positional(F.col("pv_content"), F.col("diff_content")))
-    return v.withColumn("reconstructed", rebuilt)
+        F.when(snap, F.size("content")).otherwise(n).cast("int").alias("blocks_changed"))
+
+
+def reconstruct_versions(versions: DataFrame, key: str = "url", snapshot_every: int = 16) -> DataFrame:
+    """The content of every version, rebuilt from what is stored:
+    snapshots (``full_content``) and diffs. Versions are gathered by (url,
+    snapshot), at most ``snapshot_every`` of them, and their diffs are folded
+    onto the snapshot in order: (url, version_number, content_hash, rebuilt)."""
+    chain = F.floor((F.col("version_number") - 1) / snapshot_every)
+    step = F.struct("version_number", "content_hash", "diff_content")
+    got = versions.groupBy(key, chain.alias("_chain")).agg(
+        F.max_by("full_content", F.col("is_snapshot").cast("int")).alias("_snap"),
+        F.sort_array(F.collect_list(F.struct("version_number", "content_hash"))).alias("_v"),
+        F.collect_list(step).alias("_d"))
+    diffs = F.array_sort("_d", lambda x, y: x["version_number"] - y["version_number"])
+    got = got.select(key, "_snap", "_v", diffs.alias("_d"))
+    fold = F.aggregate(F.filter("_d", lambda x: x["diff_content"].isNotNull()), F.array("_snap"),
+                       lambda a, x: F.concat(a, F.array(apply_positional(F.element_at(a, -1), x["diff_content"]))))
+    got = got.select(key, "_v", fold.alias("_all"))
+    each = F.transform("_v", lambda v, i: F.struct(v["version_number"].alias("version_number"), v["content_hash"].alias("content_hash"),
+                                                   F.get("_all", i).alias("rebuilt")))
+    return got.select(key, F.inline_outer(each)).where(F.col("version_number").isNotNull())
 
 
 def latest_version(versions: DataFrame, key: str = "url") -> DataFrame:

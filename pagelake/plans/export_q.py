@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT as CFG
 from ..functions.html import sql_pystrip as STRIP
 from ..functions.jsonx import content_hash, content_length, sql_content_hash, sql_content_length
 from ..operators import detectors as D
@@ -13,7 +14,7 @@ from ..sources.tables import read_table
 from .detectors_q import FETCH_ERR, FETCH_SQL, WALL_SQL, walls
 from .registry import register
 
-EXPORT_CAP = 10000
+EXPORT_CAP = CFG.export_cap
 
 
 def results(spark, d):
@@ -41,12 +42,25 @@ SQL_CJSON = ("CASE WHEN coalesce(len(content), 0) > 0 THEN '[' || array_to_strin
              "'{\"type\": ' || to_json(b.type) || ', \"content\": ' || to_json(b.content) || '}'), ', ') || ']' ELSE '' END")
 
 
+def through_json(rows, name):
+    """Write, and read what was written."""
+    path = K.new_table(rows.sparkSession, name)
+    K.write_json(rows, path)
+    return K.read_json(rows.sparkSession, path, rows.schema)
+
+
+def through_csv(rows, name):
+    path = K.new_table(rows.sparkSession, name)
+    K.write_csv(rows, path)
+    return K.read_csv(rows.sparkSession, path, rows.schema)
+
+
 @register("export_json", sql=(
     f"SELECT url, http_status, page_title, CASE WHEN coalesce(len(content), 0) > 0 THEN {SQL_CJSON} END AS content, "
     f"{sql_content_length('content')} AS content_length, {sql_content_hash('content')} AS content_hash, error, "
     f"{SQL_ISO} AS scraped_at FROM ({SQL_RESULTS})"))
 def q_export_json(spark, d):
-    return K.export_rows(results(spark, d))
+    return through_json(K.export_rows(results(spark, d)), "export-json")
 
 
 @register("export_csv", sql=(
@@ -54,7 +68,7 @@ def q_export_json(spark, d):
     f"CAST({sql_content_length('content')} AS VARCHAR) AS content_length, coalesce({sql_content_hash('content')}, '') AS content_hash, "
     f"coalesce(error, '') AS error, {SQL_ISO} AS scraped_at, {SQL_CJSON} AS content_blocks FROM ({SQL_RESULTS})"))
 def q_export_csv(spark, d):
-    return K.csv_rows(results(spark, d))
+    return through_csv(K.csv_rows(results(spark, d)), "export-csv")
 
 
 JOB = "src3"
@@ -65,7 +79,7 @@ JOB = "src3"
     f"{sql_content_length('content')} AS content_length, error, {SQL_ISO} AS scraped_at FROM ({SQL_RESULTS}) "
     f"WHERE job_id = '{JOB}' ORDER BY created_at DESC, result_id DESC LIMIT {EXPORT_CAP}"))
 def q_export_job_json(spark, d):
-    return K.export_rows(K.newest(results(spark, d), JOB, EXPORT_CAP), with_hash=False)
+    return through_json(K.export_rows(K.newest(results(spark, d), JOB, EXPORT_CAP), with_hash=False), "export-job-json")
 
 
 @register("export_job_csv", sql=(
@@ -73,7 +87,7 @@ def q_export_job_json(spark, d):
     f"CAST({sql_content_length('content')} AS VARCHAR) AS content_length, coalesce(error, '') AS error, {SQL_ISO} AS scraped_at "
     f"FROM ({SQL_RESULTS}) WHERE job_id = '{JOB}' ORDER BY created_at DESC, result_id DESC LIMIT {EXPORT_CAP}"))
 def q_export_job_csv(spark, d):
-    return K.csv_rows(K.newest(results(spark, d), JOB, EXPORT_CAP), with_hash=False, with_content=False)
+    return through_csv(K.csv_rows(K.newest(results(spark, d), JOB, EXPORT_CAP), with_hash=False, with_content=False), "export-job-csv")
 
 
 @register("export_markdown", sql=(
@@ -84,26 +98,54 @@ def q_export_markdown(spark, d):
     return r.select("result_id", K.blocks_to_markdown(F.col("content")).alias("markdown"))
 
 
+# every page's fetch as a stored result, two days of them by page id
+SQL_STORED = (f"SELECT page_id, url, http_status, CASE WHEN outcome = 'success' THEN NULL ELSE err END AS error, outcome = 'success' AS success, "
+              f"CASE WHEN outcome = 'success' THEN html END AS content, CAST(CASE WHEN outcome = 'success' THEN length(html) ELSE 0 END AS BIGINT) AS content_length "
+              f"FROM (SELECT w.page_id, p.url, p.html, w.http_status, {FETCH_SQL} AS outcome, {FETCH_ERR} AS err FROM ({WALL_SQL}) w JOIN pages p ON p.page_id = w.page_id)")
+
+
 @register("append_results", sql=(
-    f"SELECT page_id, http_status, CASE WHEN outcome = 'success' THEN NULL ELSE err END AS error, outcome = 'success' AS success "
-    f"FROM (SELECT page_id, http_status, {FETCH_SQL} AS outcome, {FETCH_ERR} AS err FROM ({WALL_SQL}))"))
+    "SELECT page_id, url, http_status, error, success, md5(content) AS content_md5, content_length, "
+    f"CAST(DATE '2024-01-01' + CAST(page_id % 2 AS INTEGER) AS DATE) AS day FROM ({SQL_STORED})"))
 def q_append_results(spark, d):
     w = walls(spark, d)
     o = D.fetch_outcome("http_status", F.col("w"))
-    return w.select("page_id", "http_status", F.when(o["outcome"] == "success", F.lit(None)).otherwise(o["error"]).alias("error"),
-                    (o["outcome"] == "success").alias("success"))
+    ok = o["outcome"] == "success"
+    fetched = w.select("page_id", "http_status", F.when(ok, F.lit(None)).otherwise(o["error"]).alias("error"), ok.alias("success"))
+    body = read_table(spark, d, "pages").select("page_id", "url", "html")
+    rows = fetched.join(body, "page_id").select(
+        "page_id", "url", "http_status", "error", "success", F.when(F.col("success"), F.col("html")).alias("content"),
+        F.when(F.col("success"), F.length("html")).otherwise(0).cast("bigint").alias("content_length"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 2).cast("int")).alias("created_at"))
+    path = K.new_table(spark, "results")
+    # two appends to one table
+    K.append_results(rows.where("page_id % 2 = 0"), path)
+    K.append_results(rows.where("page_id % 2 = 1"), path)
+    got = K.read_results(spark, path, rows.schema)
+    return got.select("page_id", "url", "http_status", "error", "success", F.md5("content").alias("content_md5"), "content_length",
+                      F.col("created_at").alias("day"))
+
+
+# labels of a page by its id: none, one, or two
+SQL_LABELS = "CASE page_id % 3 WHEN 1 THEN ['Technology'] WHEN 2 THEN ['Science', 'Health'] ELSE CAST([] AS VARCHAR[]) END"
 
 
 @register("append_log", sql=(
-    f"SELECT page_id AS job_id, CASE WHEN outcome = 'success' THEN 'info' ELSE 'error' END AS level, "
-    f"CASE WHEN outcome = 'success' THEN 'Scraped successfully' ELSE 'Failed: ' || coalesce(err, '?') END AS message "
-    f"FROM (SELECT page_id, {FETCH_SQL} AS outcome, {FETCH_ERR} AS err FROM ({WALL_SQL}))"))
+    f"WITH o AS (SELECT w.page_id, p.url, {SQL_LABELS.replace('page_id', 'w.page_id')} AS labels, {FETCH_SQL} AS outcome, {FETCH_ERR} AS err FROM ({WALL_SQL}) w JOIN pages p ON p.page_id = w.page_id) "
+    f"SELECT page_id AS job_id, CASE WHEN outcome = 'success' THEN 'info' ELSE 'error' END AS level, CASE WHEN outcome = 'success' THEN "
+    f"'Scraped successfully' || CASE WHEN len(labels) > 0 THEN ' → ' || array_to_string(labels, ', ') ELSE '' END "
+    f"ELSE 'Failed: ' || coalesce(err, '?') END AS message, url AS source_url, 'scraper' AS component FROM o UNION ALL "
+    f"SELECT page_id, 'info', 'Classified as: ' || array_to_string(labels, ', '), url, 'classifier' FROM o WHERE outcome = 'success' AND len(labels) > 0"))
 def q_append_log(spark, d):
     w = walls(spark, d)
     o = D.fetch_outcome("http_status", F.col("w"))
-    x = w.select(F.col("page_id").alias("job_id"), F.lit(None).cast("string").alias("url"),
-                 o["outcome"].alias("outcome"), o["error"].alias("error"))
-    return K.outcome_logs(x).select("job_id", "level", "message")
+    names = F.when(F.col("page_id") % 3 == 1, F.array(F.lit("Technology"))).when(F.col("page_id") % 3 == 2, F.array(F.lit("Science"), F.lit("Health")))
+    urls = read_table(spark, d, "pages").select("page_id", "url")
+    x = w.select("page_id", o["outcome"].alias("outcome"), o["error"].alias("error"), names.alias("labels")).join(urls, "page_id")
+    logs = K.outcome_logs(x.withColumnRenamed("page_id", "job_id"))
+    path = K.new_table(spark, "logs")
+    logs.write.mode("append").parquet(path)
+    return spark.read.schema(logs.schema).parquet(path).select("job_id", "level", "message", "source_url", "component")
 
 
 @register("total_content_bytes", sql=(

@@ -169,12 +169,15 @@ def q_changed_pages(spark, d):
         .select("url", F.col("l.result_id").alias("result_id"))
 
 
-@register("reconstruct_version")
+SNAPSHOT_EVERY = 16
+
+
+@register("reconstruct_version", sql=f"SELECT url, version_number, content_hash AS rebuilt_hash FROM ({SQL_VERSIONS})", views=VIEWS)
 def q_reconstruct_version(spark, d):
-    v = X.reconstruct_versions(versions(spark, d).withColumn(
-        "_bucket", F.floor(F.col("version_number") / F.lit(DEFAULT_ID_WIDTH)).cast("bigint")))
-    return v.select("url", "version_number",
-                    (content_hash(F.col("reconstructed")) == F.col("content_hash")).alias("matches"))
+    """The stored rows alone go into the fold: the hash of what comes out must be the hash of the content that went in."""
+    v = X.build_versions(history(spark, d), snapshot_every=SNAPSHOT_EVERY).select(
+        "url", "version_number", "content_hash", "is_snapshot", "full_content", "diff_content")
+    return X.reconstruct_versions(v, snapshot_every=SNAPSHOT_EVERY).select("url", "version_number", content_hash(F.col("rebuilt")).alias("rebuilt_hash"))
 
 
 @register("join_version_result", sql=(
