@@ -7,23 +7,30 @@ runs to the next one. Every block rule is an array expression over that one
 row's pieces:
 
 * a ``p`` ends at the next block-level tag (the HTML paragraph rule);
-* containers (section, blockquote, lists, div, pre ...) end at the next close
-  of their own tag name -- same-tag nesting inside a container is not
-  followed (documented approximation);
+* containers (section, blockquote, lists, div, pre ...) end at their own end
+  tag, found by a stack over the tag names (``functions.elements_udf``, the
+  one step that is a pandas UDF: it sees tag names, no text);
 * text of an element = its text fragments, entity-decoded and stripped.
 
+Cleaning (stripped tags, classes, hidden elements) and the choice of the main
+content work the same way on the page's single tags.
+
 No shuffle, no per-page group: a page is one row from scan to output, so a
 huge page costs one task and skew across pages cannot arise.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AD_WORDS, DEFAULT, EngineConfig
+from ..functions.elements_udf import element_ends, piece_ends
 from ..functions.html import WS, entity_decode, pystrip, strip_raw_text
 from ..functions.jsonx import BLOCK_TYPE
+from ..plans.windows import row_barrier
 
 # --------------------------------------------------------------------------
 # FIXED VALUES
@@ -164,7 +171,7 @@ def code_language(opener: Column, text: Column) -> Column:
     """Class prefix -> class name -> data-language/data-lang -> content."""
     classes = F.filter(F.split(F.lower(attr(opener, CLASS_RE)), r"\s+"), lambda c: c != "")
     pref = F.transform(classes, lambda c: F.coalesce(
-        *[F.when(c.startswith(p) & (F.length(c) > len(p)), F.substring(c, len(p) + 1, 10_000)) for p in LANG_PREFIXES]))
+        *[F.when(c.startswith(p) & (F.length(c) > len(p)), F.substring(c, len(p) + 1, 1 << 30)) for p in LANG_PREFIXES]))
     first_pref = F.try_element_at(F.filter(pref, lambda x: x.isNotNull()), F.lit(1))
     named = F.try_element_at(F.filter(F.transform(classes, language_alias), lambda x: x != "unknown"), F.lit(1))
     dl = attr(opener, r"""(?is)\sdata-language\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -186,45 +193,95 @@ def _block(type_: Column | str, content: Column, level=None, language=None, item
 
 
 # ------------------------------------------------------------------ cleaning
-def strip_subtrees(h: Column, tags) -> Column:
-    """H5: drop whole ``<tag>...</tag>`` subtrees (script/style already gone)."""
-    for t in tags:
-        if t in ("script", "style"):
-            continue
-        h = F.regexp_replace(h, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "")
-    return h
+TOKEN_RE = "<[^>]*>|[^<]+|<"
+KEY_RE = r"^<(/?[a-zA-Z][a-zA-Z0-9]*)"
+
+
+def with_tokens(df: DataFrame, src: str) -> DataFrame:
+    """``_tok`` (tags and texts of ``src``), ``_key`` (``div``, ``/div`` or ''
+    for each) and ``_end`` (where the element that starts there ends)."""
+    df = df.withColumn("_tok", F.regexp_extract_all(F.col(src), F.lit(TOKEN_RE), 0))
+    df = df.withColumn("_key", F.transform("_tok", lambda t: F.lower(F.regexp_extract(t, KEY_RE, 1))))
+    return row_barrier(df.withColumn("_end", element_ends("_key")))
+
+
+def _spans(flag) -> Column:
+    """Elements whose (key, start tag) are flagged: structs (s, e, opener, inner)."""
+    each = F.transform("_tok", lambda t, i: F.when(
+        (F.get("_key", i) != "") & ~F.get("_key", i).startswith("/") & flag(F.get("_key", i), t),
+        F.struct(i.alias("s"), F.get("_end", i).alias("e"), F.get("_key", i).alias("key"), t.alias("opener"))))
+    found = F.filter(each, lambda x: x.isNotNull())
+    return F.transform(found, lambda x: x.withField("inner", F.array_join(F.slice("_tok", x["s"] + 2, F.greatest(x["e"] - x["s"] - 1, F.lit(0))), "")))
+
+
+CODE_TAGS = ["pre", "code", "samp", "kbd"]
+
+
+def is_code_element(key: Column, opener: Column, inner: Column, cfg: EngineConfig = DEFAULT) -> Column:
+    """Code by tag, by class, or by the density of its text: never stripped."""
+    return key.isin(*CODE_TAGS) | has_code_class(opener) | is_code_by_density(format_text(inner), cfg)
+
 
+def tag_flag(tags):
+    return lambda key, opener: key.isin(*tags)
 
-def strip_class_subtrees(h: Column, names) -> Column:
-    """H6: drop elements whose class or id contains a strip name."""
-    alt = "|".join(n.lower().replace("-", r"\-") for n in names)
-    pat = (r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id)\s*=\s*[\"']?[^\"'>]*(?:" + alt +
-           r")[^\"'>]*[\"']?[^>]*>.*?</\1\s*>")
-    return F.regexp_replace(h, pat, "")
 
+def class_flag(names):
+    """H6: a class or the id contains a name."""
+    alt = "|".join(re.escape(n.lower()) for n in names)
+    return lambda key, opener: F.lower(F.concat(attr(opener, CLASS_RE), F.lit(" "), attr(opener, ID_RE))).rlike(alt) if names else F.lit(False)
 
-def strip_hidden(h: Column) -> Column:
-    """H7: drop elements with inline display:none / visibility:hidden."""
-    pat = (r"(?is)<([a-z][a-z0-9]*)\b[^>]*\sstyle\s*=\s*[\"'][^\"']*(?:display *: *none|visibility *: *hidden)"
-           r"[^\"']*[\"'][^>]*>.*?</\1\s*>")
-    return F.regexp_replace(h, pat, "")
 
+def hidden_flag(key, opener):
+    """H7: inline display:none or visibility:hidden."""
+    return F.replace(F.lower(attr(opener, STYLE_RE)), F.lit(" "), F.lit("")).rlike("display:none|visibility:hidden")
 
-def main_content(h: Column) -> Column:
-    """H4: the first <article> (else <main>, else <body>) inner html; the
-    whole document when that is 100 chars or less."""
-    art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    mn = F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1)
-    body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
-    cand = F.when(art != "", art).when(mn != "", mn).otherwise(body)
-    return F.when(F.length(pystrip(cand)) > MAIN_MIN_CHARS, cand).otherwise(h)
 
+def strip_elements(df: DataFrame, src: str, out: str, flag, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """H5-H7: ``src`` without the flagged elements, whole subtrees by their own
+    end tag; code elements are spared."""
+    keep = [c for c in df.columns if c != out]
+    d = with_tokens(df, src)
+    d = d.withColumn("_sp", F.filter(_spans(flag), lambda x: ~is_code_element(x["key"], x["opener"], x["inner"], cfg)))
+    d = d.withColumn("_sp", F.transform("_sp", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    left = F.filter("_tok", lambda t, i: ~F.exists("_sp", lambda x: (x["s"] <= i) & (i < x["e"])))
+    return d.select(*keep, F.when(F.size("_sp") > 0, F.array_join(left, "")).otherwise(F.col(src)).alias(out))
 
-def clean_main(html: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    h = main_content(strip_raw_text(html))
-    h = strip_subtrees(h, cfg.strip_tags)
-    h = strip_class_subtrees(h, cfg.strip_classes)
-    return strip_hidden(h)
+
+def main_content(df: DataFrame, src: str, out: str) -> DataFrame:
+    """H4: the main content of ``src``. Candidates are the outermost articles
+    (or, without any, main elements, or else the body); their score is text
+    length x (1 - share of link text). All candidates with a fifth of the best
+    score are kept, in page order; the whole document when they hold 100
+    characters or less."""
+    keep = [c for c in df.columns if c != out]
+    d = with_tokens(df, src).withColumn("_all", _spans(tag_flag(["article", "main", "body"])))
+    for tag in ("article", "main", "body"):
+        d = d.withColumn(f"_{tag}", F.expr(f"filter(_all, x -> x.key = '{tag}')"))
+    pick = F.when(F.size("_article") > 0, F.col("_article")).when(F.size("_main") > 0, F.col("_main")).otherwise(F.col("_body"))
+    d = d.withColumn("_cand", pick)
+    d = d.withColumn("_cand", F.filter("_cand", lambda x: ~F.exists("_cand", lambda y: (y["s"] < x["s"]) & (x["s"] < y["e"]))))
+
+    def text_len(x):
+        return F.length(F.regexp_replace(x, "<[^>]*>", ""))
+
+    def inner(x):  # without the end tag, if there is one
+        return F.regexp_replace(x["inner"], "(?i)</(article|main|body)\\s*>$", "")
+    links = lambda x: text_len(F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), 0), ""))
+    d = d.withColumn("_cand", F.transform("_cand", lambda x: F.struct(inner(x).alias("x"), (text_len(x["inner"]) - links(x["inner"])).alias("score"))))
+    d = d.withColumn("_top", F.array_max(F.transform("_cand", lambda x: x["score"])))
+    d = d.withColumn("_m", F.array_join(F.transform(F.filter("_cand", lambda x: x["score"] * 5 >= F.col("_top")), lambda x: x["x"]), ""))
+    return d.select(*keep, F.when(F.length(pystrip(F.col("_m"))) > MAIN_MIN_CHARS, F.col("_m")).otherwise(F.col(src)).alias(out))
+
+
+def clean_main(df: DataFrame, html_col: str, out: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Main content without comments, scripts, styles, stripped tags and
+    classes, and hidden elements."""
+    d = df.withColumn("_raw", strip_raw_text(F.col(html_col)))
+    d = main_content(d, "_raw", out)
+    flags = [tag_flag(cfg.strip_tags), class_flag(cfg.strip_classes), hidden_flag]
+    d = strip_elements(d, out, out, lambda k, o: flags[0](k, o) | flags[1](k, o) | flags[2](k, o), cfg)
+    return d.drop("_raw")
 
 
 # ------------------------------------------------------------------ pieces
@@ -264,21 +321,14 @@ def with_elements(df: DataFrame, html_col: str = "html", cfg: EngineConfig = DEF
     """Stage the per-row element model on ``_P``: span ends, span text, pass-2
     code verdicts; and ``_code_spans``. ``main_only=False`` models the whole
     page (comments, scripts and styles removed)."""
-    src = clean_main(F.col(html_col), cfg) if main_only else strip_raw_text(F.col(html_col))
-    df = df.withColumn("_main", src)
+    df = clean_main(df, html_col, "_main", cfg) if main_only else df.withColumn("_main", strip_raw_text(F.col(html_col)))
     df = with_pieces(df, "_main")
     df = df.withColumn("_K", F.transform("_P", lambda p: p["key"]))
-    n = F.size(F.col("_P"))
+    df = row_barrier(df.withColumn("_E", piece_ends("_K")))
 
     def end(p):
-        i = p["idx"]
-        later = F.slice(F.col("_K"), i + 2, F.greatest(n - i - 1, F.lit(1)))
-        # a list item also ends at the next item or the list's close
-        hits = F.transform(later, lambda k: F.when(p["tag"] == "li", k.isin("li", "/li", "/ul", "/ol"))
-                           .otherwise(k == F.concat(F.lit("/"), p["tag"])))
-        rel = F.array_position(hits, True)
         cont = p["tag"].isin(*CONTAINERS) & ~p["key"].startswith("/")
-        return F.when(cont & (i + 1 < n) & (rel > 0), i + rel).otherwise(F.when(cont, n).otherwise(i + 1))
+        return F.when(cont, F.get("_E", p["idx"])).otherwise(p["idx"] + 1)
     df = _add_fields(df, "_P", end=end)
     df = df.withColumn("_PR", F.transform("_P", lambda p: p["raw"])).withColumn(
         "_PF", F.transform("_P", lambda p: p["frags"]))
@@ -320,8 +370,12 @@ def with_text_blocks(df: DataFrame, cfg: EngineConfig = DEFAULT, out: str = "_te
                          .otherwise(F.length(p["span_raw"]) + F.length(p["tag"]) + 3)))
     P = F.col("_P")
 
+    df = df.withColumn("_L", F.filter(P, lambda p: p["key"].isin("ul", "ol")))
+
     def items(p):
-        lis = F.filter(P, lambda q: (q["key"] == "li") & (q["idx"] > p["idx"]) & (q["idx"] < p["end"]))
+        # items of this list, not of a list inside it
+        lis = F.filter(P, lambda q: (q["key"] == "li") & (q["idx"] > p["idx"]) & (q["idx"] < p["end"])
+                       & ~F.exists("_L", lambda r: (r["idx"] > p["idx"]) & (r["idx"] < q["idx"]) & (q["idx"] < r["end"])))
         txt = F.transform(lis, lambda q: F.array_join(F.flatten(F.slice(F.col("_PF"), q["idx"] + 1,
                                                                           F.greatest(F.least(q["end"], p["end"]) - q["idx"], F.lit(1)))), " "))
         return F.filter(txt, lambda x: x != "")
@@ -433,21 +487,27 @@ def interleave(text: Column, code: Column) -> Column:
     return F.transform(F.array_sort(F.concat(tk, ck)), lambda x: x["blk"])
 
 
-def target_blocks(html: Column, kind: str) -> Column:
-    """<header> / <footer> element texts; H21: elements whose class
-    or id contains an ad word, text longer than 10 chars."""
-    h = strip_raw_text(html)
-    if kind in ("header", "footer"):
-        inner = F.regexp_extract_all(h, F.lit(rf"(?is)<{kind}\b[^>]*>(.*?)</{kind}\s*>"), 1)
-        txt = F.transform(inner, lambda x: F.array_join(frags(x), " "))
-        return F.transform(F.filter(txt, lambda x: x != ""), lambda x: _block(f"{kind}_content", x, pos=F.lit(-1)))
-    alt = "|".join(sorted(set(AD_WORDS)))
-    pat = (r"(?is)<([a-z][a-z0-9]*)\b(?=[^>]*\s(?:class|id)\s*=\s*[\"']?[^\"'>]*(?:" + alt +
-           r"))[^>]*>(.*?)</\1\s*>")
-    inner = F.regexp_extract_all(h, F.lit(pat), 2)
-    txt = F.transform(inner, lambda x: F.array_join(frags(x), " "))
-    return F.transform(F.filter(txt, lambda x: F.length(x) > AD_MIN_CHARS),
-                       lambda x: _block("ad_content", x, pos=F.lit(-1)))
+def target_blocks(df: DataFrame, html_col: str, kinds: list[str]) -> DataFrame:
+    """``_header`` / ``_footer``, the texts of these elements; H21:
+    ``_ad``, elements whose class or id contains an ad word, with a text longer
+    than 10 characters (an ad inside an ad is one of its own)."""
+    keep = df.columns
+    d = with_tokens(df.withColumn("_raw", strip_raw_text(F.col(html_col))), "_raw")
+    out = []
+    for kind in kinds:
+        flag = tag_flag([kind]) if kind != "ad" else class_flag(sorted(set(AD_WORDS)))
+        least = 0 if kind != "ad" else AD_MIN_CHARS
+        txt = F.transform(_spans(flag), lambda x: F.array_join(frags(x["inner"]), " "))
+        out.append(F.transform(F.filter(txt, _longer(least)), _target(f"{kind}_content")).alias(f"_{kind}"))
+    return d.select(*keep, *out)
+
+
+def _longer(least: int):
+    return lambda x: F.length(x) > least
+
+
+def _target(name: str):
+    return lambda x: _block(name, x, pos=F.lit(-1))
 
 
 def extract_blocks(pages: DataFrame, targets=("text",), html_col: str = "html",
@@ -455,17 +515,21 @@ def extract_blocks(pages: DataFrame, targets=("text",), html_col: str = "html",
     """Pages -> (page_id, ..., blocks array) with header/footer/ad
     targets; blank html gives no row."""
     targets = list(targets) or ["text"]
-    df = with_elements(pages.where(pystrip(F.col(html_col)) != ""), html_col, cfg)
+    df = pages.where(pystrip(F.col(html_col)) != "")
+    kinds = [kind for target, kind in (("headers", "header"), ("footers", "footer"), ("ads", "ad")) if target in targets]
+    if kinds:
+        df = target_blocks(df, html_col, kinds)
+    df = with_elements(df, html_col, cfg)
     df = with_text_blocks(df, cfg)
     df = df.withColumn("_text", post_process(F.col("_text_raw")))
     df = with_code_blocks(df, cfg)
     blocks = interleave(F.col("_text"), F.col("_code"))
     if "headers" in targets:
-        blocks = F.concat(target_blocks(F.col(html_col), "header"), blocks)
+        blocks = F.concat(F.col("_header"), blocks)
     if "footers" in targets:
-        blocks = F.concat(blocks, target_blocks(F.col(html_col), "footer"))
+        blocks = F.concat(blocks, F.col("_footer"))
     if "ads" in targets:
-        blocks = F.concat(blocks, target_blocks(F.col(html_col), "ad"))
+        blocks = F.concat(blocks, F.col("_ad"))
     df = df.withColumn("_all", blocks)
     out = F.transform(F.filter("_all", lambda b: pystrip(b["content"]) != ""), lambda b: b.dropFields("pos"))
     keep = [c for c in pages.columns if c != html_col]

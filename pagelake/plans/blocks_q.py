@@ -21,8 +21,36 @@ CFG = DEFAULT
 WS = H.WS
 
 
+# ------------------------------------------------------------- inputs
+# Every page's article gets elements that its page id chooses, so that all
+# rules have rows: nested sidebars, hidden parts, lists in lists, code of every
+# tag, headers, ads in ads, quotes, a second article.
+EXTRA = [
+    '<div class="left sidebar"><div>side @</div>REST @</div><p id="cookie-banner">We use cookies @</p><pre class="sidebar code">kept = {@};</pre>',
+    '<div style="display: none"><div>hidden @</div>still hidden</div><ul><li>one @<ul><li>in</li></ul>tail</li><li>two</li></ul><ol><li>first</li></ol>',
+    '<pre class="language-python">def f@(x):\n    return x</pre><code class="js">let a = @;</code><samp>out @</samp><kbd>Ctrl-@</kbd><div data-lang="rb">x = {a: [@], b: {c: 1}};</div>',
+    '<header><h2>Head @</h2></header><div class="ad-box">Buy item @ now<div class="promo">Promo number @ today</div></div><div class="hljs">SELECT @ FROM t</div>',
+    '<section><p>Section @ holds enough words to pass the gate of paragraphs</p><blockquote>Quote @ <p>deep words</p> after</blockquote>end of it</section><noscript>Enable scripts</noscript>',
+    '<span class="popup">pop @</span><div style="visibility:hidden">x</div><td class="terminal">$ cd /tmp/@; ls -l | grep "x" > out.txt</td>',
+]
+SECOND = "<article><h2>Second @</h2><p>Another article @ with quite a few words of its own, more than twenty of them, so that it is kept beside the first one on any page</p></article>"
+
+
 def pages(spark, d):
-    return read_table(spark, d, "pages").select("page_id", "url", "html")
+    p = read_table(spark, d, "pages").select("page_id", "url", "html")
+    extra = F.element_at(F.array(*[F.lit(x) for x in EXTRA]), (F.col("page_id") % len(EXTRA) + 1).cast("int"))
+    second = F.when(F.col("page_id") % 4 == 0, F.lit(SECOND)).otherwise(F.lit(""))
+    more = F.replace(F.concat(extra, F.lit("</article>"), second), F.lit("@"), F.col("page_id").cast("string"))
+    return p.select("page_id", "url", F.replace("html", F.lit("</article>"), more).alias("html"))
+
+
+def _sql_text(x: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+
+
+SQL_EXTRA = "[" + ", ".join(_sql_text(x) for x in EXTRA) + f"][page_id % {len(EXTRA)} + 1]"
+SQL_VPAGES = (f"(SELECT page_id, url, replace(html, '</article>', replace({SQL_EXTRA} || '</article>' || CASE WHEN page_id % 4 = 0 THEN {_sql_text(SECOND)} "
+              f"ELSE '' END, '@', CAST(page_id AS VARCHAR))) AS html FROM pages)")
 
 
 def elements(spark, d):
@@ -71,61 +99,77 @@ def sql_density_code(t: str) -> str:
             f"({d} >= {low!r} AND {ind} >= 0.4)))")
 
 
-def sql_main(h: str) -> str:
-    x = H.sql_strip_raw_text(h)
-    art = f"regexp_extract({x}, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
-    mn = f"regexp_extract({x}, '(?is)<main\\b[^>]*>(.*?)</main\\s*>', 1)"
-    body = f"regexp_extract({x}, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1)"
-    cand = f"(CASE WHEN {art} <> '' THEN {art} WHEN {mn} <> '' THEN {mn} ELSE {body} END)"
-    return f"(CASE WHEN length({STRIP(cand)}) > 100 THEN {cand} ELSE {x} END)"
+def sql_tokens(src: str) -> str:
+    """(page_id, x, i, t, key, tag, e) of the tags and texts of rows (page_id, x): e is the place after the element's own end
+    tag, matched by the depth of its name (the page's end without one)."""
+    return (f"SELECT page_id, x, i, t, key, tag, CASE WHEN key <> '' AND NOT starts_with(key, '/') AND nk = '/' || tag THEN ni + 1 ELSE n END AS e FROM ("
+            f"SELECT *, lead(key) OVER lv AS nk, lead(i) OVER lv AS ni, count(*) OVER (PARTITION BY page_id) AS n FROM ("
+            f"SELECT *, sum(CASE WHEN key = '' THEN 0 WHEN starts_with(key, '/') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY i) + "
+            f"CASE WHEN starts_with(key, '/') THEN 1 ELSE 0 END AS lvl FROM (SELECT *, regexp_replace(key, '^/', '') AS tag FROM ("
+            f"SELECT page_id, x, i, t, lower(regexp_extract(t, '{B.KEY_RE}', 1)) AS key FROM (SELECT page_id, x, unnest(tk) AS t, "
+            f"generate_subscripts(tk, 1) - 1 AS i FROM (SELECT page_id, x, regexp_extract_all(x, '{B.TOKEN_RE}') AS tk FROM ({src}))))))"
+            f" WINDOW lv AS (PARTITION BY page_id, tag, lvl ORDER BY i))")
 
 
-STRIP_CLASS_TAGS = ["div", "section", "aside", "span", "ul", "ol", "p", "nav", "header", "footer", "article",
-                    "table", "form", "li", "figure", "iframe", "ins"]
+def sql_inner(tk: str, a: str, e: str) -> str:
+    return f"coalesce((SELECT string_agg(z.t, '' ORDER BY z.i) FROM {tk} z WHERE z.page_id = {a}.page_id AND z.i > {a}.i AND z.i < {e}), '')"
 
 
-def sql_strip_subtrees(h: str) -> str:
-    for t in CFG.strip_tags:
-        if t in ("script", "style"):
-            continue
-        h = f"regexp_replace({h}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
-    return h
+def sql_main(src: str) -> str:
+    """(page_id, x) -> (page_id, x) of the main content."""
+    tlen = lambda x: f"length(regexp_replace({x}, '<[^>]*>', '', 'g'))"
+    links = "array_to_string(regexp_extract_all(whole, '(?is)<a\\b[^>]*>.*?</a\\s*>'), '')"
+    return (f"WITH tk AS MATERIALIZED ({sql_tokens(src)}), c0 AS (SELECT *, min(CASE tag WHEN 'article' THEN 1 WHEN 'main' THEN 2 ELSE 3 END) OVER (PARTITION BY page_id) AS best, "
+            f"CASE tag WHEN 'article' THEN 1 WHEN 'main' THEN 2 ELSE 3 END AS k FROM tk WHERE key IN ('article', 'main', 'body')), "
+            f"c1 AS (SELECT * FROM c0 a WHERE k = best AND NOT EXISTS (SELECT 1 FROM c0 b WHERE b.page_id = a.page_id AND b.k = a.k AND b.i < a.i AND a.i < b.e)), "
+            f"c2 AS (SELECT a.page_id, a.i, {sql_inner('tk', 'a', 'a.e')} AS whole FROM c1 a), "
+            f"c3 AS (SELECT *, {tlen('whole')} - {tlen(links)} AS score FROM c2), "
+            f"c4 AS (SELECT *, max(score) OVER (PARTITION BY page_id) AS top FROM c3), "
+            f"c5 AS (SELECT page_id, string_agg(regexp_replace(whole, '(?i)</(article|main|body)\\s*>$', ''), '' ORDER BY i) AS m FROM c4 WHERE score * 5 >= top GROUP BY page_id) "
+            f"SELECT s.page_id, CASE WHEN length({STRIP("coalesce(m, '')")}) > 100 THEN m ELSE s.x END AS x FROM ({src}) s LEFT JOIN c5 USING (page_id)")
 
 
-def sql_strip_classes(h: str) -> str:
-    alt = "|".join(n.lower().replace("-", "\\-") for n in CFG.strip_classes)
-    for t in STRIP_CLASS_TAGS:
-        h = (f"regexp_replace({h}, '(?is)<{t}\\b[^>]*\\s(?:class|id)\\s*=\\s*[\"'']?[^\"''>]*(?:{alt})[^\"''>]*"
-             f"[\"'']?[^>]*>.*?</{t}\\s*>', '', 'g')")
-    return h
+def sql_flag(what: str, key: str = "key", t: str = "t") -> str:
+    if what == "tags":
+        return f"{key} IN ({', '.join(repr(x) for x in CFG.strip_tags)})"
+    if what == "classes" or what == "ads":
+        alt = "|".join(x.lower().replace("-", "\\-") for x in (CFG.strip_classes if what == "classes" else sorted(set(B.AD_WORDS))))
+        return f"regexp_matches(lower({sql_attr(t, B.CLASS_RE)} || ' ' || {sql_attr(t, B.ID_RE)}), '{alt}')"
+    return f"regexp_matches(replace(lower({sql_attr(t, B.STYLE_RE)}), ' ', ''), 'display:none|visibility:hidden')"
 
 
-def sql_strip_hidden(h: str) -> str:
-    for t in STRIP_CLASS_TAGS:
-        h = (f"regexp_replace({h}, '(?is)<{t}\\b[^>]*\\sstyle\\s*=\\s*[\"''][^\"'']*(?:display *: *none|visibility *: *hidden)"
-             f"[^\"'']*[\"''][^>]*>.*?</{t}\\s*>', '', 'g')")
-    return h
+def sql_strip(src: str, flag: str) -> str:
+    """(page_id, x) -> (page_id, x) without the flagged elements that aren't code."""
+    return (f"WITH tk AS MATERIALIZED ({sql_tokens(src)}), fl AS (SELECT a.*, {sql_inner('tk', 'a', 'a.e')} AS inner_html FROM tk a "
+            f"WHERE a.key <> '' AND NOT starts_with(a.key, '/') AND ({flag})), "
+            f"sp AS (SELECT page_id, i AS s, e FROM (SELECT *, {sql_format_text('inner_html')} AS ft FROM fl) WHERE NOT (key IN ('pre', 'code', 'samp', 'kbd') OR {sql_code_class('t')} "
+            f"OR coalesce({sql_density_code('ft')}, false))), "
+            f"o AS (SELECT page_id, string_agg(t, '' ORDER BY i) AS x FROM tk WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.page_id = tk.page_id AND sp.s <= tk.i AND tk.i < sp.e) GROUP BY page_id) "
+            f"SELECT s.page_id, CASE WHEN EXISTS (SELECT 1 FROM sp WHERE sp.page_id = s.page_id) THEN coalesce(o.x, '') ELSE s.x END AS x FROM ({src}) s LEFT JOIN o USING (page_id)")
 
 
-def sql_clean_main(h: str) -> str:
-    return sql_strip_hidden(sql_strip_classes(sql_strip_subtrees(sql_main(h))))
+SQL_RAW = f"SELECT page_id, {H.sql_strip_raw_text('html')} AS x FROM {SQL_VPAGES}"
+SQL_FLAGS = f"{sql_flag('tags')} OR {sql_flag('classes')} OR {sql_flag('hidden')}"
+SQL_CLEAN = sql_strip(sql_main(SQL_RAW), SQL_FLAGS)
 
 
 MARK_RE_SQL = q(B.MARK_RE)
 CONT = ", ".join(f"'{t}'" for t in B.CONTAINERS)
 
 SQL_PIECES_T = f"""
-m AS MATERIALIZED (SELECT page_id, html, {{MAIN}} AS main FROM pages WHERE {{NONBLANK}} <> ''),
+m AS MATERIALIZED (SELECT c.page_id, c.x AS main FROM ({{MAIN}}) c JOIN {{PAGES}} p USING (page_id) WHERE {{NONBLANK}} <> ''),
 pc AS (SELECT page_id, main, string_split(regexp_replace(main, '{MARK_RE_SQL}', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM m),
 p0 AS (SELECT page_id, main, len(parts) AS n, CAST(i - 1 AS INTEGER) AS idx, raw,
        CASE WHEN i = 1 THEN '' ELSE lower(regexp_extract(raw, '^<(/?[a-zA-Z0-9]+)', 1)) END AS key,
        CASE WHEN i = 1 THEN '' ELSE regexp_extract(raw, '^(<[^>]*>)', 1) END AS opener
        FROM (SELECT page_id, main, parts, unnest(parts) AS raw, generate_subscripts(parts, 1) AS i FROM pc)),
 p1 AS (SELECT *, regexp_replace(key, '^/', '') AS tag, substr(raw, length(opener) + 1) AS body, length(raw) AS rawlen FROM p0),
-p2 AS MATERIALIZED (SELECT *, {sql_frags('body')} AS frags, regexp_matches(body, '<[a-zA-Z]') AS has_tags,
+p2 AS MATERIALIZED (SELECT * EXCLUDE (main), {sql_frags('body')} AS frags, regexp_matches(body, '<[a-zA-Z]') AS has_tags,
        (tag IN ({CONT}) AND NOT starts_with(key, '/')) AS cont, (tag IN ('div', 'p', 'td') AND NOT starts_with(key, '/')) AS pass2 FROM p1),
-p3 AS (SELECT a.*, CASE WHEN NOT a.cont THEN a.idx + 1 ELSE coalesce((SELECT min(b.idx) FROM p2 b WHERE b.page_id = a.page_id
-       AND b.idx > a.idx AND (CASE WHEN a.tag = 'li' THEN b.key IN ('li', '/li', '/ul', '/ol') ELSE b.key = '/' || a.tag END)), a.n) END AS e FROM p2 a),
+pl AS (SELECT *, sum(CASE WHEN key = '' THEN 0 WHEN starts_with(key, '/') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY idx)
+       + CASE WHEN starts_with(key, '/') THEN 1 ELSE 0 END AS lvl FROM p2),
+pm AS (SELECT *, lead(key) OVER lv AS nk, lead(idx) OVER lv AS nidx FROM pl WINDOW lv AS (PARTITION BY page_id, tag, lvl ORDER BY idx)),
+p3 AS (SELECT * EXCLUDE (lvl, nk, nidx), CAST(CASE WHEN NOT cont THEN idx + 1 WHEN nk = '/' || tag THEN nidx ELSE n END AS INTEGER) AS e FROM pm),
 p4 AS MATERIALIZED (SELECT a.*, (SELECT string_agg(b.raw, '' ORDER BY b.idx) FROM p2 b WHERE b.page_id = a.page_id AND b.idx >= a.idx AND b.idx < a.e) AS span_raw,
        (SELECT flatten(list(b.frags ORDER BY b.idx)) FROM p2 b WHERE b.page_id = a.page_id AND b.idx >= a.idx AND b.idx < a.e) AS span_frags FROM p3 a),
 p5 AS (SELECT *, substr(span_raw, length(opener) + 1) AS inner_html FROM p4),
@@ -142,8 +186,9 @@ p9 AS MATERIALIZED (SELECT *, {sql_word_count('ptxt')} AS w, CASE WHEN NOT has_t
 """
 
 
-SQL_PIECES = SQL_PIECES_T.replace("{MAIN}", sql_clean_main('html')).replace("{NONBLANK}", STRIP('html'))
-SQL_PIECES_PAGE = SQL_PIECES_T.replace("{MAIN}", H.sql_strip_raw_text('html')).replace("{NONBLANK}", STRIP('html'))
+SQL_PIECES_T = SQL_PIECES_T.replace("{PAGES}", SQL_VPAGES).replace("{NONBLANK}", STRIP('html'))
+SQL_PIECES = SQL_PIECES_T.replace("{MAIN}", SQL_CLEAN)
+SQL_PIECES_PAGE = SQL_PIECES_T.replace("{MAIN}", SQL_RAW)
 
 
 def with_pieces_sql(select: str, whole_page: bool = False) -> str:
@@ -158,9 +203,10 @@ GATE = (f"NOT (w < {CFG.min_block_words} AND tag <> 'blockquote' AND w < {B.MIN_
 @register("html_tokens", sql=(
     "SELECT page_id, CAST(p - 1 AS BIGINT) AS pos, CASE WHEN starts_with(t, '</') THEN 'close' WHEN starts_with(t, '<!') "
     "OR starts_with(t, '<?') THEN 'other' WHEN starts_with(t, '<') THEN 'open' ELSE 'text' END AS kind, "
-    "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, CAST(length(t) AS INTEGER) AS len FROM ("
+    "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, CASE WHEN starts_with(t, '<') THEN regexp_extract(t, '^</?[a-zA-Z][a-zA-Z0-9]*(.*?)/?>$', 1) ELSE '' END AS attrs, "
+    f"CASE WHEN starts_with(t, '<') THEN '' ELSE {DEC('t')} END AS text FROM ("
     f"SELECT page_id, unnest(tk) AS t, generate_subscripts(tk, 1) AS p FROM (SELECT page_id, "
-    f"regexp_extract_all({H.sql_strip_raw_text('html')}, '<[^>]*>|[^<]+') AS tk FROM pages))"))
+    f"regexp_extract_all({H.sql_strip_raw_text('html')}, '<[^>]*>|[^<]+') AS tk FROM {SQL_VPAGES}))"))
 def q_html_tokens(spark, d):
     t = pages(spark, d).select("page_id", F.posexplode_outer(F.regexp_extract_all(H.strip_raw_text("html"),
                                                                                   F.lit("<[^>]*>|[^<]+"), 0)).alias("pos", "t"))
@@ -170,7 +216,8 @@ def q_html_tokens(spark, d):
             .when(F.col("t").startswith("<"), "open").otherwise("text"))
     return t.select("page_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"),
                     F.lower(F.regexp_extract("t", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"),
-                    F.length("t").alias("len"))
+                    F.when(F.col("t").startswith("<"), F.regexp_extract("t", r"^</?[a-zA-Z][a-zA-Z0-9]*(.*?)/?>$", 1)).otherwise(F.lit("")).alias("attrs"),
+                    F.when(F.col("t").startswith("<"), F.lit("")).otherwise(H.entity_decode("t")).alias("text"))
 
 
 @register("html_elements", sql=with_pieces_sql(
@@ -187,30 +234,40 @@ def q_page_title(spark, d):
     return pages(spark, d).select("page_id", H.page_title("html").alias("title"))
 
 
-@register("main_content", sql=f"SELECT page_id, CAST(length({sql_main('html')}) AS INTEGER) AS main_chars, md5({sql_main('html')}) AS main_md5 FROM pages")
+def _md5(rows, what, col):
+    return rows.select("page_id", F.length(col).alias(f"{what}_chars"), F.md5(col).alias(f"{what}_md5"))
+
+
+def _sql_md5(what: str, q_: str) -> str:
+    return f"SELECT page_id, CAST(length(x) AS INTEGER) AS {what}_chars, md5(x) AS {what}_md5 FROM ({q_})"
+
+
+def raw_pages(spark, d):
+    return pages(spark, d).select("page_id", H.strip_raw_text("html").alias("raw"))
+
+
+@register("main_content", sql=_sql_md5("main", sql_main(SQL_RAW)))
 def q_main_content(spark, d):
-    m = pages(spark, d).select("page_id", B.main_content(H.strip_raw_text("html")).alias("m"))
-    return m.select("page_id", F.length("m").alias("main_chars"), F.md5("m").alias("main_md5"))
+    return _md5(B.main_content(raw_pages(spark, d), "raw", "main"), "main", "main")
 
 
-@register("strip_tags", sql=f"SELECT page_id, CAST(length({sql_strip_subtrees(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
+@register("strip_tags", sql=_sql_md5("left", sql_strip(SQL_RAW, sql_flag("tags"))))
 def q_strip_tags(spark, d):
-    return pages(spark, d).select("page_id", F.length(B.strip_subtrees(H.strip_raw_text("html"), CFG.strip_tags)).alias("chars"))
+    return _md5(B.strip_elements(raw_pages(spark, d), "raw", "left", B.tag_flag(CFG.strip_tags), CFG), "left", "left")
 
 
-@register("strip_classes", sql=f"SELECT page_id, CAST(length({sql_strip_classes(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
+@register("strip_classes", sql=_sql_md5("left", sql_strip(SQL_RAW, sql_flag("classes"))))
 def q_strip_classes(spark, d):
-    return pages(spark, d).select("page_id", F.length(B.strip_class_subtrees(H.strip_raw_text("html"), CFG.strip_classes))
-                                  .alias("chars"))
+    return _md5(B.strip_elements(raw_pages(spark, d), "raw", "left", B.class_flag(CFG.strip_classes), CFG), "left", "left")
 
 
-@register("strip_hidden", sql=f"SELECT page_id, CAST(length({sql_strip_hidden(H.sql_strip_raw_text('html'))}) AS INTEGER) AS chars FROM pages")
+@register("strip_hidden", sql=_sql_md5("left", sql_strip(SQL_RAW, sql_flag("hidden"))))
 def q_strip_hidden(spark, d):
-    return pages(spark, d).select("page_id", F.length(B.strip_hidden(H.strip_raw_text("html"))).alias("chars"))
+    return _md5(B.strip_elements(raw_pages(spark, d), "raw", "left", B.hidden_flag, CFG), "left", "left")
 
 
 @register("strip_comments", sql=("SELECT page_id, CAST(length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS INTEGER) AS chars, "
-                                 "CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS n_comments FROM pages"))
+                                 f"CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS n_comments FROM {SQL_VPAGES}"))
 def q_strip_comments(spark, d):
     return pages(spark, d).select("page_id", F.length(H.strip_comments("html")).alias("chars"),
                                   F.size(F.regexp_extract_all("html", F.lit(H.COMMENT_RE), 0)).alias("n_comments"))
@@ -239,7 +296,8 @@ def q_block_paragraphs(spark, d):
 
 SQL_ITEMS = ("(SELECT list(array_to_string((SELECT flatten(list(c.frags ORDER BY c.idx)) FROM p9 c WHERE c.page_id = b.page_id "
              "AND c.idx >= b.idx AND c.idx < least(b.e, a.e)), ' ') ORDER BY b.idx) FROM p9 b WHERE b.page_id = a.page_id "
-             "AND b.key = 'li' AND b.idx > a.idx AND b.idx < a.e)")
+             "AND b.key = 'li' AND b.idx > a.idx AND b.idx < a.e AND NOT EXISTS (SELECT 1 FROM p9 r WHERE r.page_id = a.page_id AND r.key IN ('ul', 'ol') "
+             "AND r.idx > a.idx AND r.idx < b.idx AND b.idx < r.e))")
 
 
 @register("block_lists", sql=with_pieces_sql(
@@ -293,63 +351,72 @@ SQL_GUESS = "CASE " + " ".join(
     " WHEN (starts_with(st, '{') AND ends_with(st, '}')) OR (starts_with(st, '[') AND ends_with(st, ']')) THEN 'json' ELSE 'unknown' END"
 
 
+def _sql_alias(x: str) -> str:
+    names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in B.LANGUAGE_ALIASES.items()) + "}"
+    return f"coalesce({names}[{STRIP(x)}], 'unknown')"
+
+
+SQL_LANG_CLASSES = f"list_filter(regexp_split_to_array(lower({sql_attr('opener', B.CLASS_RE)}), '\\s+'), lambda c: c <> '')"
+SQL_LANG_PREF = ("list_filter(list_transform(cls, lambda c: CASE " + " ".join(
+    f"WHEN starts_with(c, '{x}') AND length(c) > {len(x)} THEN substr(c, {len(x) + 1})" for x in B.LANG_PREFIXES) + " END), lambda y: y IS NOT NULL)[1]")
+SQL_DATA = [sql_attr('opener', rf"""(?is)\s{a}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""") for a in ("data-language", "data-lang")]
+
+
 @register("code_language", sql=with_pieces_sql(
-    "SELECT page_id, idx, " + SQL_GUESS + " AS language FROM (SELECT page_id, idx, " + STRIP('ctext') + " AS st, "
-    "lower(array_to_string((string_split(" + STRIP('ctext') + ", chr(10)))[1:10], chr(10))) AS first10 FROM p9 "
-    "WHERE is_code AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.page_id = p9.page_id AND c.s < p9.idx AND p9.idx < c.e) "
-    "AND " + STRIP('ctext') + " <> '' AND lower(" + sql_attr('opener', B.CLASS_RE) + ") = '' "
-    "AND " + sql_attr('opener', r'''(?is)\sdata-lang(?:uage)?\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))''') + " = '')"))
+    f"SELECT page_id, idx, CASE WHEN pref IS NOT NULL THEN {_sql_alias('pref')} WHEN named IS NOT NULL THEN named WHEN dl <> '' THEN {_sql_alias('lower(dl)')} "
+    f"ELSE {SQL_GUESS} END AS language FROM (SELECT *, {SQL_LANG_PREF} AS pref, list_filter(list_transform(cls, lambda c: {_sql_alias('c')}), "
+    f"lambda y: y <> 'unknown')[1] AS named FROM (SELECT page_id, idx, {SQL_LANG_CLASSES} AS cls, CASE WHEN {SQL_DATA[0]} <> '' THEN {SQL_DATA[0]} ELSE {SQL_DATA[1]} END AS dl, "
+    + STRIP('ctext') + " AS st, lower(array_to_string((string_split(" + STRIP('ctext') + ", chr(10)))[1:10], chr(10))) AS first10 FROM p9 "
+    "WHERE (is_code OR key = 'pre') AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.page_id = p9.page_id AND c.s < p9.idx AND p9.idx < c.e) "
+    "AND " + STRIP('ctext') + " <> ''))"))
 def q_code_language(spark, d):
     e = elements(spark, d)
-    hits = e.select("page_id", F.inline_outer(F.transform(F.filter("_P", lambda p: p["is_code"] & ~B._in_code(
+    hits = e.select("page_id", F.inline_outer(F.transform(F.filter("_P", lambda p: (p["is_code"] | (p["key"] == "pre")) & ~B._in_code(
         F.col("_code_spans"), p["idx"], strict=True) & (H.pystrip(p["ctext"]) != "")), lambda p: F.struct(
         p["idx"].alias("idx"), p["opener"].alias("opener"), p["ctext"].alias("text"))))).where(F.col("idx").isNotNull())
-    plain = hits.where((F.lower(B.attr(F.col("opener"), B.CLASS_RE)) == "") & ~F.col("opener").rlike(r"(?i)\sdata-lang"))
-    return plain.select("page_id", "idx", B.code_language(F.col("opener"), F.col("text")).alias("language"))
+    return hits.select("page_id", "idx", B.code_language(F.col("opener"), F.col("text")).alias("language"))
+
+
+def _sql_code_tags() -> str:
+    rest, parts = "regexp_replace(main, '(?is)<pre\\b[^>]*>.*?</pre\\s*>', '', 'g')", []
+    for k, t in enumerate(("code", "samp", "kbd"), 1):
+        parts.append(f"SELECT page_id, {k} AS k, unnest(regexp_extract_all({rest}, '(?is)<{t}\\b[^>]*>(.*?)</{t}\\s*>', 1)) AS x FROM m")
+        rest = f"regexp_replace({rest}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
+    return " UNION ALL ".join(parts)
 
 
 @register("code_tags", sql=with_pieces_sql(
     "SELECT page_id, CAST(0 AS INTEGER) AS pass, pretext AS content FROM p9 WHERE key = 'pre' AND " + STRIP('pretext') + " <> '' "
-    "UNION ALL SELECT page_id, CAST(k AS INTEGER) AS pass, txt AS content FROM (SELECT page_id, 1 AS k, unnest(regexp_extract_all("
-    "regexp_replace(main, '(?is)<pre\\b[^>]*>.*?</pre\\s*>', '', 'g'), '(?is)<code\\b[^>]*>(.*?)</code\\s*>', 1)) AS x FROM m) "
+    "UNION ALL SELECT page_id, CAST(k AS INTEGER) AS pass, txt AS content FROM (" + _sql_code_tags() + ") "
     ", LATERAL (SELECT " + sql_format_text('x') + " AS txt) WHERE " + STRIP('txt') + " <> ''"))
 def q_code_tags(spark, d):
     c = _code(spark, d).select("page_id", F.inline_outer("_C")).where(F.col("text").isNotNull())
-    return c.where(F.col("pass").isin(0, 1)).select("page_id", F.col("pass").cast("int").alias("pass"),
-                                                    F.col("text").alias("content"))
+    return c.where(F.col("pass") < 4).select("page_id", F.col("pass").cast("int").alias("pass"), F.col("text").alias("content"))
 
 
 def _targets(spark, d, kind):
-    p = pages(spark, d)
-    return p.select("page_id", F.inline_outer(F.transform(B.target_blocks(F.col("html"), kind), lambda b: F.struct(
+    t = B.target_blocks(pages(spark, d).select("page_id", "html"), "html", [kind])
+    return t.select("page_id", F.inline_outer(F.transform(f"_{kind}", lambda b: F.struct(
         b["type"].alias("type"), b["content"].alias("content"))))).where(F.col("type").isNotNull())
 
 
-def _sql_target(kind: str) -> str:
-    return (f"SELECT page_id, '{kind}_content' AS type, t AS content FROM (SELECT page_id, unnest(list_transform("
-            f"regexp_extract_all({H.sql_strip_raw_text('html')}, '(?is)<{kind}\\b[^>]*>(.*?)</{kind}\\s*>', 1), "
-            f"lambda x: array_to_string({sql_frags('x')}, ' '))) AS t FROM pages) WHERE t <> ''")
+def _sql_target(kind: str, flag: str, least: int) -> str:
+    return (f"WITH tk AS MATERIALIZED ({sql_tokens(SQL_RAW)}) SELECT page_id, '{kind}_content' AS type, txt AS content FROM (SELECT a.page_id, "
+            f"array_to_string({sql_frags('inner_html')}, ' ') AS txt FROM (SELECT a.*, {sql_inner('tk', 'a', 'a.e')} AS inner_html FROM tk a "
+            f"WHERE a.key <> '' AND NOT starts_with(a.key, '/') AND {flag}) a) WHERE length(txt) > {least}")
 
 
-@register("target_headers", sql=_sql_target("header"))
+@register("target_headers", sql=_sql_target("header", "a.key = 'header'", 0))
 def q_target_headers(spark, d):
     return _targets(spark, d, "header")
 
 
-@register("target_footers", sql=_sql_target("footer"))
+@register("target_footers", sql=_sql_target("footer", "a.key = 'footer'", 0))
 def q_target_footers(spark, d):
     return _targets(spark, d, "footer")
 
 
-AD_ALT = "|".join(sorted(set(B.AD_WORDS)))
-SQL_ADS = " UNION ALL ".join(
-    f"SELECT page_id, 'ad_content' AS type, t AS content FROM (SELECT page_id, unnest(list_transform(regexp_extract_all("
-    f"{H.sql_strip_raw_text('html')}, '(?is)<{t}\\s(?:[^>]*\\s)?(?:class|id)\\s*=\\s*[\"'']?[^\"''>]*(?:{AD_ALT})[^>]*>(.*?)</{t}\\s*>', 1), "
-    f"lambda x: array_to_string({sql_frags('x')}, ' '))) AS t FROM pages) WHERE length(t) > 10"
-    for t in STRIP_CLASS_TAGS)
-
-
-@register("target_ads", sql=SQL_ADS)
+@register("target_ads", sql=_sql_target("ad", sql_flag("ads", "a.key", "a.t"), B.AD_MIN_CHARS))
 def q_target_ads(spark, d):
     return _targets(spark, d, "ad")
 
@@ -360,7 +427,7 @@ SQL_REFS = ("concat('caf&eacute; &#', page_id * 97, ';&#X', to_hex(page_id * 409
 
 
 @register("entity_decode", sql=f"SELECT page_id, {DEC('o')} AS odd, {DEC('t')} AS title FROM (SELECT page_id, {SQL_REFS} AS o, "
-                               "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS t FROM pages)")
+                               "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS t FROM {SQL_VPAGES})")
 def q_entity_decode(spark, d):
     odd = F.concat(F.lit("caf&eacute; &#"), (F.col("page_id") * 97).cast("string"), F.lit(";&#X"), F.hex(F.col("page_id") * 4099), F.lit(";&#x0000"),
                    F.hex(F.col("page_id") % 90 + 33), F.lit("; &#38;lt; &nosuch; &#99999999999999999999; &amp;amp; "), F.col("url"))

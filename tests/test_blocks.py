@@ -49,3 +49,60 @@ def test_code_density_and_language(spark):
     r = df.select(B.is_code_by_density(F.col("t")).alias("c"), B.guess_language(F.col("t")).alias("l")).collect()
     assert [x.c for x in r] == [True, False, False]
     assert r[2].l == "sql"
+
+
+FILL = "<p>" + "enough words to pass the gate of the main content here " * 4 + "</p>"
+
+
+def column(spark, html, stage):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return stage(df).first()
+
+
+def test_subtrees_end_at_their_own_tag(spark):
+    def strip(html, flag):
+        return column(spark, html, lambda d: B.strip_elements(d, "html", "out", flag)).out
+    by_class = B.class_flag(["sidebar"])
+    assert strip('<div class="sidebar"><div>a</div>REST</div>MAIN', by_class) == "MAIN"
+    assert strip('<div id="left-Sidebar"><p>x</div><b>y', by_class) == "<b>y"
+    assert strip('a<nav>b<nav>c</nav>d</nav>e<br/>f', B.tag_flag(["nav"])) == "ae<br/>f"
+    assert strip('<div style="color:red; DISPLAY : none"><div>x</div>y</div>z', B.hidden_flag) == "z"
+    # code is never stripped
+    kept = '<pre class="sidebar">x</pre><div class="sidebar">if (a[0] == {b: 1}) { c = d[2]; }</div>'
+    assert strip(kept + '<div class="sidebar">words only</div>', by_class) == kept
+
+
+def test_nested_lists_and_containers(spark):
+    html = f"<article>{FILL}<ul><li>one<ul><li>in</li></ul>tail</li><li>two</li></ul></article>"
+    lists = [list(r["items"]) for r in blocks(spark, html) if r.type == "unordered_list"]
+    assert lists == [["one in tail", "two"], ["in"]]
+    html = f"<article>{FILL}<ul><li>one<li>two<ol><li>x<li>y</ol></ul></article>"  # no end tags
+    lists = [(r.type, list(r["items"])) for r in blocks(spark, html) if r.type.endswith("_list")]
+    assert lists == [("unordered_list", ["one", "two x y"]), ("ordered_list", ["x", "y"])]
+    html = f"<article>{FILL}<blockquote>Said <p>deep <i>down</i></p> and after <blockquote>inner</blockquote> end</blockquote></article>"
+    quotes = [r.content for r in blocks(spark, html) if r.type == "blockquote"]
+    assert quotes == ["Said deep down and after inner end", "inner"]
+
+
+def test_main_content_keeps_all_articles(spark):
+    text = "words of this article " * 10
+    links = "<a href=/x>" + "more links here " * 20 + "</a>"
+    html = f"<body><nav>menu</nav><article><h1>A</h1>{text}</article><article>{text}<article>inner</article></article><article>{links}</article>foot</body>"
+    got = column(spark, html, lambda d: B.main_content(d, "html", "out")).out
+    assert got.count("words of this article") == 20 and "inner" in got and "more links" not in got and "menu" not in got
+    assert column(spark, "<body><article>short</article>x</body>", lambda d: B.main_content(d, "html", "out")).out.endswith("</body>")
+
+
+def test_ads_inside_ads(spark):
+    html = '<div class="ad-box">outer words here <span id="promo1">inner words here</span></div><p class="x">no</p>'
+    got = column(spark, html, lambda d: B.target_blocks(d, "html", ["ad"]))._ad
+    assert [b.content for b in got] == ["outer words here inner words here", "inner words here"]
+
+
+def test_ends_of_elements():
+    from pagelake.functions.elements_udf import ends_of
+    assert ends_of(["div", "", "div", "/div", "/div", ""], True) == [5, 2, 4, 4, 5, 6]
+    assert ends_of(["div", "", "div", "/div", "/div", ""], False) == [4, 2, 3, 4, 5, 6]
+    assert ends_of(["p", "", "p", "br", "/section", "/p"], True) == [2, 2, 6, 4, 5, 6]
+    assert ends_of(["ul", "li", "li", "ul", "li", "/ul", "/ul"], False)[1:3] == [2, 6]
+    assert ends_of(["div"] * 50_000, True) == [50_000] * 50_000
