@@ -6,6 +6,7 @@ they run inside the scan stage with no shuffle and parallelise per page.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -43,7 +44,7 @@ def _code_point(digits: Column, base: int) -> Column:
 
 def _reference(ref: Column) -> Column:
     """One reference, decoded; an unknown name stays as it is."""
-    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    names = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")  # one literal, folded once
     body = F.substring(ref, 2, F.length(ref) - 2)
     return (F.when(body.rlike("^#[xX]"), _code_point(F.substring(body, 3, F.length(body)), 16))
             .when(body.startswith("#"), _code_point(F.substring(body, 2, F.length(body)), 10))

@@ -113,11 +113,9 @@ def _check_size(categories: list[dict]) -> None:
         raise ValueError(f"{len(categories)} categories exceed the inline bound {MAX_INLINE_CATEGORIES}")
 
 
-def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[dict],
-                   cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Best category per row -> struct(category_name, confidence,
-    url_pattern, keyword_frequency, domain_match) or NULL. Categories:
-    dicts (name, keywords, url_patterns) in order; ties go to the first."""
+def score_categories(df: DataFrame, url_col: str, text_col: str, categories: list[dict]) -> DataFrame:
+    """``scores`` per row, a struct for each category in order: (ord, name,
+    score, url_pattern, keyword_frequency, domain_match)."""
     _check_size(categories)
     d = df.withColumn("_tl", F.lower(F.col(text_col))).withColumn("_wl", words_of(F.col("_tl"))) \
         .withColumn("_hp", F.filter(F.split(url_domain(F.lower(F.col(url_col))), r"[.\-]"), lambda s: s != ""))
@@ -130,7 +128,18 @@ def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[
         scored.append(F.struct(F.lit(i).alias("ord"), F.lit(c["name"]).alias("name"),
                                (u * W_URL + k * W_KEYWORD + dm * W_DOMAIN).alias("score"),
                                u.alias("url_pattern"), k.alias("keyword_frequency"), dm.alias("domain_match")))
-    d = d.withColumn("_sc", F.array(*scored)) if scored else d.withColumn("_sc", F.array())
+    return d.withColumn("scores", F.array(*scored) if scored else F.array().cast(SCORE_TYPE)).drop("_tl", "_wl", "_hp")
+
+
+SCORE_TYPE = "array<struct<ord:int,name:string,score:double,url_pattern:double,keyword_frequency:double,domain_match:double>>"
+
+
+def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[dict],
+                   cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Best category per row -> struct(category_name, confidence,
+    url_pattern, keyword_frequency, domain_match) or NULL. Categories:
+    dicts (name, keywords, url_patterns) in order; ties go to the first."""
+    d = score_categories(df, url_col, text_col, categories).withColumnRenamed("scores", "_sc")
     best = F.try_element_at(F.array_sort(F.filter("_sc", lambda s: s["score"] > 0),
                                          lambda a, b: F.when(a["score"] > b["score"], -1)
                                          .when(a["score"] < b["score"], 1)
@@ -141,7 +150,7 @@ def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[
                               best["keyword_frequency"].alias("keyword_frequency"),
                               best["domain_match"].alias("domain_match")))
     from ..plans.windows import row_barrier
-    return row_barrier(d.withColumn("classification", res).drop("_tl", "_wl", "_hp", "_sc"))
+    return row_barrier(d.withColumn("classification", res).drop("_sc"))
 
 
 def class_text_service(title: Column, blocks: Column, max_words: int) -> Column:

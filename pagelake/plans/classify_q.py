@@ -133,12 +133,14 @@ def q_score_domain(spark, d):
     return t.select("doc_id", *[C.score_domain(F.col("hp"), c["keywords"]).alias(f"d{i}") for i, c in enumerate(CATEGORIES)])
 
 
-@register("score_category", sql=f"SELECT doc_id, round(-best.neg, 4) AS score, best.name AS name FROM ({SQL_SCORED}) WHERE best IS NOT NULL")
+@register("score_category", sql=(
+    "SELECT doc_id, s.name AS name, round(-s.neg, 6) AS score, s.u AS url_pattern, round(s.k, 6) AS keyword_frequency, s.d AS domain_match FROM ("
+    f"SELECT doc_id, unnest(alls) AS s FROM ({SQL_SCORED.replace('SELECT doc_id, text, list_sort(list_filter(', 'SELECT doc_id, (').replace(', lambda s: -s.neg > 0))[1] AS best', ') AS alls')}))"))
 def q_score_category(spark, d):
     t = docs(spark, d).withColumn("flat", C.flatten_text(F.col("blocks")))
-    c = C.classify_pages(t, "url", "flat", CATEGORIES, CFG.__class__(rule_min_confidence=-1.0))
-    return c.where(F.col("classification").isNotNull()).select(
-        "doc_id", F.round(F.col("classification.confidence"), 6).alias("score"), F.col("classification.category_name").alias("name"))
+    s = C.score_categories(t, "url", "flat", CATEGORIES)
+    return s.select("doc_id", F.inline_outer("scores")).where(F.col("ord").isNotNull()).select(
+        "doc_id", "name", F.round("score", 6).alias("score"), "url_pattern", F.round("keyword_frequency", 6).alias("keyword_frequency"), "domain_match")
 
 
 @register("classify_pages", sql=f"SELECT * FROM ({SQL_CLASSIFIED}) WHERE category_name IS NOT NULL")

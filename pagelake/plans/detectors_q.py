@@ -11,11 +11,31 @@ from ..sources.tables import read_table
 from .registry import register
 
 
+# Bodies by page id, so that every branch has rows: half of the pages carry one pattern of each list in turn, and some are
+# empty shells that a script fills.
+MARKS = [x for group in (D.CF_BODY, D.RECAPTCHA, D.HCAPTCHA, D.DATADOME, D.PERIMETERX, D.SESSION, D.LOGIN_BODY, D.PAYWALL, D.CONSENT,
+                         D.SPA_GLOBALS, D.REACT, D.VUE, D.ANGULAR) for x in group[:2]]
+MARKS += [f'<div id="{x}"></div>' for x in D.ROOT_IDS] + ['<noscript>This page needs a script engine to show anything</noscript>', '<i class="a data-v-1f">x</i>']
+SHELL = '<html><head><title>t</title></head><body><div id="app"></div><script>window.__NUXT__={}</script></body></html>'
+
+
+def page_bodies(spark, d):
+    p = read_table(spark, d, "pages").select("page_id", "url", "html")
+    mark = F.element_at(F.array(*[F.lit(x) for x in MARKS]), (F.floor(F.col("page_id") / 2) % len(MARKS) + 1).cast("int"))
+    html = F.when(F.col("page_id") % 13 == 5, F.lit(SHELL)).when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>"), mark, F.lit("</p>"))).otherwise(F.col("html"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+SQL_MARKS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in MARKS) + f"][(page_id // 2) % {len(MARKS)} + 1]"
+SQL_BODIES = (f"(SELECT page_id, url, CASE WHEN page_id % 13 = 5 THEN '{SHELL}' WHEN page_id % 2 = 0 THEN html || '<p>' || {SQL_MARKS} || '</p>' "
+              "ELSE html END AS html FROM pages)")
+
+
 def responses(spark, d):
     """Fetched responses over the real pages with response metadata varied by
     page id: blocking statuses, bot-protection headers, cookies and login
     redirects, so every cascade branch has rows at scale."""
-    p = read_table(spark, d, "pages")
+    p = page_bodies(spark, d)
     pid = F.col("page_id")
     status = (F.when(pid % 10 == 0, 403).when(pid % 10 == 1, 429).when(pid % 10 == 2, 503)
               .when(pid % 10 == 3, 401).when(pid % 10 == 4, 301).when(pid % 10 == 5, 500).otherwise(200))
@@ -44,7 +64,7 @@ R_SQL = ("SELECT page_id, url, html, lower(html) AS b, "
          "WHEN 5 THEN 500 ELSE 200 END AS s, page_id % 4 = 0 AS cf_ray, page_id % 4 = 1 AS has_ra, "
          "CASE page_id % 3 WHEN 0 THEN 'abc' WHEN 1 THEN '0' ELSE '120' END AS ra, page_id % 4 = 2 AS dd_h, "
          "page_id % 6 = 0 AS cf_c, page_id % 6 = 1 AS px_c, page_id % 6 = 2 AS dd_c, "
-         "CASE WHEN page_id % 9 = 0 THEN url || '/login?next=/' ELSE url END AS fu FROM pages")
+         f"CASE WHEN page_id % 9 = 0 THEN url || '/login?next=/' ELSE url END AS fu FROM {SQL_BODIES}")
 
 
 def _any(col, pats):
@@ -163,6 +183,7 @@ def _sql_root():
 
 
 JS_SIG_SQL = [
+    "CASE WHEN page_id % 7 = 0 THEN 'no_content_extracted(+4)' END",
     _sql_root(),
     (f"CASE WHEN list_bool_or(list_transform(regexp_extract_all(html, '(?is)<noscript\\b[^>]*>(.*?)</noscript\\s*>', 1), "
      f"lambda x: {_sql_text_len('x', 0)} >= 30)) THEN 'noscript_content(+3)' END"),
@@ -178,13 +199,13 @@ JS_SIG_SQL = [
 JS_SQL = (f"SELECT page_id, sig, CAST(list_sum(list_transform(sig, lambda x: CAST(regexp_extract(x, '\\(\\+([0-9])\\)$', 1) AS INTEGER))) "
           f"AS INTEGER) AS score FROM (SELECT page_id, list_filter([{', '.join(JS_SIG_SQL)}], lambda x: x IS NOT NULL) AS sig "
           f"FROM (SELECT page_id, html, {_sql_text_len(_sql_body('html'), 1)} AS blen, "
-          f"CASE WHEN page_id % 4 = 2 THEN 'next.js' END AS pb, coalesce(page_id % 4 = 2, false) AS pb_hit FROM pages))")
+          f"CASE WHEN page_id % 4 = 2 THEN 'next.js' END AS pb, coalesce(page_id % 4 = 2, false) AS pb_hit FROM {SQL_BODIES}))")
 
 
 def js_scores(spark, d):
     r = responses(spark, d)
     return r.select("page_id", "html", "headers", "cookie_names", "http_status", "final_url",
-                    D.js_detect("html", "headers").alias("js"))
+                    D.js_detect("html", "headers", F.when(F.col("page_id") % 7 == 0, 0).otherwise(3)).alias("js"))
 
 
 @register("js_detect", sql=(f"SELECT page_id, COALESCE(score, 0) AS score, 5 AS threshold, array_to_string(sig, '|') AS signals, "

