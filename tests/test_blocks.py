@@ -106,3 +106,42 @@ def test_ends_of_elements():
     assert ends_of(["p", "", "p", "br", "/section", "/p"], True) == [2, 2, 6, 4, 5, 6]
     assert ends_of(["ul", "li", "li", "ul", "li", "/ul", "/ul"], False)[1:3] == [2, 6]
     assert ends_of(["div"] * 50_000, True) == [50_000] * 50_000
+
+
+def test_post_process_interleave_and_counts_of_all_pages(spark, sf):
+    """Order-dependent folds against plain Python over every page."""
+    import re
+    from collections import Counter, defaultdict
+    from pagelake.plans import blocks_q as Q
+    from pagelake.streaming import streams as Z
+
+    df = B.with_code_blocks(B.with_text_blocks(Q.elements(spark, sf), Q.CFG), Q.CFG)
+    want, counts = {}, []
+    for r in df.select("page_id", "_text_raw", "_code").collect():
+        out, seen = [], set()
+        for b in r._text_raw:
+            c = " ".join(b.content.split())
+            if not c or c.lower() in seen:
+                continue
+            seen.add(c.lower())
+            last = out[-1] if out else None
+            if (b.type == "paragraph" and last and last[0] == "paragraph" and len(last[1].split()) < 15 and len(c.split()) < 15
+                    and not re.search(r"[.!?:]$", last[1].rstrip())):
+                last[1] += " " + c
+            else:
+                out.append([b.type, c])
+        nt, nc = len(out), len(r._code)
+        after = defaultdict(list)
+        for k, b in enumerate(r._code):
+            after[-(-(k + 1) * nt // (nc + 1)) - 1].append(["code_block", b.content])
+        rows = after[-1] + [x for i, t in enumerate(out) for x in [t, *after[i]]]
+        want[r.page_id] = [tuple(x) for x in rows if x[1].strip()]
+        counts.append((r.page_id, len(want[r.page_id]), sum(x[0] == "code_block" for x in want[r.page_id])))
+    got = defaultdict(list)
+    for r in B.blocks_relational(Q._blocks(spark, sf)).orderBy("page_id", "pos").collect():
+        got[r.page_id].append((r.type, r.content))
+    assert dict(got) == want and any(n for _, _, n in counts)
+    assert Counter(map(tuple, B.block_type_counts(Q._blocks(spark, sf)).collect())) == Counter(counts)
+    # the stream over the plain pages finds what the batch finds
+    plain = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    assert Counter(map(tuple, Z.stream_extract(spark, sf).collect())) == Counter(map(tuple, B.block_type_counts(B.extract_blocks(plain)).collect()))
