@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import url_domain, url_parse
+from .urls import PARAMS_RE, url_domain, url_parse, without_params
 
 RULE_TYPES = ["contains", "starts_with", "ends_with", "regex", "domain"]
 
@@ -120,7 +120,7 @@ def skip_extension(url, exts: list[str] | tuple[str, ...]) -> Column:
     """lower-cased path ends with any skipped extension."""
     if not exts:
         return F.lit(False)
-    path = F.lower(url_parse(url)["path"])
+    path = F.lower(without_params(url_parse(url)["path"]))
     return reduce(or_, [path.endswith(e) for e in exts])
 
 
@@ -179,5 +179,5 @@ def sql_skip_ext(u: str, exts) -> str:
     from .urls import sql_part
     if not exts:
         return "FALSE"
-    p = f"lower({sql_part(u, 5)})"
+    p = f"lower(regexp_replace({sql_part(u, 5)}, '{PARAMS_RE}', ''))"
     return "(" + " OR ".join(f"ends_with({p}, '{e}')" for e in exts) + ")"

@@ -145,6 +145,27 @@ def url_domain(u) -> Column:
     return F.split(F.lower(url_parse(u)["netloc"]), ":").getItem(0)
 
 
+def session_domain(u) -> Column:
+    """U4 for session matching: the netloc or, without one, the first path
+    segment; lower-cased, up to the first ':'."""
+    p = url_parse(u)
+    host = F.when(p["netloc"] != "", p["netloc"]).otherwise(F.substring_index(p["path"], "/", 1))
+    return F.lower(F.substring_index(host, ":", 1))
+
+
+# A path's parameters: what follows the first ';' of its last segment.
+PARAMS_RE = ";([^/]*)$"
+
+
+def path_params(path) -> Column:
+    """The parameters of a path ('' without any)."""
+    return F.regexp_extract(_c(path), PARAMS_RE, 1)
+
+
+def without_params(path) -> Column:
+    return F.regexp_replace(_c(path), PARAMS_RE, "")
+
+
 def domain_parts(host) -> Column:
     """Host split on '.' and '-', empties dropped."""
     return F.filter(F.split(_c(host), r"[.\-]"), lambda s: s != "")

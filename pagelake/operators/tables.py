@@ -52,11 +52,19 @@ def final_status_guard(jobs: DataFrame, finals: DataFrame, key: str = "job_id")
             .drop("_final"))
 
 
-def delete_cascade(doomed: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
-    """T4: remove the doomed parent ids from every child table (left anti down
-    the FK chain). ``children`` maps table name -> (df, fk column)."""
+def delete_cascade(doomed: DataFrame, children: dict[str, tuple[DataFrame, str]],
+                   grandchildren: dict[str, tuple[DataFrame, str, str, str]] | None = None) -> dict[str, DataFrame]:
+    """T4: remove the doomed parent ids from every child table, and the rows
+    that hang on removed child rows (left anti down the FK chain).
+    ``children`` maps table name -> (df, fk column); ``grandchildren`` maps
+    table name -> (df, fk column, child table, its id column)."""
     ids = doomed.select(F.col(doomed.columns[0]).alias("_id")).distinct()
-    return {name: df.join(ids, df[fk] == ids["_id"], "left_anti") for name, (df, fk) in children.items()}
+    out = {name: df.join(ids, df[fk] == ids["_id"], "left_anti") for name, (df, fk) in children.items()}
+    for name, (df, fk, child, key) in (grandchildren or {}).items():
+        rows, parent = children[child]
+        gone = rows.join(ids, rows[parent] == ids["_id"], "left_semi").select(F.col(key).alias("_gone"))
+        out[name] = df.join(gone, df[fk] == gone["_gone"], "left_anti")
+    return out
 
 
 def delete_category_guarded(categories: DataFrame, bridge: DataFrame, requests: DataFrame) -> DataFrame:

@@ -228,16 +228,28 @@ def q_final_status_guard(spark, d):
     return T.final_status_guard(j.select("job_id", "status"), finals)
 
 
+SQL_DOOMED = "(SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300)"
+
+
+# versions hang on results (two of each third one), links on jobs
 @register("delete_cascade", sql=(
-    "SELECT 'results' AS tbl, result_id AS id FROM v_results WHERE job_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300) "
-    "UNION ALL SELECT 'logs' AS tbl, log_id AS id FROM v_logs WHERE job_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300)"),
+    f"SELECT 'results' AS tbl, result_id AS id FROM v_results WHERE job_id NOT IN {SQL_DOOMED} "
+    f"UNION ALL SELECT 'logs' AS tbl, log_id AS id FROM v_logs WHERE job_id NOT IN {SQL_DOOMED} "
+    f"UNION ALL SELECT 'versions' AS tbl, result_id * 10 + v AS id FROM v_results, (SELECT 1 AS v UNION ALL SELECT 2) WHERE result_id % 3 = 0 AND job_id NOT IN {SQL_DOOMED} "
+    f"UNION ALL SELECT 'links' AS tbl, event_id AS id FROM events WHERE event_type = 'view' AND user_id NOT IN {SQL_DOOMED}"),
     views=["v_results", "v_logs"])
 def q_delete_cascade(spark, d):
     e = read_table(spark, d, "events")
     doomed = e.where((F.col("event_type") == "purchase") & (F.col("value") > 300)).select("user_id")
-    out = T.delete_cascade(doomed, {"results": (V.v_results(spark, d), "job_id"), "logs": (V.v_logs(spark, d), "job_id")})
-    return (out["results"].select(F.lit("results").alias("tbl"), F.col("result_id").alias("id"))
-            .unionByName(out["logs"].select(F.lit("logs").alias("tbl"), F.col("log_id").alias("id"))))
+    results = V.v_results(spark, d)
+    versions = results.where("result_id % 3 = 0").select("result_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")).select(
+        (F.col("result_id") * 10 + F.col("v")).alias("version_id"), F.col("result_id").alias("of_result"))
+    links = e.where("event_type = 'view'").select(F.col("event_id").alias("link_id"), F.col("user_id").alias("job_id"))
+    out = T.delete_cascade(doomed, {"results": (results, "job_id"), "logs": (V.v_logs(spark, d), "job_id"), "links": (links, "job_id")},
+                           {"versions": (versions, "of_result", "results", "result_id")})
+    ids = {"results": "result_id", "logs": "log_id", "versions": "version_id", "links": "link_id"}
+    parts = [out[t].select(F.lit(t).alias("tbl"), F.col(c).alias("id")) for t, c in ids.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 SQL_DELETE_REQ = "SELECT p_partkey AS category_id FROM part WHERE p_size = 50"

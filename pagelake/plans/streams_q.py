@@ -31,7 +31,7 @@ def q_stream_job_status(spark, d):
     return Z.stream_job_status(spark, d).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
 
 
-@register("stream_job_finished", sql=f"SELECT DISTINCT job_id, 'job_finished' AS type FROM ({SQL_LOGS}) WHERE level = 'critical'")
+@register("stream_job_finished", sql="SELECT DISTINCT o_orderkey AS job_id, 'completed' AS status, 'job_finished' AS type FROM orders WHERE o_orderstatus = 'F'")
 def q_stream_job_finished(spark, d):
     return Z.stream_job_finished(spark, d)
 

@@ -55,12 +55,25 @@ def q_links_per_host(spark, d):
     return L.links_per_host(read_table(spark, d, "pages"), FLAG_CFG)
 
 
+# every other page's url, with path parameters in two segments
+SQL_PARAM_URL = ("CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '[?#].*$', '') || '/doc;v=' || page_id || ';w/x.pdf;jsession=' || page_id || ';y?q=1#f' "
+                 "ELSE url END")
+
+
+def param_urls(spark, d):
+    more = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/doc;v="), F.col("page_id").cast("string"), F.lit(";w/x.pdf;jsession="),
+                    F.col("page_id").cast("string"), F.lit(";y?q=1#f"))
+    return read_table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, more).otherwise(F.col("url")).alias("url"))
+
+
 @register("url_parse", sql=(
     f"SELECT page_id, lower({U.sql_part('url', 2)}) AS scheme, {U.sql_part('url', 4)} AS netloc, "
-    f"{U.sql_part('url', 5)} AS path, {U.sql_part('url', 7)} AS query, {U.sql_part('url', 9)} AS fragment FROM pages"))
+    f"regexp_replace({U.sql_part('url', 5)}, '{U.PARAMS_RE}', '') AS path, regexp_extract({U.sql_part('url', 5)}, '{U.PARAMS_RE}', 1) AS params, "
+    f"{U.sql_part('url', 7)} AS query, {U.sql_part('url', 9)} AS fragment FROM (SELECT page_id, {SQL_PARAM_URL} AS url FROM pages)"))
 def q_url_parse(spark, d):
-    p = read_table(spark, d, "pages").select("page_id", U.url_parse("url").alias("u"))
-    return p.select("page_id", "u.scheme", "u.netloc", "u.path", "u.query", "u.fragment")
+    p = param_urls(spark, d).select("page_id", U.url_parse("url").alias("u"))
+    return p.select("page_id", "u.scheme", "u.netloc", U.without_params("u.path").alias("path"), U.path_params("u.path").alias("params"),
+                    "u.query", "u.fragment")
 
 
 @register("url_join", sql=f"SELECT page_id, pos, href, {U.sql_join('href', 'url')} AS joined FROM ({SQL_RAW_HREFS})")
@@ -82,12 +95,14 @@ def q_url_normalize(spark, d):
 
 @register("url_domain", sql=(
     f"SELECT page_id, {U.sql_domain('url')} AS domain, "
-    f"array_to_string(list_filter(regexp_split_to_array({U.sql_domain('url')}, '[.\\-]'), lambda s: s <> ''), '|') AS parts "
+    f"array_to_string(list_filter(regexp_split_to_array({U.sql_domain('url')}, '[.\\-]'), lambda s: s <> ''), '|') AS parts, "
+    f"{U.sql_domain('url')} AS session_domain, lower(split_part(split_part(regexp_replace(url, '^https?://', ''), '/', 1), ':', 1)) AS bare_domain "
     f"FROM pages"))
 def q_url_domain(spark, d):
     p = read_table(spark, d, "pages")
     dom = U.url_domain("url")
-    return p.select("page_id", dom.alias("domain"), F.array_join(U.domain_parts(dom), "|").alias("parts"))
+    return p.select("page_id", dom.alias("domain"), F.array_join(U.domain_parts(dom), "|").alias("parts"),
+                    U.session_domain("url").alias("session_domain"), U.session_domain(F.regexp_replace("url", "^https?://", "")).alias("bare_domain"))
 
 
 def _rule_query(key, rule_list):
