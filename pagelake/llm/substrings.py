@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from .common import BASES, Words, per_batch, range_hashes, row_key
 
 _SPLIT = " \t\n\v\f\r"
-PACKED = "bucket int, probes binary, marks binary, place binary, texts binary"
+PACKED = "bucket int, probes binary, marks binary, owner binary, place binary, texts binary"
 
 
 def _deal(hashes: np.ndarray, width: int, bits: int, own: np.ndarray, text: np.ndarray, place: np.ndarray, keys: np.ndarray):
     """Rows of PACKED. ``hashes``: (n, words of 64 bits) of all entries; ``own``: the entries whose place is to be told if
-    their hash occurs again. Of each hash, ``width`` bytes below the bucket's bits are kept. Entries that occur twice here
-    are hits at once: they go to a bucket below 0, to be passed on."""
-    out = {"bucket": [], "probes": [], "marks": [], "place": [], "texts": []}
+    their hash occurs again. Of each hash, ``width`` bytes below the bucket's bits are kept; ``marks`` has a bit for each,
+    set for those of which ``owner`` (number in ``texts``) and ``place`` follow. Entries that occur twice here are hits at
+    once: they go to a bucket below 0, to be passed on."""
+    out = {"bucket": [], "probes": [], "marks": [], "owner": [], "place": [], "texts": []}
     if not len(hashes):
         return out
     order = np.lexsort(hashes.T[::-1]) if hashes.shape[1] > 1 else np.argsort(hashes[:, 0], kind="stable")
@@ -54,24 +55,19 @@ def _deal(hashes: np.ndarray, width: int, bits: int, own: np.ndarray, text: np.n
         used, index = np.unique(text[at], return_inverse=True)
         out["bucket"].append(bucket)
         out["probes"].append(probes.tobytes())
-        out["marks"].append(marks.tobytes())
-        out["place"].append(np.stack((index, place[at]), 1).astype(np.int32).tobytes())
+        out["marks"].append(np.packbits(marks).tobytes())
+        out["owner"].append(index.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
+        out["place"].append(place[at].astype(np.uint32).tobytes())
         out["texts"].append(keys[used].tobytes())
 
-    none = np.zeros(0, np.uint8)
     known = order[again & told]
     if len(known):
-        row(-1 - int(keys[0, 0] % (1 << bits)), none, none, known)
-    first = h[new]
-    digest = _digest(first, width, bits)
-    unsure = told & ~again
-    mark_digest, mark_at, mark_bucket = _digest(h[unsure], width, bits), order[unsure], h[unsure][:, 0] >> np.uint64(64 - bits)
-    size = 1 << bits
-    cut = np.searchsorted(first[:, 0] >> np.uint64(64 - bits), np.arange(size + 1, dtype=np.uint64))
-    mark_cut = np.searchsorted(mark_bucket, np.arange(size + 1, dtype=np.uint64))
+        row(-1 - int(keys[0, 0] % (1 << bits)), np.zeros(0, np.uint8), np.zeros(0, bool), known)
+    digest, unsure, at = _digest(h[new], width, bits), (told & ~again)[new], order[new]
+    cut = np.searchsorted(h[new][:, 0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(cut)).tolist():
-        m = slice(mark_cut[b], mark_cut[b + 1])
-        row(b, digest[cut[b] : cut[b + 1]], mark_digest[m], mark_at[m])
+        part = slice(cut[b], cut[b + 1])
+        row(b, digest[part], unsure[part], at[part][unsure[part]])
     return out
 
 
@@ -103,6 +99,7 @@ def _twice(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _among(packed: bytes, width: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which digests are known."""
     a, b = _unpack(packed, width)
     ka, kb = known
     found = np.zeros(len(a), bool)
@@ -122,10 +119,15 @@ def _meet(width: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         twice = _twice(b"".join(rows["probes"]), width) if rows["bucket"].iat[0] >= 0 else None
         keys, places = [], []
-        for marks, place, texts in zip(rows["marks"], rows["place"], rows["texts"], strict=True):
-            at = np.frombuffer(place, np.int32).reshape(-1, 2)
+        for probes, marks, owner, place, texts in zip(*(rows[c] for c in ("probes", "marks", "owner", "place", "texts")), strict=True):
+            where = np.frombuffer(place, np.uint32)
+            if not len(where):
+                continue
+            who = np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(where) else np.uint32)
+            at = np.stack((who.astype(np.int32), where.astype(np.int32)), 1)
             if twice is not None:
-                at = at[_among(marks, width, twice)]
+                bits = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(probes) // width].astype(bool)
+                at = at[_among(probes, width, twice)[bits]]
             if not len(at):
                 continue
             key = np.frombuffer(texts, np.int64).reshape(-1, 2)
@@ -162,9 +164,15 @@ def repeats(docs: DataFrame, span: int = 35, id_col: str = "doc_id", text_col: s
     hits = hits.groupBy("_k0", "_k1").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("blocks"))
     # one of equal texts stands for all; a text shorter than a window has nothing to extend
     seeds = hits.join(texts, ["_k0", "_k1"]).select("_k0", "_k1", "blocks", "one")
-    near = base.join(seeds, ["_k0", "_k1"]).where(F.col("id").eqNullSafe(F.col("one"))).select("_k0", "_k1", "text", "blocks")
+    # (the row is chosen in the task: as a join key it would part this join's exchange of the texts from the last one's, which is
+    # the same and so is done once)
+    near = base.join(seeds, ["_k0", "_k1"]).select("_k0", "_k1", "text", "blocks", F.col("id").cast("string").alias("id"), F.col("one").cast("string").alias("one"))
 
     def extend(part):
+        mine = [i == one for i, one in zip(part["id"], part["one"], strict=True)]
+        part = {c: [x for x, ok in zip(v, mine, strict=True) if ok] for c, v in part.items()}
+        if not part["text"]:
+            return _deal(np.zeros((0, 2), np.uint64), 12, bits, *[np.zeros(0, np.int64)] * 4)
         w = Words(part["text"])
         start = w.windows(span)
         text = w.doc[start]
