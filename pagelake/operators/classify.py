@@ -75,9 +75,11 @@ def score_url(url: Column, patterns: list[dict]) -> Column:
                   F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def score_keywords(text_lc: Column, words_lc: Column, keywords: list[str]) -> Column:
+def score_keywords(text_lc: Column, words_lc: Column, keywords: list[str], known: Column | None = None) -> Column:
     """coverage*0.7 + min(matches per 100 words, 1)*0.3, capped at 1.
-    Single words count by token equality, phrases by substring count."""
+    Single words count by token equality, phrases by substring count.
+    ``known``, if given, holds those of the words that are keywords at all, so
+    that the text's words aren't gone through for every keyword."""
     if not keywords:
         return F.lit(0.0)
     counts = []
@@ -87,7 +89,7 @@ def score_keywords(text_lc: Column, words_lc: Column, keywords: list[str]) -> Co
             c = ((F.length(text_lc) - F.length(F.replace(text_lc, F.lit(kl), F.lit("")))) / F.lit(len(kl))).cast("int") \
                 if kl else F.lit(0)
         else:
-            c = F.size(F.filter(words_lc, _eq(kl)))
+            c = F.size(F.filter(words_lc if known is None else known, _eq(kl)))
         counts.append((kl, c))
     total = reduce(add, [c for _, c in counts])
     distinct = sorted({kl for kl, _ in counts})
@@ -119,16 +121,18 @@ def score_categories(df: DataFrame, url_col: str, text_col: str, categories: lis
     _check_size(categories)
     d = df.withColumn("_tl", F.lower(F.col(text_col))).withColumn("_wl", words_of(F.col("_tl"))) \
         .withColumn("_hp", F.filter(F.split(url_domain(F.lower(F.col(url_col))), r"[.\-]"), lambda s: s != ""))
+    single = sorted({k.lower() for c in categories for k in c.get("keywords") or [] if " " not in k})
+    d = d.withColumn("_kw", F.filter("_wl", lambda w: w.isin(single)) if single else F.array().cast("array<string>"))
     scored = []
     for i, c in enumerate(categories):
         kw = list(c.get("keywords") or [])
         u = score_url(F.col(url_col), list(c.get("url_patterns") or []))
-        k = score_keywords(F.col("_tl"), F.col("_wl"), kw)
+        k = score_keywords(F.col("_tl"), F.col("_wl"), kw, F.col("_kw"))
         dm = score_domain(F.col("_hp"), kw)
         scored.append(F.struct(F.lit(i).alias("ord"), F.lit(c["name"]).alias("name"),
                                (u * W_URL + k * W_KEYWORD + dm * W_DOMAIN).alias("score"),
                                u.alias("url_pattern"), k.alias("keyword_frequency"), dm.alias("domain_match")))
-    return d.withColumn("scores", F.array(*scored) if scored else F.array().cast(SCORE_TYPE)).drop("_tl", "_wl", "_hp")
+    return d.withColumn("scores", F.array(*scored) if scored else F.array().cast(SCORE_TYPE)).drop("_tl", "_wl", "_hp", "_kw")
 
 
 SCORE_TYPE = "array<struct<ord:int,name:string,score:double,url_pattern:double,keyword_frequency:double,domain_match:double>>"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import BLOCK_TYPE, content_hash
 from ..functions.html import pystrip
 from ..plans.windows import lag_skew_safe, running_sum_skew_safe
+from ..session import ensure_checkpoint_dir
 
 
 
@@ -106,11 +107,16 @@ def diff_summary(diff: Column) -> Column:
 
 
 def with_change_flags(history: DataFrame, key: str, order_cols: list[str], bucket_col: str) -> DataFrame:
-    """W1 input: non-empty rows with hash, previous hash/content and the
-    running version number."""
+    """W1 input: non-empty rows as (key, result_id, order, bucket, hash), the
+    hash and id of the row before, whether the content changed, and the
+    running version number. The contents are hashed once; the windows see the
+    narrow rows only, which are cut from their lineage (they are read several
+    times)."""
+    ensure_checkpoint_dir(history.sparkSession)
+    cols = list(dict.fromkeys([key, "result_id", *order_cols, bucket_col]))
     h = history.where(F.coalesce(F.size("content"), F.lit(0)) > 0) \
-        .withColumn("content_hash", content_hash(F.col("content")))
-    h = lag_skew_safe(h, [key], order_cols, bucket_col, ["content_hash", "content"])
+        .select(*cols, content_hash(F.col("content")).alias("content_hash")).checkpoint(eager=True)
+    h = lag_skew_safe(h, [key], order_cols, bucket_col, ["content_hash", "result_id"])
     h = h.withColumn("_chg", F.when(F.col("prev_content_hash").isNull() |
                                     (F.col("prev_content_hash") != F.col("content_hash")), 1).otherwise(0))
     h = running_sum_skew_safe(h, [key], order_cols, bucket_col, "_chg", "version_number")
@@ -125,6 +131,10 @@ def build_versions(history: DataFrame, key: str = "url", order_cols=("seq", "res
     first version is a snapshot; with ``snapshot_every``, so is the first of
     every so many versions, which bounds what a reconstruction folds."""
     h = with_change_flags(history, key, list(order_cols), bucket_col).where(F.col("_chg") == 1)
+    # contents come by id, for changed rows and the rows before them
+    now = history.select("result_id", "content")
+    before = history.select(F.col("result_id").alias("prev_result_id"), F.col("content").alias("prev_content"))
+    h = h.join(now, "result_id").join(before, "prev_result_id", "left")
     snap = F.col("prev_content_hash").isNull()
     if snapshot_every:
         snap = snap | ((F.col("version_number") - 1) % snapshot_every == 0)
