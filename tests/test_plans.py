@@ -2,8 +2,7 @@
 column pruning reach the parquet scan."""
 import __spark_entry__ as E
 
-JVM_ONLY = ["links_per_host", "extract_links", "block_headings", "block_paragraphs", "code_density", "wall_detect",
-            "js_detect", "classify_pages", "classify_with_scorer", "build_versions", "diff_by_content", "export_csv",
+JVM_ONLY = ["links_per_host", "extract_links", "wall_detect", "js_detect", "classify_pages", "classify_with_scorer", "build_versions", "diff_by_content", "export_csv",
             "job_summary", "upsert_status", "validate_jobs", "llm_parse_labels"]
 
 
@@ -17,6 +16,13 @@ def test_no_python_in_jvm_operators(spark, sf):
         assert "EvalPython" not in p and "PythonUDF" not in p, name
 
 
+def test_elements_use_arrow_and_no_shuffle(spark, sf):
+    """Only the matching of end tags runs in Python, in Arrow batches, and pages are never dealt anew."""
+    for name in ["block_headings", "block_lists", "code_density", "strip_tags", "main_content"]:
+        p = plan(E.queries()[name](spark, sf))
+        assert "ArrowEvalPython" in p and "BatchEvalPython" not in p and "Exchange" not in p, name
+
+
 def test_pandas_scorer_uses_arrow(spark, sf):
     p = plan(E.queries()["classify_with_scorer_pandas"](spark, sf))
     assert "ArrowEvalPython" in p
