@@ -9,6 +9,8 @@ first; everything below is between different texts.
 * Recursion. A bucket of more than ``limit`` texts is split by further chosen shingles: its members join the buckets of the
   paths (shingle, next shingle), sampled anew for each path from all that they chose. Paths that are still too large hold one
   large group of near copies: they are compared in tasks of two blocks of ``limit`` members, so that no task grows.
+  Inside a task, a bucket of more than 128 texts is split again by sampled shingles, the least hash of each of 64 bins: only
+  texts that share one of these are paired, unless most of them do.
 * Brute force. A pair is dealt with in the first bucket (by key) that both are in, and nowhere else. Sizes and 64-bin
   one-permutation sketches rule out most pairs (a pair at similarity 0.8 stays far above the bound of 0.45); for what is
   left, the shingle sets of the texts concerned are fetched and the similarity is exact.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import BASES, Words, materialize, mix, per_batch, range_hashes, row_key
 
 BINS = 64
+#: Keys (of 16 bytes, with an id) that may be broadcast: about 100 MB.
+BROADCAST_ROWS = 2_000_000
 #: Share of sketch bins that agree, below which a pair isn't looked at: 7 standard deviations under 0.8.
 SKETCH = 0.45
 
@@ -76,14 +80,14 @@ def _chosen(part: dict, k: int, similarity: float, runs: int) -> dict:
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
     cut = np.searchsorted(owner, np.arange(n + 1))
-    # the least hash of every bin; its low byte, made 1 to 255, stands for it
-    sketch = np.zeros((n, BINS), np.uint8)
+    # the least hash of every bin; its low bits, made 1 to 65535, stand for it
+    sketch = np.zeros((n, BINS), np.uint16)
     x = mix(h + np.uint64(0x5851F42D4C957F2D))
     place = text * BINS + (x >> np.uint64(58)).astype(np.int64)
     order = np.lexsort((x, place))
     place, x = place[order], x[order]
     first = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
-    sketch.reshape(-1)[place[first]] = (x[first] & np.uint64(0xFFFF)).astype(np.int64) % 255 + 1
+    sketch.reshape(-1)[place[first]] = (x[first] & np.uint64(0xFFFF)).astype(np.int64) % 65535 + 1
     return {"id": part["id"], "_k0": part["_k0"], "_k1": part["_k1"], "size": size,
             "sketch": [s.tobytes() for s in sketch], "keys": [keys[cut[i] : cut[i + 1]] for i in range(n)]}
 
@@ -96,35 +100,83 @@ def candidate_pairs(members: list[dict], similarity: float, halves: bool) -> np.
     """Pairs (i, j), i < j, that first meet in this bucket and may be similar."""
     m = len(members)
     size = np.array([x["size"] for x in members], np.int64)
-    sketch = np.frombuffer(b"".join(x["sketch"] for x in members), np.uint8).reshape(m, BINS)
-    keys, at = np.unique(np.concatenate([np.asarray(x["before"], np.int64) for x in members] or [np.zeros(0, np.int64)]), return_inverse=True)
+    half = np.array([x["half"] for x in members])
+    sketch = np.frombuffer(b"".join(x["sketch"] for x in members), np.uint16).reshape(m, BINS)
+    pairs = _sharing(sketch) if m > 128 else None
+    if pairs is None:
+        pairs = _all_alike(size, sketch, similarity)
+    else:
+        i, j, same = pairs
+        full = np.packbits(sketch > 0, axis=1).view(np.uint64)[:, 0]
+        union = np.bitwise_count(full[i] | full[j])
+        a, b = size[i], size[j]
+        good = (same >= SKETCH * union) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+        pairs = np.stack((i[good], j[good]), 1)
+    if halves:
+        pairs = pairs[half[pairs[:, 0]] != half[pairs[:, 1]]]
+    return pairs[~_met(members, pairs)]
+
+
+def _sharing(sketch: np.ndarray):
+    """(i, j, bins that agree) of the pairs that agree in a bin, or None if these are a large part of all pairs."""
+    m = len(sketch)
+    who, place = np.nonzero(sketch)
+    key = place.astype(np.int64) << 16 | sketch[who, place]
+    order = np.lexsort((who, key))
+    who, key = who[order], key[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    count = np.diff(cut)
+    if (count.astype(float) * (count - 1)).sum() > m * (m - 1.0):
+        return None
+    codes = []
+    for s in np.unique(count[count > 1]).tolist():
+        group = who[cut[:-1][count == s][:, None] + np.arange(s)]
+        a, b = np.triu_indices(s, 1)
+        codes.append((group[:, a].astype(np.int64) * m + group[:, b]).ravel())
+    code, same = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return code // m, code % m, same
+
+
+def _all_alike(size: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """The pairs (i, j), i < j, of sizes and sketches that allow the similarity."""
+    m, out = len(size), []
+    order = np.argsort(size, kind="stable")
+    sorted_size = size[order]
+    # in order of size, the partners of a text are the next ones, up to its size / similarity
+    last = np.searchsorted(sorted_size, np.floor(sorted_size / similarity + 1e-9), side="right")
+    step = 0
+    while step < m:
+        n, stop = 0, step
+        while stop < m and (stop == step or n + last[stop] - stop <= 65536):
+            n += last[stop] - stop
+            stop += 1
+        i = np.repeat(np.arange(step, stop), last[step:stop] - np.arange(step, stop) - 1)
+        j = np.concatenate([np.arange(a + 1, last[a]) for a in range(step, stop)])
+        x, y = sketch[order[i]], sketch[order[j]]
+        good = ((x == y) & (x > 0)).sum(1) >= SKETCH * ((x > 0) | (y > 0)).sum(1)
+        out.append(np.sort(np.stack((order[i[good]], order[j[good]]), 1), axis=1))
+        step = stop
+    pairs = np.concatenate(out)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+
+
+def _met(members: list[dict], pairs: np.ndarray) -> np.ndarray:
+    """Which pairs share a bucket before this one."""
+    m = len(members)
+    keys, at = np.unique(np.concatenate([np.asarray(x["before"], np.int64) for x in members]), return_inverse=True)
     who = np.repeat(np.arange(m), [len(x["before"]) for x in members])
     shared = np.bincount(at, minlength=len(keys)) > 1
-    column = np.cumsum(shared) - 1
-    met = np.zeros((m, int(shared.sum())), np.float32)
-    keep = shared[at] if len(at) else np.zeros(0, bool)
-    met[who[keep], column[at[keep]]] = 1
-    half = np.array([x["half"] for x in members])
-    out = []
-    step = max(1, 4_000_000 // (m * BINS))
-    for lo in range(0, m, step):
-        rows = slice(lo, min(m, lo + step))
-        a, b = size[rows, None], size[None, :]
-        ok = np.minimum(a, b) >= similarity * np.maximum(a, b)
-        ok &= np.arange(m)[None, :] > np.arange(lo, rows.stop)[:, None]
-        if halves:
-            ok &= half[rows, None] != half[None, :]
-        if met.shape[1]:
-            ok &= met[rows] @ met.T == 0
-        i, j = np.nonzero(ok)
-        if not len(i):
-            continue
-        for part in range(0, len(i), 65536):
-            x, y = sketch[i[part : part + 65536] + lo], sketch[j[part : part + 65536]]
-            same = ((x == y) & (x > 0)).sum(1)
-            good = same >= SKETCH * ((x > 0) | (y > 0)).sum(1)
-            out.append(np.stack((i[part : part + 65536][good] + lo, j[part : part + 65536][good]), 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    found = np.zeros(len(pairs), bool)
+    if not len(pairs) or not shared.any():
+        return found
+    column, keep = np.cumsum(shared) - 1, shared[at]
+    bits = np.zeros((m, int(shared.sum())), bool)
+    bits[who[keep], column[at[keep]]] = True
+    bits = np.packbits(bits, axis=1)
+    step = max(1, (1 << 24) // bits.shape[1])
+    for lo in range(0, len(pairs), step):
+        found[lo : lo + step] = (bits[pairs[lo : lo + step, 0]] & bits[pairs[lo : lo + step, 1]]).any(1)
+    return found
 
 
 def similar_pairs(members: list[dict], pairs: np.ndarray, similarity: float) -> np.ndarray:
@@ -159,16 +211,13 @@ def _in_order(bucket: list[dict]) -> list[dict]:
 
 def _who_remains(part: dict, similarity: float) -> dict:
     """First round: the texts of each bucket that have a candidate there."""
-    out = {"path": [], "half": [], "_k0": [], "_k1": []}
-    for path, two, bucket in zip(part["path"], part["two"], part["members"], strict=True):
+    fields = ("_k0", "_k1", "size", "sketch", "before", "half")
+    out = {"path": [], "block": [], "two": []} | {f: [] for f in fields}
+    for path, block, two, bucket in zip(part["path"], part["block"], part["two"], part["members"], strict=True):
         bucket = _in_order(bucket)
-        if len(bucket) < 2:
-            continue
         for i in np.unique(candidate_pairs(bucket, similarity, two)).tolist():
-            out["path"].append(path)
-            out["half"].append(bucket[i]["half"])
-            out["_k0"].append(bucket[i]["_k0"])
-            out["_k1"].append(bucket[i]["_k1"])
+            for c, v in (("path", path), ("block", block), ("two", two), *((f, bucket[i][f]) for f in fields)):
+                out[c].append(v)
     return out
 
 
@@ -249,11 +298,13 @@ def _classes(docs: DataFrame, similarity: float, k: int, recall: float, limit: i
     deep = deep.withColumn("before", F.concat("light", F.slice("p", F.lit(1), F.col("i")))).select("path", F.inline_outer(task), member(F.col("before"), F.col("mine")).alias("member"), *key)
     places = light.unionByName(deep)
     found = places.groupBy("path", "block", "two").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    remains = per_batch(found.withColumn("path", F.struct("path", "block")).select("path", "two", "members"), lambda p: _who_remains(p, similarity),
-                        "path struct<path: bigint, block: bigint>, half int, _k0 bigint, _k1 bigint")
-    remains = materialize(remains.select("path.path", "path.block", *key), "jaccard-remains")
-    # the sets of the texts that remain, from one row with the text
-    wanted = remains.select(*key).distinct().join(texts.select(*key, "one"), key)
+    remains = per_batch(found.select("path", "block", "two", "members"), lambda p: _who_remains(p, similarity),
+                        "path bigint, block bigint, two boolean, _k0 bigint, _k1 bigint, size int, sketch binary, before array<bigint>, half int")
+    remains = materialize(remains, "jaccard-remains")
+    # the sets of the texts that remain, from one row with the text; the keys are few beside the texts, which aren't shuffled if a
+    # count proves that they can be broadcast
+    wanted = materialize(remains.select(*key).distinct().join(texts.select(*key, "one"), key), "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     text = base.join(wanted, key).where(F.col("id").eqNullSafe(F.col("one"))).select(*key, "text")
 
     def sets(part):
@@ -262,8 +313,7 @@ def _classes(docs: DataFrame, similarity: float, k: int, recall: float, limit: i
         return {"_k0": part["_k0"], "_k1": part["_k1"], "tokens": [h[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]}
 
     tokens = per_batch(text, sets, "_k0 bigint, _k1 bigint, tokens binary").dropDuplicates(key)
-    full = places.join(remains, ["path", "block", *key]).join(tokens, key)
-    full = full.select("path", "block", "two", F.col("member").withField("tokens", F.col("tokens")).alias("member"))
+    full = remains.join(tokens, key).select("path", "block", "two", F.struct(*key, "size", "sketch", "before", "half", "tokens").alias("member"))
     full = full.groupBy("path", "block", "two").agg(F.collect_list("member").alias("members"))
     linked = per_batch(full.select("two", "members"), lambda p: _links(p, similarity), "_k0 bigint, _k1 bigint, links bigint, r0 bigint, r1 bigint")
     linked = materialize(linked, "jaccard-links")
