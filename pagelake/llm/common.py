@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are held as numpy arrays at one time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
