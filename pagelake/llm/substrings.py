@@ -12,8 +12,8 @@ of half that length, every window holds one whole block at a multiple of the blo
 3. Neighbouring repeated windows unite to the maximal repeats, whose words are removed.
 
 No pairs of places are made at any step, so that a passage in a third of all texts costs what any other text costs. Equal
-texts are known from a count by text key: all windows of such a text are repeated, and one of the copies stands for them in
-step 2. The number of hash buckets grows with the words of the table, so that a bucket stays at about ``bucket_words``
+texts are known from a count by text key: all windows of such a text are repeated, a slice holds a text once, and one of the
+copies stands for them in step 2 (one in each slice, if copies share the least id). The number of hash buckets grows with the words of the table, so that a bucket stays at about ``bucket_words``
 entries.
 
 Defined results: a null or empty text has no words; a text of fewer than ``span`` words has no window; rows are never
@@ -38,7 +38,7 @@ PACKED = "bucket int, probes binary, marks binary, owner binary, place binary, t
 
 def _deal(hashes: np.ndarray, width: int, bits: int, own: np.ndarray, text: np.ndarray, place: np.ndarray, keys: np.ndarray):
     """Rows of PACKED. ``hashes``: (n, words of 64 bits) of all entries; ``own``: the entries whose place is to be told if
-    their hash occurs again. Of each hash, ``width`` bytes below the bucket's bits are kept; ``marks`` has a bit for each,
+    their hash occurs again; ``keys``: the texts, each once. Of each hash, ``width`` bytes below the bucket's bits are kept; ``marks`` has a bit for each,
     set for those of which ``owner`` (number in ``texts``) and ``place`` follow. Entries that occur twice here are hits at
     once: they go to a bucket below 0, to be passed on."""
     out = {"bucket": [], "probes": [], "marks": [], "owner": [], "place": [], "texts": []}
@@ -61,8 +61,10 @@ def _deal(hashes: np.ndarray, width: int, bits: int, own: np.ndarray, text: np.n
         out["texts"].append(keys[used].tobytes())
 
     known = order[again & told]
-    if len(known):
-        row(-1 - int(keys[0, 0] % (1 << bits)), np.zeros(0, np.uint8), np.zeros(0, bool), known)
+    # by all texts of the slice and the stretch of the text, since a common text may begin many slices, or fill them
+    mixed, stretch = int(np.bitwise_xor.reduce(keys[:, 0])), place[known] >> 14
+    for i in np.unique(stretch).tolist():
+        row(-1 - (mixed + i) % (1 << bits), np.zeros(0, np.uint8), np.zeros(0, bool), known[stretch == i])
     digest, unsure, at = _digest(h[new], width, bits), (told & ~again)[new], order[new]
     cut = np.searchsorted(h[new][:, 0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -71,6 +73,14 @@ def _deal(hashes: np.ndarray, width: int, bits: int, own: np.ndarray, text: np.n
     return out
 
 
+def _once(part: dict) -> tuple[dict, np.ndarray]:
+    """The slice with one row for each text key, and the keys."""
+    first: dict = {}
+    for i, k in enumerate(zip(part["_k0"], part["_k1"], strict=True)):
+        first.setdefault(k, i)
+    return {c: [v[i] for i in first.values()] for c, v in part.items()}, np.array(list(first), np.int64).reshape(-1, 2)
+
+
 def _digest(h: np.ndarray, width: int, bits: int) -> np.ndarray:
     """The ``width`` bytes of each hash that follow the bucket's bits: 4, or 12 with the whole second word."""
     head = (h[:, 0] >> np.uint64(32 - bits)).astype(np.uint32)
@@ -114,30 +124,32 @@ def _among(packed: bytes, width: int, known: tuple[np.ndarray, np.ndarray]) -> n
 
 
 def _meet(width: int):
-    """For applyInPandas on a bucket: the places of entries whose hash came from more than one slice."""
+    """For applyInPandas on a bucket: the places of entries whose hash came from more than one slice, each once for a text key,
+    however many slices hold the text."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         twice = _twice(b"".join(rows["probes"]), width) if rows["bucket"].iat[0] >= 0 else None
-        keys, places = [], []
+        keys, places = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int32)]
         for probes, marks, owner, place, texts in zip(*(rows[c] for c in ("probes", "marks", "owner", "place", "texts")), strict=True):
-            where = np.frombuffer(place, np.uint32)
+            where = np.frombuffer(place, np.uint32).astype(np.int32)
             if not len(where):
                 continue
             who = np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(where) else np.uint32)
-            at = np.stack((who.astype(np.int32), where.astype(np.int32)), 1)
             if twice is not None:
                 bits = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(probes) // width].astype(bool)
-                at = at[_among(probes, width, twice)[bits]]
-            if not len(at):
-                continue
-            key = np.frombuffer(texts, np.int64).reshape(-1, 2)
-            at = at[np.lexsort((at[:, 1], at[:, 0]))]
-            cut = np.flatnonzero(np.concatenate(([True], at[1:, 0] != at[:-1, 0], [True])))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                keys.append(key[at[lo, 0]])
-                places.append(at[lo:hi, 1])
-        k = np.array(keys, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"_k0": k[:, 0], "_k1": k[:, 1], "at": pd.Series(places, dtype=object)})
+                hit = _among(probes, width, twice)[bits]
+                who, where = who[hit], where[hit]
+            keys.append(np.frombuffer(texts, np.int64).reshape(-1, 2)[who])
+            places.append(where)
+        k, at = np.concatenate(keys), np.concatenate(places)
+        order = np.lexsort((at, k[:, 1], k[:, 0]))
+        k, at = k[order], at[order]
+        other = np.concatenate(([True], (k[1:] != k[:-1]).any(1)))[: len(k)]
+        new = other | np.concatenate(([True], at[1:] != at[:-1]))[: len(k)]
+        k, at, other = k[new], at[new], other[new]
+        cut = np.append(np.flatnonzero(other), len(k))
+        lists = [at[lo:hi] for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pd.DataFrame({"_k0": k[other, 0], "_k1": k[other, 1], "at": pd.Series(lists, dtype=object)})
 
     return run
 
@@ -152,25 +164,28 @@ def repeats(docs: DataFrame, span: int = 35, id_col: str = "doc_id", text_col: s
     texts = base.groupBy("_k0", "_k1").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("one"))
 
     def probe(part):
+        part, keys = _once(part)
         w = Words(part["text"])
         start = w.windows(block)
         text = w.doc[start]
         place = start - w.first[text]
         h = range_hashes(w.hash(BASES[0]), start, start + block, BASES[1])
-        keys = np.stack((np.array(part["_k0"], np.int64), np.array(part["_k1"], np.int64)), 1)
         return _deal(h[:, None], 4, bits, place % block == 0, text, place, keys)
 
     hits = per_batch(base.select("_k0", "_k1", "text"), probe, PACKED).groupBy("bucket").applyInPandas(_meet(4), "_k0 bigint, _k1 bigint, at array<int>")
-    hits = hits.groupBy("_k0", "_k1").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("blocks"))
+    # (several buckets may tell the same place; a set grows no further than the blocks of its text)
+    hits = hits.select("_k0", "_k1", F.explode("at").alias("at")).groupBy("_k0", "_k1").agg(F.collect_set("at").alias("blocks"))
     # one of equal texts stands for all; a text shorter than a window has nothing to extend
-    seeds = hits.join(texts, ["_k0", "_k1"]).select("_k0", "_k1", "blocks", "one")
+    seeds = hits.join(texts, ["_k0", "_k1"]).select("_k0", "_k1", "blocks", "one", "copies")
     # (the row is chosen in the task: as a join key it would part this join's exchange of the texts from the last one's, which is
     # the same and so is done once)
-    near = base.join(seeds, ["_k0", "_k1"]).select("_k0", "_k1", "text", "blocks", F.col("id").cast("string").alias("id"), F.col("one").cast("string").alias("one"))
+    near = base.join(seeds, ["_k0", "_k1"]).select("_k0", "_k1", "text", "blocks", "copies", F.col("id").cast("string").alias("id"), F.col("one").cast("string").alias("one"))
 
     def extend(part):
         mine = [i == one for i, one in zip(part["id"], part["one"], strict=True)]
         part = {c: [x for x, ok in zip(v, mine, strict=True) if ok] for c, v in part.items()}
+        # (copies under the same id are still together)
+        part, keys = _once(part)
         if not part["text"]:
             return _deal(np.zeros((0, 2), np.uint64), 12, bits, *[np.zeros(0, np.int64)] * 4)
         w = Words(part["text"])
@@ -184,11 +199,11 @@ def repeats(docs: DataFrame, span: int = 35, id_col: str = "doc_id", text_col: s
         start, text, place = start[hit], text[hit], place[hit]
         words = [w.hash(b) for b in BASES]
         h = np.stack([range_hashes(x, start, start + span, b) for x, b in zip(words, BASES[::-1], strict=True)], 1)
-        keys = np.stack((np.array(part["_k0"], np.int64), np.array(part["_k1"], np.int64)), 1)
-        return _deal(h, 12, bits, np.ones(len(h), bool), text, place, keys)
+        # all windows of a text with copies are known to be repeated: it needs no places, so that a place is told by one row only
+        return _deal(h, 12, bits, (np.array(part["copies"]) == 1)[text], text, place, keys)
 
     found = per_batch(near, extend, PACKED).groupBy("bucket").applyInPandas(_meet(12), "_k0 bigint, _k1 bigint, at array<int>")
-    found = found.groupBy("_k0", "_k1").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    found = found.groupBy("_k0", "_k1").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     known = texts.select("_k0", "_k1", "copies").join(found, ["_k0", "_k1"], "left")
     return base.join(known, ["_k0", "_k1"])
 

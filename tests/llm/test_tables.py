@@ -97,6 +97,44 @@ def test_digests_that_share_their_long_part():
     assert substrings._among(pack([[1, 7, 7], [2, 7, 7], [3, 7, 7], [9, 9, 9]]), 12, known).tolist() == [True, True, False, False]
 
 
+def test_copies_are_told_once():
+    import numpy as np
+    import pandas as pd
+    size, n = 28, 300
+    hashes = np.sort(np.random.default_rng(3).integers(0, 1 << 64, size, np.uint64))
+    names = ["bucket", "probes", "marks", "owner", "place", "texts"]
+
+    def deal(other, h):
+        part = {"_k0": [7, other, 7, 7], "_k1": [8, other, 8, 8], "text": ["a", "b", "a", "a"]}
+        part, keys = substrings._once(part)
+        assert part["text"] == ["a", "b"] and keys.tolist() == [[7, 8], [other, other]]
+        return substrings._deal(h[:, None], 4, 6, np.ones(len(h), bool), np.zeros(len(h), np.int64), np.arange(len(h)) % size, keys)
+
+    for h, sign in ((hashes, 1), (np.concatenate((hashes, hashes)), -1)):
+        rows = pd.concat([pd.DataFrame(deal(i + 100, h), columns=names) for i in range(n)])
+        rows = rows[rows["place"].str.len() > 0]
+        assert (rows["bucket"] * sign >= 0).all()
+        # slices that begin with one common text don't meet in one bucket
+        assert rows["bucket"].nunique() > 15
+        told = [substrings._meet(4)(g) for _, g in rows.groupby("bucket")]
+        assert all(len(g) == 1 and len(set(g["at"][0])) == len(g["at"][0]) for g in told)
+        assert set(np.concatenate([g["at"][0] for g in told])) == set(range(size))
+
+
+def test_copies_that_share_an_id(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(3)]
+    rows = rows * 20 + [(None, rows[0][1] + " tail")] * 30 + [(9, "head " + rows[1][1][40:])]
+    deal = substrings._deal
+
+    def checked(hashes, width, bits, own, text, place, keys):
+        assert len({tuple(k) for k in keys.tolist()}) == len(keys)
+        return deal(hashes, width, bits, own, text, place, keys)
+
+    monkeypatch.setattr(substrings, "_deal", checked)
+    got = substrings.remove(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == repeated(rows, 35)
+
+
 def similar(rows, k=5, bound=0.8):
     texts = defaultdict(list)
     for i, t, *_ in rows:
