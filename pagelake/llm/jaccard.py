@@ -13,7 +13,9 @@ first; everything below is between different texts.
   texts that share one of these are paired, unless most of them do.
 * Brute force. A pair is dealt with in the first bucket (by key) that both are in, and nowhere else. Sizes and 64-bin
   one-permutation sketches rule out most pairs (a pair at similarity 0.8 stays far above the bound of 0.45); for what is
-  left, the shingle sets of the texts concerned are fetched and the similarity is exact.
+  left, the shingle sets of the texts concerned are fetched and the similarity is exact. Sets of more than ``TOKENS`` shingles
+  together come one range of hashes after another, and the common shingles of each pair are added up: no row grows with the
+  length of the texts.
 
 Pairs never become rows: a bucket gives each of its texts a number of links and a tree of links, from which connected
 classes are found by large-star and small-star rounds on edges (checkpointed in the shared folder).
@@ -25,17 +27,23 @@ named columns are read; :func:`keep_one` keeps all columns of the rows it keeps.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, materialize, mix, per_batch, range_hashes, row_key
+from .common import BASES, Words, materialize, mix, pa_schema, per_batch, range_hashes, row_key, slices
 
 BINS = 64
 #: Keys (of 16 bytes, with an id) that may be broadcast: about 100 MB.
 BROADCAST_ROWS = 2_000_000
 #: Share of sketch bins that agree, below which a pair isn't looked at: 7 standard deviations under 0.8.
 SKETCH = 0.45
+#: Shingles (of 8 bytes) of a bucket's texts that one row may hold.
+TOKENS = 1 << 21
+LINKS = "_k0 bigint, _k1 bigint, links bigint, r0 bigint, r1 bigint"
 
 
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +189,19 @@ def _met(members: list[dict], pairs: np.ndarray) -> np.ndarray:
 
 def similar_pairs(members: list[dict], pairs: np.ndarray, similarity: float) -> np.ndarray:
     """Those of the pairs whose sets have the similarity."""
-    sets = [np.frombuffer(x["tokens"], np.uint64) for x in members]
+    return pairs[_alike(members, pairs, _common([np.frombuffer(x["tokens"], np.uint64) for x in members], pairs), similarity)]
+
+
+def _alike(members: list[dict], pairs: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    size = np.array([x["size"] for x in members], np.int64)
+    union = size[pairs[:, 0]] + size[pairs[:, 1]] - common
+    return common >= similarity * union - 1e-9
+
+
+def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """How many shingles the two sets of each pair share."""
     size = np.array([len(s) for s in sets], np.int64)
-    if len(pairs) <= 8 * len(members):
+    if len(pairs) <= 8 * len(sets):
         common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs.tolist()], np.int64)
     else:
         # products of 0/1 matrices, some thousand shared shingles at a time
@@ -201,8 +219,7 @@ def similar_pairs(members: list[dict], pairs: np.ndarray, similarity: float) ->
             x[who[a:b], token[a:b] - lo] = 1
             both += x @ x.T
         common = both[pairs[:, 0], pairs[:, 1]].astype(np.int64)
-    union = size[pairs[:, 0]] + size[pairs[:, 1]] - common
-    return pairs[common >= similarity * union - 1e-9]
+    return common
 
 
 def _in_order(bucket: list[dict]) -> list[dict]:
@@ -226,27 +243,66 @@ def _links(part: dict, similarity: float) -> dict:
     out = {"_k0": [], "_k1": [], "links": [], "r0": [], "r1": []}
     for two, bucket in zip(part["two"], part["members"], strict=True):
         bucket = _in_order(bucket)
-        pairs = similar_pairs(bucket, candidate_pairs(bucket, similarity, two), similarity)
-        if not len(pairs):
-            continue
-        links = np.bincount(pairs.ravel(), minlength=len(bucket))
-        root = np.arange(len(bucket))
-        while True:  # the least member that is reached
-            was = root.copy()
-            np.minimum.at(root, pairs[:, 0], was[pairs[:, 1]])
-            np.minimum.at(root, pairs[:, 1], was[pairs[:, 0]])
-            root = root[root]
-            if (root == was).all():
-                break
-        for i in np.flatnonzero(links).tolist():
-            out["_k0"].append(bucket[i]["_k0"])
-            out["_k1"].append(bucket[i]["_k1"])
-            out["links"].append(int(links[i]))
-            out["r0"].append(bucket[root[i]]["_k0"])
-            out["r1"].append(bucket[root[i]]["_k1"])
+        _tree(bucket, similar_pairs(bucket, candidate_pairs(bucket, similarity, two), similarity), out)
+    return out
+
+
+def _tree(bucket: list[dict], pairs: np.ndarray, out: dict) -> None:
+    """Add the rows of a bucket, of which ``pairs`` are linked."""
+    if not len(pairs):
+        return
+    links = np.bincount(pairs.ravel(), minlength=len(bucket))
+    root = np.arange(len(bucket))
+    while True:  # the least member that is reached
+        was = root.copy()
+        np.minimum.at(root, pairs[:, 0], was[pairs[:, 1]])
+        np.minimum.at(root, pairs[:, 1], was[pairs[:, 0]])
+        root = root[root]
+        if (root == was).all():
+            break
+    for i in np.flatnonzero(links).tolist():
+        out["_k0"].append(bucket[i]["_k0"])
+        out["_k1"].append(bucket[i]["_k1"])
+        out["links"].append(int(links[i]))
+        out["r0"].append(bucket[root[i]]["_k0"])
+        out["r1"].append(bucket[root[i]]["_k1"])
+
+
+def _ranges(part: dict) -> dict:
+    """Each row ``n`` times, with the shingles of one range of hashes."""
+    out = {c: [] for c in ("path", "block", "two", "part", "_k0", "_k1", "size", "sketch", "before", "half", "tokens")}
+    for i, (n, tokens) in enumerate(zip(part["n"], part["tokens"], strict=True)):
+        h = np.frombuffer(tokens, np.uint64)
+        which = (mix(h) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        cut = np.searchsorted(which[order], np.arange(n + 1))
+        for p in range(n):
+            for c in ("path", "block", "two", "_k0", "_k1", "size", "half"):
+                out[c].append(part[c][i])
+            out["part"].append(p)
+            # (what the first range tells isn't repeated)
+            out["sketch"].append(part["sketch"][i] if p == 0 else None)
+            out["before"].append(part["before"][i] if p == 0 else None)
+            out["tokens"].append(h[order[cut[p] : cut[p + 1]]].tobytes())
     return out
 
 
+def _links_by_range(rows, similarity: float):
+    """As :func:`_links`, from rows of :func:`_ranges` in order of bucket, range and text: the sets of one range are held."""
+    for (_, _, two), bucket in groupby(rows, key=lambda x: (x["path"], x["block"], x["two"])):
+        members = None
+        for _, part in groupby(bucket, key=lambda x: x["part"]):
+            part = list(part)
+            if members is None:
+                members = [{c: v for c, v in x.items() if c != "tokens"} for x in part]
+                pairs = candidate_pairs(members, similarity, two)
+                common = np.zeros(len(pairs), np.int64)
+            common += _common([np.frombuffer(x["tokens"], np.uint64) for x in part], pairs)
+        out = {"_k0": [], "_k1": [], "links": [], "r0": [], "r1": []}
+        _tree(members, pairs[_alike(members, pairs, common, similarity)], out)
+        yield out
+
+
 # -- the join ----------------------------------------------------------------------------------------------------
 
 def join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 1 - 1e-6, limit: int = 4096, id_col: str = "doc_id",
@@ -313,9 +369,16 @@ def _classes(docs: DataFrame, similarity: float, k: int, recall: float, limit: i
         return {"_k0": part["_k0"], "_k1": part["_k1"], "tokens": [h[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]}
 
     tokens = per_batch(text, sets, "_k0 bigint, _k1 bigint, tokens binary").dropDuplicates(key)
-    full = remains.join(tokens, key).select("path", "block", "two", F.struct(*key, "size", "sketch", "before", "half", "tokens").alias("member"))
-    full = full.groupBy("path", "block", "two").agg(F.collect_list("member").alias("members"))
-    linked = per_batch(full.select("two", "members"), lambda p: _links(p, similarity), "_k0 bigint, _k1 bigint, links bigint, r0 bigint, r1 bigint")
+    bucket = ["path", "block", "two"]
+    wide = remains.groupBy(*bucket).agg(F.ceil(F.sum("size") / TOKENS).cast("int").alias("n")).where("n > 1")
+    wide = materialize(wide, "jaccard-wide")
+    some = not wide.isEmpty()
+    narrow = remains.join(wide, bucket, "left_anti") if some else remains
+    full = narrow.join(tokens, key).select("path", "block", "two", F.struct(*key, "size", "sketch", "before", "half", "tokens").alias("member"))
+    full = full.groupBy(*bucket).agg(F.collect_list("member").alias("members"))
+    linked = per_batch(full.select("two", "members"), lambda p: _links(p, similarity), LINKS)
+    if some:
+        linked = linked.unionByName(_wide_links(remains.join(wide, bucket).join(tokens, key), similarity))
     linked = materialize(linked, "jaccard-links")
     edges = linked.select(F.struct(*key).alias("u"), F.struct(F.col("r0").alias("_k0"), F.col("r1").alias("_k1")).alias("v"))
     label = components(edges).select("u._k0", "u._k1", F.col("v").alias("root"))
@@ -327,6 +390,21 @@ def _classes(docs: DataFrame, similarity: float, k: int, recall: float, limit: i
     return signed.select("id", *key).join(known, key)
 
 
+def _wide_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """LINKS of buckets whose sets don't fit in a row: their members are sorted, not gathered."""
+    rows = per_batch(rows.select("path", "block", "two", "n", "_k0", "_k1", "size", "sketch", "before", "half", "tokens"), _ranges,
+                     "path bigint, block bigint, two boolean, part int, _k0 bigint, _k1 bigint, size int, sketch binary, before array<bigint>, half int, tokens binary")
+    rows = rows.repartition("path", "block", "two").sortWithinPartitions("path", "block", "two", "part", "_k0", "_k1")
+    out = pa_schema(rows.sparkSession, LINKS)
+
+    def run(batches):
+        each = (x for b in batches for lo, hi in slices(b) for x in b.slice(lo, hi - lo).to_pylist())
+        for got in _links_by_range(each, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+
+    return rows.mapInArrow(run, LINKS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node of the edges (u, v), and the least node it is connected with. Rounds of large-star and small-star;
     each is an aggregate and a join, so that no node's neighbours are gathered."""

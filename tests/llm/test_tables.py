@@ -173,6 +173,29 @@ def test_jaccard_join(docs, rows, empty, limit):
         assert jaccard.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_jaccard_sets_by_range(docs, rows, limit, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(jaccard, "TOKENS", 64)
+    links, common, most = jaccard._wide_links, jaccard._common, []
+    monkeypatch.setattr(jaccard, "_wide_links", lambda *a: most.append(a[0].agg(F.max("n")).first()[0]) or links(*a))
+    got = jaccard.join(docs, limit=limit)
+    assert Counter(tuple(r) for r in got.collect()) == similar(rows)[0]
+    assert most and most[0] > 1
+    # what is held at once stays near the bound, however long the texts are
+    sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 64, 5000, np.uint64)) for i in range(2)] * 2
+    n, sizes = 50, []
+    names = ("path", "block", "two", "_k0", "_k1", "size", "sketch", "before", "half", "tokens", "n")
+    sketch = np.ones(jaccard.BINS, np.uint16).tobytes()
+    part = dict(zip(names, zip(*((1, 0, False, i, i, 5000, sketch, [], 0, s.tobytes(), n) for i, s in enumerate(sets))), strict=True))
+    cut = jaccard._ranges(part)
+    each = sorted((dict(zip(cut, v, strict=True)) for v in zip(*cut.values(), strict=True)), key=lambda x: (x["part"], x["_k0"]))
+    monkeypatch.setattr(jaccard, "_common", lambda s, pairs: sizes.append(sum(map(len, s))) or common(s, pairs))
+    found, = jaccard._links_by_range(iter(each), 0.8)
+    assert found["_k0"] == [0, 1, 2, 3] and found["links"] == [1] * 4 and found["r0"] == [0, 1, 0, 1]
+    assert len(sizes) == n and sum(sizes) == 20000 and max(sizes) < 2 * 20000 / n
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(50, 60), (61, 50), (62, 61), (70, 71)]
     got = {r.u: r.v for r in jaccard.components(spark.createDataFrame(edges + [(9, 9)], "u bigint, v bigint")).collect()}
