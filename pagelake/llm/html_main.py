@@ -6,7 +6,9 @@ density is C/T * log_base(C/LC * T/LT) with base ln(C/(C-LC) * LC + LC_body/C_bo
 holds the main text, and the least density on its path to the body is the threshold below which link-heavy containers
 inside it count as menus. The article or main element around that node, if there is one, is taken whole. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments, hidden nodes, scripts and styles are taken out by element, role or
-class before densities are computed.
+class before densities are computed. Classes and ids count on containers only, as whole names or by their first word
+("cookie-notice"), in an article or main element as whole classes; and what holds most of the page's unlinked text is never
+taken out, hidden nodes, scripts and the like apart.
 
 Blocks are cut at block-level tags; references are decoded and white space in a block is one space; blocks are joined by
 an empty line. Nothing else is dropped or capped. A page is one row from start to end: no shuffle.
@@ -34,8 +36,11 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold main text.
 NOISE = frozenset(
-    "head title meta link script style noscript template nav footer aside form button select option textarea input iframe object embed svg"
-    " canvas dialog menu audio video map".split())
+    "head title meta link script style noscript template button select option textarea input iframe object embed svg canvas audio video map".split())
+#: Elements that hold it only if they hold most of the page.
+ASIDE = frozenset("nav footer aside form dialog menu".split())
+#: Elements whose class and id count.
+CONTAINER = frozenset("div section header nav aside footer form ul ol dl table tbody tr td fieldset details center figure article".split())
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 NOISE_CLASS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead ad ads advert adverts advertisement banner promo"
@@ -52,10 +57,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "noise", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "noise", "maybe", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
-    def __init__(self, tag: str, up: Node | None, noise: bool = False):
-        self.tag, self.up, self.noise = tag, up, noise
+    def __init__(self, tag: str, up: Node | None, noise: bool = False, maybe: bool = False):
+        self.tag, self.up, self.noise, self.maybe = tag, up, noise, maybe
         self.kids: list[Node | str] = []
 
 
@@ -66,21 +71,44 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def is_noise(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NOISE or tag == "header" and not in_article:
-        return True
-    if not attrs or not attrs.strip("/ ") or tag in ("html", "body", "article", "main"):
-        if tag != "article" or not attrs:
-            return False
+def is_noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the element is noise, and whether it is unless it holds most of the page's unlinked text."""
+    if tag in NOISE:
+        return True, False
+    maybe = tag in ASIDE or tag == "header" and not in_article
+    if not attrs or not attrs.strip("/ ") or tag in ("html", "body", "main"):
+        return False, maybe
     a = attributes(attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
-        return True
-    if a.get("role", "").lower() in NOISE_ROLE:
-        return True
-    names = {w for w in re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()) if w}
+        return True, False
+    if maybe or a.get("role", "").lower() in NOISE_ROLE:
+        return False, True
+    if tag not in CONTAINER:
+        return False, False
+    classes, ids = a.get("class", "").lower().split(), a.get("id", "").lower().split()
     if tag == "article":
-        return bool(names & {"comment", "comments", "ad", "advert", "promo", "sponsored"})
-    return bool(names & (NOISE_CLASS - {"header"} if in_article else NOISE_CLASS))
+        return False, not {"comment", "comments", "ad", "advert", "promo", "sponsored"}.isdisjoint(classes + ids)
+    if in_article:
+        # (an id is the anchor of a part there)
+        words = [re.findall(r"[a-z0-9]+", c) for c in classes]
+        return False, any(w and all(x in NOISE_CLASS and x != "header" for x in w) for w in words)
+    return False, any(w and w[0] in NOISE_CLASS for w in (re.findall(r"[a-z0-9]+", c) for c in classes + ids))
+
+
+def settle(root: Node) -> None:
+    """Decide which of the elements that may be noise are."""
+    every = nodes(root)
+    for x in every:
+        x.chars = x.link_chars = 0
+    for x in reversed(every):
+        x.chars += sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        if x.tag == "a":
+            x.link_chars = x.chars
+        if x.up is not None:
+            x.up.chars += x.chars
+            x.up.link_chars += x.link_chars
+    for x in every:
+        x.noise = x.maybe and 2 * (x.chars - x.link_chars) <= root.chars - root.link_chars
 
 
 def parse(html: str) -> Node:
@@ -131,7 +159,7 @@ def parse(html: str) -> Node:
             pop_to(set(CLOSES[tag].split()), set(SCOPE[tag].split()))
         if tag in ("body", "html") and open_tags.get(tag):
             continue
-        new = Node(tag, node, is_noise(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
+        new = Node(tag, node, *is_noise(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, pos)
@@ -143,6 +171,7 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
             open_tags[tag] = open_tags.get(tag, 0) + 1
             node = new
+    settle(root)
     return root
 
 

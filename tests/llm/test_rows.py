@@ -130,6 +130,17 @@ def test_factorization_machine_learns_pairs(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_html_noise_is_no_part_of_the_text():
+    text = "One sentence of the text, and then some more. " * 6
+    p = f"<p>{text.strip()}</p>"
+    for start in ("div class='content has-sidebar'", "div class=no-sidebar", "div class=with-nav", "div id=page-header-fixed", "div id=header-wrapper", "div class=comments",
+                  "form action=/x", "aside"):
+        assert html_main.main_text(f"<body><div class=cookie-notice>We use cookies</div><{start}>{p}{p}</{start.split()[0]}><footer>End</footer></body>") == f"{text.strip()}\n\n{text.strip()}"
+    page = (f"<article>{p}<h2 id=related-work>Related work</h2><section id=navigation>{p}</section><p id=comment-on-x>On x</p><p>Do <em class=alert>not</em> go</p>"
+            "<div class='social-share'>Share it</div><div class=ad>Buy</div></article>")
+    assert html_main.main_text(page).split("\n\n") == [text.strip(), "Related work", text.strip(), "On x", "Do not go"]
+
+
 def test_html_main_text(spark):
     page = ("<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
             "<header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></ul></nav><div class='cookie-notice'>We use cookies to track</div>"
