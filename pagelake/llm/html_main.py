@@ -3,8 +3,10 @@
 A page becomes a tree. For every node: C characters and T tags below it, LC and LT of them in links. The composite text
 density is C/T * log_base(C/LC * T/LT) with base ln(C/(C-LC) * LC + LC_body/C_body * C + e) (zero denominators count as
 1): link-adjusted characters per tag. A node's density sum adds its children's densities; the node with the largest one
-holds the main text, and the least density on its path to the body is the threshold below which link-heavy containers
-inside it count as menus. The article or main element around that node, if there is one, is taken whole. Menus, headers,
+holds the main text, and the least density on its path to the body is the threshold: from the body down, the node of the
+largest density sum is kept in every subtree that reaches it, and these are joined in page order. The article or main element
+around such a node is taken whole; if the first node is in one, only such elements are kept. Elsewhere, link-heavy containers
+below the threshold count as menus. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments, hidden nodes, scripts and styles are taken out by element, role or
 class before densities are computed. Classes and ids count on containers only, as whole names or by their first word
 ("cookie-notice"), in an article or main element as whole classes; and what holds most of the page's unlinked text is never
@@ -46,6 +48,9 @@ NOISE_CLASS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead ad ads advert adverts advertisement banner promo"
     " promoted sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup"
     " share sharing social comment comments respond reply replies related recommended widget toolbar pagination pager login".split())
+#: Elements inside a line of text, never taken alone.
+INLINE = frozenset(
+    "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 #: A start tag closes these open elements first.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: ... but not beyond these.
@@ -220,26 +225,52 @@ def density(c: int, t: int, lc: int, lt: int, body_ratio: float) -> float:
     return c / max(t, 1) * math.log(max(inner, 1.0)) / max(math.log(base), 1.0)
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node that holds the main text, and the density threshold."""
+def main_nodes(root: Node) -> tuple[list[Node], float]:
+    """The nodes that hold the main text, in page order, and the density threshold."""
     every = measure(root)
     body = next((x for x in every if x.tag == "body"), root)
-    inside = set()
-    for x in every:
-        if x is body or x.up in inside:
-            inside.add(x)
-    best = max((x for x in every if x in inside), key=lambda x: x.total)
-    if best.total <= 0:
-        best = body
+    # the node of the largest density sum in each subtree; of equal ones the earliest
+    for x in reversed(every):
+        x.top = x
+        for k in x.kids:
+            if isinstance(k, Node) and not k.noise and k.top.tag not in INLINE and (k.top.total > x.top.total):
+                x.top = k.top
+    best = body.top
     least, at = best.density, best
     while at is not None and at is not body:
         least, at = min(least, at.density), at.up
-    whole, at = None, best
-    while at is not None:
-        if at.tag in ("article", "main"):
-            whole = at
-        at = at.up
-    return whole or best, min(least, body.density)
+    threshold = min(least, body.density)
+    chosen, stack = set(), [body]
+    while stack:
+        x = stack.pop()
+        if x in chosen or x.chars == 0 or x.tag in INLINE or x.density < threshold - 1e-9:
+            continue
+        chosen.add(x.top)
+        if x.top is not x:
+            stack += [k for k in x.kids if isinstance(k, Node) and not k.noise]
+    whole = {x: _whole(x) for x in chosen}
+    if whole.get(best):
+        chosen = {w for w in whole.values() if w}
+    else:
+        chosen = {w or x for x, w in whole.items()}
+    out, covered = [], set()
+    for x in every:
+        if x.up in covered:
+            covered.add(x)
+        elif x in chosen:
+            out.append(x)
+            covered.add(x)
+    return out or [body], threshold
+
+
+def _whole(x: Node) -> Node | None:
+    """The outermost article or main element that ``x`` is in."""
+    whole = None
+    while x is not None:
+        if x.tag in ("article", "main"):
+            whole = x
+        x = x.up
+    return whole
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
@@ -259,7 +290,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
             cut()
         elif isinstance(x, str):
             piece.append(x)
-        elif not x.noise and not (x is not node and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.link_chars > 0.8 * x.chars > 0 and x.density < threshold):
+        elif not x.noise and not (x is not node and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.link_chars > 0.8 * x.chars > 0 and x.density < threshold and not _whole(x)):
             if x.tag in BLOCK:
                 cut()
                 stack.append(None)
@@ -270,8 +301,8 @@ def blocks(node: Node, threshold: float) -> list[str]:
 
 def main_text(html: str | None) -> str:
     root = parse(html or "")
-    node, threshold = main_node(root)
-    return "\n\n".join(blocks(node, threshold))
+    chosen, threshold = main_nodes(root)
+    return "\n\n".join(b for node in chosen for b in blocks(node, threshold))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

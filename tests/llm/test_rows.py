@@ -141,6 +141,17 @@ def test_html_noise_is_no_part_of_the_text():
     assert html_main.main_text(page).split("\n\n") == [text.strip(), "Related work", text.strip(), "On x", "Do not go"]
 
 
+def test_html_text_in_several_containers():
+    p = [f"{w} " + "words of a sentence that goes on for a while. " * 5 for w in ("lead", "body", "more", "last")]
+    p = [x.strip() for x in p]
+    menu = "<div><a href=1>a</a><a href=2>bb</a><a href=3>ccc</a></div>"
+    for tag in ("div", "article"):
+        page = f"<body>{menu}<{tag}><p>{p[0]}</p></{tag}><{tag}><p>{p[1]}</p><p>{p[2]}</p></{tag}><{tag}><p>{p[3]}</p></{tag}></body>"
+        assert html_main.main_text(page).split("\n\n") == p
+    refs = "<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul>"
+    assert html_main.main_text(f"<body>{menu}<article><p>{p[0]}</p><p>{p[1]}</p>{refs}</article></body>").split("\n\n") == [*p[:2], "Source one", "Source two"]
+
+
 def test_html_main_text(spark):
     page = ("<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
             "<header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></ul></nav><div class='cookie-notice'>We use cookies to track</div>"
