@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity
+from . import chat, decontaminate, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,18 @@ SELECT doc_id, unnest(generate_series(1, epochs))::BIGINT AS epoch, n AS n_token
 
 
 ORACLE_SQL["op10_mixing"] = _mix_sql()
+
+
+# -- 11 ----------------------------------------------------------------------------------------------------------
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=16)
+    got = whitening.project(vectors, model)
+    if model is None:
+        model = whitening.NONE
+    shares = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    each = got.select("*", F.posexplode("whitened").alias("i", "w"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", F.col("w").alias("whitened"),
+                       F.get(shares, F.col("i")).alias("explained"), F.lit(model.identity_error).alias("identity_error"), "deviation_exact")
