@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity, whitening
+from . import chat, decontaminate, fingerprints, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = got.select("*", F.posexplode("whitened").alias("i", "w"))
     return each.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", F.col("w").alias("whitened"),
                        F.get(shares, F.col("i")).alias("explained"), F.lit(model.identity_error).alias("identity_error"), "deviation_exact")
+
+
+# -- 13 ----------------------------------------------------------------------------------------------------------
+
+@query
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(fingerprints.with_next(read(spark, sf_dir, "documents")))
