@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity, whitening
+from . import chat, collocations, decontaminate, fingerprints, html_main, jaccard, langid, mixing, quality, secrets, substrings, toxicity, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,26 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(fingerprints.with_next(read(spark, sf_dir, "documents")))
+
+
+# -- 12 ----------------------------------------------------------------------------------------------------------
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.collocations(read(spark, sf_dir, "documents"), 100, 100), 2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE_SQL["op12_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM d) u),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS t FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM p, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k) x),
+f AS (SELECT lang, k, t, count(*) AS f, string_split(t, ' ') AS w FROM g GROUP BY lang, k, t HAVING count(*) >= 100),
+c AS (SELECT lang, k, t, w, f AS a, unnest(generate_series(1, k - 1)) AS j FROM f WHERE k > 1),
+x AS (SELECT c.lang, c.k, c.t, c.a, c.j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.a * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score FROM c JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.t = array_to_string(c.w[1:c.j], ' ') JOIN f r ON r.lang = c.lang AND r.t = array_to_string(c.w[c.j + 1:], ' ')),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, j) = 1),
+sub AS (SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS t, a FROM (SELECT lang, w, f AS a, m, unnest(generate_series(1, k - m + 1)) AS s FROM f, (VALUES (2), (3), (4)) v(m) WHERE m < k) z),
+kept AS (SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = y.lang AND sub.t = y.t AND 100 * sub.a >= 100 * y.a))
+SELECT lang, rank, t AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, t) AS rank FROM kept) z WHERE rank <= 2000"""
