@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, mix, per_batch, range_hashes
+from .common import BASES, mix, pa_schema, per_batch, range_hashes, slices
 
 #: Chunk sizes in bytes: no boundary below LEAST, hard ones up to USUAL, easy ones up to MOST (below 256: a length is a byte).
 LEAST, USUAL, MOST = 16, 48, 192
 HARD, EASY = 7, 4
 #: Characters of text that a range of ``with_next`` should hold, and the most ranges there are (larger ones are only longer streams).
 RANGE_CHARS, MAX_RANGES = 1 << 23, 10_000
+#: Bytes of text that numpy holds at one time (or one text).
+GROUP_BYTES = 1 << 19
 
 
 # -- chunks --------------------------------------------------------------------------------------------------------
@@ -54,8 +56,8 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def next_at(hit: np.ndarray) -> np.ndarray:
     """For every place the first place at or after it where ``hit`` holds (its length: none)."""
     n = len(hit)
-    at = np.where(hit, np.arange(n), n)
-    return np.append(np.minimum.accumulate(at[::-1])[::-1], n)
+    at = np.where(hit, np.arange(n, dtype=np.int32), np.int32(n))
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], np.int32(n))
 
 
 def chunk_starts(data: np.ndarray, first: np.ndarray) -> list[list[int]]:
@@ -65,24 +67,35 @@ def chunk_starts(data: np.ndarray, first: np.ndarray) -> list[list[int]]:
     h = gear_hashes(data)
     top = np.uint32(32)
     hard, easy = next_at((h >> (top - np.uint32(HARD))) == 0), next_at((h >> (top - np.uint32(EASY))) == 0)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     one = hard[np.minimum(place + LEAST - 1, n)]
     two = easy[np.minimum(place + USUAL - 1, n)]
-    step = np.where(one < place + USUAL - 1, one + 1, np.minimum(two + 1, place + MOST)).tolist()
+    step = np.where(one < place + USUAL - 1, one + 1, np.minimum(two + 1, place + MOST))
     out = []
     for lo, hi in zip(first[::2].tolist(), first[1::2].tolist(), strict=True):
         mine = []
         while lo < hi:
             mine.append(lo)
-            lo = step[lo]
+            lo = step.item(lo)
         out.append(mine)
     return out
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """For each text its distinct (digest, length) pairs, by digest: arrays of 64-bit digests and lengths."""
+    """For each text its distinct (digest, length) pairs, by digest: arrays of 64-bit digests and lengths. Texts are worked on
+    in groups of about GROUP_BYTES."""
+    out, group, held = [], [], 0
+    for t in texts:
+        group.append(t.encode("utf-8", "surrogatepass"))
+        held += len(group[-1])
+        if held >= GROUP_BYTES:
+            out += group_fingerprints(group)
+            group, held = [], 0
+    return out + group_fingerprints(group)
+
+
+def group_fingerprints(raw: list[bytes]) -> list[np.ndarray]:
     gap = bytes(32)
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(gap + gap.join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
     begin = 32 + np.concatenate(([0], np.cumsum(sizes + 32)[:-1])) if len(raw) else np.zeros(0, np.int64)
@@ -159,6 +172,18 @@ def range_of(bounds: np.ndarray):
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = RANGE_CHARS) -> DataFrame:
     """``id``, ``text`` and ``next_text`` (the text of the next document by falling id; after the last: the first), nulls as empty
     texts. Ids are integers."""
+    ready, kind = in_ranges(docs, id, text, size)
+    ddl = f"`{id}` {kind}, text string, next_text string"
+    out = pa_schema(docs.sparkSession, ddl)
+    return ready.mapInArrow(lambda batches: (as_batch(rows, out) for rows in follow(batches)), ddl)
+
+
+def as_batch(columns, out: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+
+def in_ranges(docs: DataFrame, id: str, text: str, size: int) -> tuple[DataFrame, str]:
+    """Sorted ranges of rows (part, loan, id, text), each closed by the loan of the next range's first text; and the ids' type."""
     low = -(1 << 63)
     rows = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -174,30 +199,23 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     loans = found.select(F.lit(None).cast(kind).alias("id"), "text", F.lit(low).alias("key"), F.lit(0).cast("long").alias("tie"), F.col("to").alias("part"), F.lit(1).alias("loan"))
     ready = (rows.withColumn("loan", F.lit(0)).unionByName(loans).repartition(max(1, len(heads)), "part")
              .sortWithinPartitions("part", "loan", F.desc("key"), "tie", "text").select("part", "loan", "id", "text"))
-    return ready.mapInArrow(follow, f"id {kind}, text string, next_text string").withColumnsRenamed({"id": id})
+    return ready, kind
 
 
 def follow(batches):
-    """Rows of sorted ranges with the text that comes after each; a loan ends its range and isn't given out."""
-    held = None
-
-    def pack(rows, like):
-        ids, texts, following = zip(*rows, strict=True)
-        names = ["id", "text", "next_text"]
-        return pa.RecordBatch.from_arrays([pa.array(ids, like.type), pa.array(texts, pa.string()), pa.array(following, pa.string())], names=names)
-
-    for batch in batches:
-        out, size = [], 0
-        for loan, i, t in zip(*(batch.column(c).to_pylist() for c in ("loan", "id", "text")), strict=True):
+    """(ids, texts, next texts) of sorted ranges, in groups of bounded size; a loan ends its range and isn't given out."""
+    held, out, size = None, [], 0
+    for part in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b)):
+        for loan, i, t in zip(*(part.column(c).to_pylist() for c in ("loan", "id", "text")), strict=True):
             if held is not None:
                 out.append((*held, t))
                 size += len(t) + len(held[1])
-                if size > 1 << 23:
-                    yield pack(out, batch.column("id"))
+                if size > GROUP_BYTES:
+                    yield tuple(zip(*out, strict=True))
                     out, size = [], 0
             held = None if loan else (i, t)
-        if out:
-            yield pack(out, batch.column("id"))
+    if out:
+        yield tuple(zip(*out, strict=True))
 
 
 # -- the edit test -----------------------------------------------------------------------------------------------------
@@ -208,19 +226,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def compared(pairs: DataFrame, id: str = "doc_id") -> DataFrame:
-    """For rows of ``with_next``: the fingerprints of the text and its edited form, and the containment of the text in that form
-    and in the next text."""
-    def run(part):
-        text, following = part["text"], part["next_text"]
-        changed = [edited(t, f) for t, f in zip(text, following, strict=True)]
-        each = list(dict.fromkeys(text + changed + following))
+def compared(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = RANGE_CHARS) -> DataFrame:
+    """For each document the fingerprints of its text and its edited form, and the containment of the text in that form and in the
+    next text."""
+    ready, kind = in_ranges(docs, id, text, size)
+    ddl = f"`{id}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = pa_schema(docs.sparkSession, ddl)
+
+    def judged(ids, texts, following):
+        changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+        each = list(dict.fromkeys((*texts, *changed, *following)))
         known = dict(zip(each, fingerprints(each), strict=True))
-        rows = list(zip(text, changed, following, strict=True))
-        return {"id": part[id], "n_chars": [len(t) for t in text],
-                "edited_sha256": [hashlib.sha256(c.encode()).hexdigest() for c in changed],
-                "fingerprint": [written(known[t]) for t in text], "edited_fingerprint": [written(known[c]) for c in changed],
-                "near_edited": [contained(known[t], known[c]) for t, c, _ in rows], "near_next": [contained(known[t], known[f]) for t, _, f in rows]}
-
-    kind = pairs.schema[id].dataType.simpleString()
-    return per_batch(pairs, run, f"`{id}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return (ids, [len(t) for t in texts], [hashlib.sha256(c.encode()).hexdigest() for c in changed], [written(known[t]) for t in texts], [written(known[c]) for c in changed],
+                [contained(known[t], known[c]) for t, c in zip(texts, changed, strict=True)], [contained(known[t], known[f]) for t, f in zip(texts, following, strict=True)])
+
+    return ready.mapInArrow(lambda batches: (as_batch(judged(*rows), out) for rows in follow(batches)), ddl)

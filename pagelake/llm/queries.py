@@ -242,7 +242,7 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(fingerprints.with_next(read(spark, sf_dir, "documents")))
+    return fingerprints.compared(read(spark, sf_dir, "documents"))
 
 
 # -- 12 ----------------------------------------------------------------------------------------------------------

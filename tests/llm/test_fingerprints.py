@@ -53,15 +53,11 @@ def test_shifts():
     assert fp.containment(fp.written(whole[2]), fp.written(base)) == fp.contained(whole[2], base)
 
 
-def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    return order, [t or "" for _, t, *_ in order]
-
 
 @pytest.mark.parametrize("size", [1 << 23, 2000])
-def test_query(spark, docs, rows, empty, tmp_path, size, monkeypatch):
-    monkeypatch.setattr(fp, "RANGE_CHARS", size)
-    got = fp.compared(fp.with_next(docs, size=size)).collect()
+def test_query(spark, docs, rows, empty, size, monkeypatch):
+    monkeypatch.setattr(fp, "GROUP_BYTES", size)
+    got = fp.compared(docs, size=size).collect()
     # rows of one id may come in any order: walk the ids down, taking any order that the texts' hashes chose
     ties = {r[0]: r[1] for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
     order = sorted(((r[0] is None, -(r[0] or 0), ties[r[1] or ""], r[0], r[1] or "") for r in rows))
@@ -75,8 +71,8 @@ def test_query(spark, docs, rows, empty, tmp_path, size, monkeypatch):
     same = {}
     for r in got:
         assert same.setdefault(r.edited_sha256, r.edited_fingerprint) == r.edited_fingerprint
-    assert fp.compared(fp.with_next(empty)).count() == 0
-    one = fp.compared(fp.with_next(docs.where("doc_id = 73"))).collect()
+    assert fp.compared(empty).count() == 0
+    one = fp.compared(docs.where("doc_id = 73")).collect()
     assert [(r.near_next, r.n_chars) for r in one] == [(1.0, 3)]
 
 
