@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, pa_schema
+from .common import materialize, mix, pa_schema, slices
 
 #: Bytes of text in a shard; words of the corpus for each bucket of filters; words of the longest phrase.
-SHARD_BYTES, BUCKET_WORDS, LONGEST = 1 << 23, 1 << 21, 5
+SHARD_BYTES, BUCKET_WORDS, LONGEST = 1 << 22, 1 << 21, 5
 #: Classes of bytes: part of a word, between words, between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -151,6 +151,21 @@ def from_bytes(raw: np.ndarray, at: int, n: int, bits: int) -> tuple[np.ndarray,
     return out.view("<u8").ravel().astype(np.uint64), at + n * width
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Non-negative integers as planes of their bytes, lowest first, each compressed: planes of small numbers are nearly empty."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return struct.pack("<BQ", width, len(values)) + pa.compress(np.ascontiguousarray(planes[:width]).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    planes = np.frombuffer(pa.decompress(data[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
+
+
 # -- shards ----------------------------------------------------------------------------------------------------------
 
 def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -162,19 +177,19 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.n
     inside = kind == 0
     edge = np.diff(np.concatenate(([False], inside)).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    breaks = np.cumsum(kind == 2)
-    place = np.arange(len(start)) + breaks[start]
+    place = np.arange(len(start)) + np.searchsorted(np.flatnonzero(kind == 2), start)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))))
     offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
     return owner, place, words.dictionary, words.indices.to_numpy()
 
 
-SHARDS = "shard long, places binary, numbers binary, langs array<string>, words array<string>, counts array<long>"
+SHARDS = "shard long, places binary, numbers binary, lang string, word string, number int, c long"
 
 
 def shards(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """One row for each shard: places of its words, their numbers in the shard, and for each number language, word and count."""
+    """For each shard one row with the places of its words and their numbers in the shard, and one for each number with its language,
+    word and count."""
     size = SHARD_BYTES
     rows = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     out = pa_schema(docs.sparkSession, SHARDS)
@@ -190,21 +205,25 @@ def shards(docs: DataFrame, lang: str, text: str) -> DataFrame:
             both = np.array([code[n] for n in langs], np.int64)[owner] * max(1, len(words)) + number
             distinct, mine, counts = np.unique(both, return_inverse=True, return_counts=True)
             which, word = np.divmod(distinct, max(1, len(words)))
-            row = [[task << 24 | made], [place.astype("<i4").tobytes()], [mine.astype("<i4").tobytes()], [[names[i] for i in which.tolist()]],
-                   [words.cast(pa.string()).take(pa.array(word)).to_pylist()], [counts.tolist()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, out, strict=True)], schema=out)
+            n, name = len(distinct), task << 24 | made
+            yield table([name], [squeezed(np.diff(place, prepend=0))], [squeezed(mine)], [None], [None], [None], [None])
+            yield table(np.full(n, name), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(names, pa.string()).take(pa.array(which)),
+                        words.cast(pa.string()).take(pa.array(word)), np.arange(n, dtype=np.int32), counts)
 
-        for batch in batches:
-            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        def table(*columns):
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+        for part in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b)):
+            for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 t = t.encode("utf-8", "surrogatepass")
                 langs.append(n)
                 texts.append(t)
                 held += len(t) + 1
                 if held >= size:
-                    yield shard()
+                    yield from shard()
                     langs, texts, held, made = [], [], 0, made + 1
         if texts:
-            yield shard()
+            yield from shard()
 
     return rows.mapInArrow(run, SHARDS)
 
@@ -218,7 +237,7 @@ FOUND = "shard long, prefixes binary, suffixes binary, ids binary, counts binary
 
 
 def round_rows(shard: int, places: np.ndarray, ids: np.ndarray, bits: int, bucket_bits: int, last: bool) -> pa.Table:
-    rows = [] if last else [(shard, -1, places.astype("<i4").tobytes(), ids.astype("<i8").tobytes())]
+    rows = [] if last else [(shard, -1, squeezed(np.diff(places, prepend=0)), squeezed(ids))]
     at = neighbours(places)
     rows += [(shard, bucket, data, None) for bucket, data in Filter.of(bits, ids[at], ids[at + 1]).pack(bucket_bits)]
     shard_, bucket, a, b = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -235,13 +254,13 @@ def first_round(coded: DataFrame, answers: DataFrame, bits: int, bucket_bits: in
         if left.num_rows == 0 or right.num_rows == 0:
             return round_rows(0, np.zeros(0, np.int64), np.zeros(0, np.int64), bits, bucket_bits, True)
         row = left.to_pylist()[0]
-        places, numbers = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["numbers"], "<i4")
-        ids = np.zeros(int(numbers.max()) + 1, np.int64)
+        places, numbers = np.cumsum(unsqueezed(row["places"])), unsqueezed(row["numbers"])
+        ids = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
         ids[right.column("number").to_numpy()] = right.column("id").to_numpy()
         ids = ids[numbers]
         return round_rows(row["shard"], places[ids > 0], ids[ids > 0], bits, bucket_bits, False)
 
-    mine = coded.where(F.length("places") > 0).select("shard", "places", "numbers")
+    mine = coded.where(F.col("word").isNull()).select("shard", "places", "numbers")
     return mine.groupBy("shard").cogroup(answers.groupBy("owner")).applyInArrow(run, ROUND)
 
 
@@ -251,8 +270,8 @@ def next_round(before: DataFrame, found: DataFrame, bits: int, next_bits: int, b
         if left.num_rows == 0 or right.num_rows == 0:
             return round_rows(0, np.zeros(0, np.int64), np.zeros(0, np.int64), next_bits, bucket_bits, True)
         row = left.to_pylist()[0]
-        places, ids = np.frombuffer(row["a"], "<i4"), np.frombuffer(row["b"], "<i8")
-        prefixes, suffixes, named = (np.frombuffer(b"".join(right.column(c).to_pylist()), "<i8") for c in ("prefixes", "suffixes", "ids"))
+        places, ids = np.cumsum(unsqueezed(row["a"])), unsqueezed(row["b"])
+        prefixes, suffixes, named = (np.concatenate([unsqueezed(x) for x in right.column(c).to_pylist()]) for c in ("prefixes", "suffixes", "ids"))
         known = joint(prefixes.astype(np.uint64), suffixes.astype(np.uint64), bits)
         order = np.argsort(known)
         known, named = known[order], named[order]
@@ -279,8 +298,7 @@ def merge(rounds: DataFrame, least: int, bucket_bits: int) -> DataFrame:
         whole, entry = Filter.merged(bits, left, right, counts)
         often = whole.counts >= least
         ids = np.where(often, np.cumsum(often) * (1 << bucket_bits) + bucket, 0)
-        prefix, suffix = (x.astype("<i8") for x in whole.pairs())
-        ids = ids.astype("<i8")
+        prefix, suffix = whole.pairs()
         rows, at = [], 0
         if often.any():
             rows.append((-1, prefix[often], suffix[often], ids[often], whole.counts[often]))
@@ -290,7 +308,7 @@ def merge(rounds: DataFrame, least: int, bucket_bits: int) -> DataFrame:
             mine = mine[often[mine]]
             if len(mine):
                 rows.append((name, prefix[mine], suffix[mine], ids[mine], None))
-        columns = [[r[0] for r in rows], *([None if r[i] is None else r[i].astype("<i8").tobytes() for r in rows] for i in range(1, 5)), [int(r[3].max()) for r in rows]]
+        columns = [[r[0] for r in rows], *([None if r[i] is None else squeezed(r[i]) for r in rows] for i in range(1, 5)), [int(r[3].max()) for r in rows]]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, out, strict=True)], schema=out)
 
     return rounds.where("bucket >= 0").select("shard", "bucket", "a").groupBy("bucket").applyInArrow(run, FOUND)
@@ -304,7 +322,7 @@ def unpacked(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in row], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(x)) for x in row], schema=out)
 
     return found.where("shard = -1").select("prefixes", "suffixes", "ids", "counts").mapInArrow(run, ddl)
 
@@ -315,8 +333,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text
     """For each length from 1 the phrases that occur ``least`` times or more: lang, n (words of the language), phrase, id, prefix
     and suffix (ids of the parts without the last and the first word), f, heads and tails (counts of the first and last 1, 2, ... words)."""
     coded = materialize(shards(docs, lang, text), "collocations-shards")
-    words = coded.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("number", "w"))
-    words = words.select("shard", "number", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
+    words = coded.where(F.col("word").isNotNull()).select("shard", "number", "lang", "word", "c")
     sizes = materialize(words.groupBy("lang").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "collocations-sizes")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     bucket_bits = max(4, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
