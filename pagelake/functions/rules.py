@@ -73,6 +73,36 @@ def regex_is_valid(pattern: str) -> bool:
     return java_regex(pattern) is not None
 
 
+def required_literal(pattern: str | None) -> str:
+    """The longest run of plain ASCII characters, lower-cased, that every match of a regex holds ('' if none is sure)."""
+    from re import _constants as K
+    from re import _parser
+
+    best = ""
+
+    def walk(items) -> None:
+        nonlocal best
+        run = ""
+        for op, arg in items:
+            if op is K.LITERAL and arg < 128:
+                run += chr(arg).lower()
+            elif op is not K.AT:
+                best, run = max(best, run, key=len), ""
+                if op is K.SUBPATTERN:
+                    walk(arg[3])
+                elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT) and arg[0] > 0:
+                    walk(arg[2])
+                elif op is K.ATOMIC_GROUP:
+                    walk(arg)
+        best = max(best, run, key=len)
+
+    try:
+        walk(_parser.parse(pattern or ""))
+    except re.error:
+        return ""
+    return best
+
+
 def rule_predicate(url, rule_type: str, pattern: str) -> Column:
     """One rule over a URL column. Type and pattern are lower-cased; the URL is
     matched lower-cased. Regex rules search case-insensitively with the

@@ -6,15 +6,14 @@ per-page group to skew -- and the only shuffle left is the anti join against
 the seen-set, which is keyed by the link itself.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.html import hrefs, strip_raw_text
-from ..functions.rules import blocked_domain, java_regex, rule_predicate, rules_any, skip_extension, valid_url
+from ..functions.rules import blocked_domain, rule_predicate, rules_any, skip_extension, valid_url
 from ..functions.urls import add_url_join, normalize_array, url_domain
+from .patterns import dot_suffixes, match_patterns, salted_join
 
 
 def kept_links(html, base, rules=None, cfg: EngineConfig = DEFAULT):
@@ -74,38 +73,31 @@ def link_graph(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
             .distinct())
 
 
-@F.pandas_udf(T.StringType())
-def _java_regex(p: pd.Series) -> pd.Series:
-    return p.map(java_regex)
-
-
 def match_rules_table(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Links (job_id, link) kept when any of *their job's* rules (a table
     ``job_id, type, pattern``) matches; jobs without rules keep everything.
 
-    The join is an equi join on job_id plus the rule condition, so no pair is
-    formed across jobs. Regex rules are matched by ``rlike`` with the pattern
-    as a column."""
-    from ..plans.windows import row_barrier
-    lr = F.lower(F.col("link"))
-    t = F.lower(F.trim(F.col("r.type")))
-    p = F.lower(F.col("r.pattern"))
-    host = url_domain(lr)
-    cond = (F.col("l.job_id") == F.col("r.job_id")) & (
-        ((t == "contains") & F.contains(lr, p))
-        | ((t == "starts_with") & lr.startswith(p))
-        | ((t == "ends_with") & lr.endswith(p))
-        | ((t == "domain") & ((host == p) | host.endswith(F.concat(F.lit("."), p))))
-        | ((t == "regex") & F.regexp_like(lr, F.concat(F.lit("(?i)"), F.col("r.java"))))
-    ) & (p != "") & (t != "")
-    # Regex rules are brought into the dialect that runs them; invalid ones
-    # never match: they are dropped on the (small) rules side.
-    is_regex = F.lower(F.trim("type")) == "regex"
-    checked = row_barrier(rules.withColumn("java", F.when(is_regex, _java_regex("pattern")).otherwise(F.lit("")))).where("java is not null")
-    matched = links.alias("l").join(checked.alias("r"), cond, "left_semi")
-    no_rules = links.join(rules.select("job_id").distinct(), "job_id", "left_anti")
+    Links and rules meet through the literal index of ``operators.patterns``;
+    a job's links are dealt over many tasks, however many it has."""
+    named = rules.select("job_id", F.col("pattern").alias("pid"), "type", "pattern").distinct()
+    hits = match_patterns(links.select("job_id", F.col("link").alias("s")), named, ("job_id",))
+    hits = hits.select("job_id", F.col("s").alias("link")).distinct()
+    matched = links.join(hits, ["job_id", "link"], "left_semi")
+    no_rules = salted_join(links, rules.select("job_id").distinct(), ["job_id"], F.col("link"), how="left_anti")
     return matched.unionByName(no_rules)
 
 
+def blocked_by_table(links: DataFrame, blocked: DataFrame, url: str = "link") -> DataFrame:
+    """F10 with the blocked domains in a table (``domain``): links whose host is
+    neither one of them nor below one. Only distinct hosts are expanded into
+    their dot suffixes and compared; the links then meet the few hosts that are
+    blocked, each hot host dealt over many tasks. A null link stays."""
+    domains = blocked.where(F.length("domain") > 0).select(F.col("domain").alias("suffix")).distinct()
+    hosts = links.where(F.col(url).isNotNull()).select(url_domain(url).alias("host")).distinct()
+    tails = hosts.select("host", F.explode(dot_suffixes(F.col("host"))).alias("suffix"))
+    bad = salted_join(tails, domains, ["suffix"], F.col("host"), how="left_semi").select("host").distinct()
+    return salted_join(links.withColumn("host", url_domain(url)), bad, ["host"], F.col(url), how="left_anti").drop("host")
+
+
 __all__ = ["extract_links", "link_counts", "links_per_host", "link_graph",
-           "match_rules_table", "kept_links", "rule_predicate"]
+           "match_rules_table", "blocked_by_table", "kept_links", "rule_predicate"]
