@@ -33,6 +33,8 @@ from .common import materialize, mix, pa_schema, slices
 
 #: Bytes of text in a shard; words of the corpus for each bucket of filters; words of the longest phrase.
 SHARD_BYTES, BUCKET_WORDS, LONGEST = 1 << 22, 1 << 21, 5
+#: Frequent words are broadcast to the shards' words up to this size, and joined by a shuffle beyond it.
+BROADCAST_BYTES = 1 << 25
 #: Classes of bytes: part of a word, between words, between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -244,6 +246,13 @@ def round_rows(shard: int, places: np.ndarray, ids: np.ndarray, bits: int, bucke
     return pa.table({"shard": pa.array(shard_, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def paired(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those that have a neighbour; the others are in no longer phrase."""
+    near = np.diff(places) == 1
+    keep = np.append(near, False) | np.append(False, near) if len(places) else np.zeros(0, bool)
+    return places[keep], ids[keep]
+
+
 def neighbours(places: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(places) == 1)
 
@@ -258,7 +267,7 @@ def first_round(coded: DataFrame, answers: DataFrame, bits: int, bucket_bits: in
         ids = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
         ids[right.column("number").to_numpy()] = right.column("id").to_numpy()
         ids = ids[numbers]
-        return round_rows(row["shard"], places[ids > 0], ids[ids > 0], bits, bucket_bits, False)
+        return round_rows(row["shard"], *paired(places[ids > 0], ids[ids > 0]), bits, bucket_bits, False)
 
     mine = coded.where(F.col("word").isNull()).select("shard", "places", "numbers")
     return mine.groupBy("shard").cogroup(answers.groupBy("owner")).applyInArrow(run, ROUND)
@@ -279,7 +288,7 @@ def next_round(before: DataFrame, found: DataFrame, bits: int, next_bits: int, b
         pairs = joint(ids[at].astype(np.uint64), ids[at + 1].astype(np.uint64), bits)
         slot = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
         hit = known[slot] == pairs
-        return round_rows(row["shard"], places[at[hit]], named[slot[hit]], next_bits, bucket_bits, False)
+        return round_rows(row["shard"], *paired(places[at[hit]], named[slot[hit]]), next_bits, bucket_bits, False)
 
     mine = before.where("bucket = -1").select("shard", "a", "b")
     return mine.groupBy("shard").cogroup(found.where("shard >= 0").select("shard", "prefixes", "suffixes", "ids").groupBy("shard")).applyInArrow(run, ROUND)
@@ -297,7 +306,8 @@ def merge(rounds: DataFrame, least: int, bucket_bits: int) -> DataFrame:
         left, right, counts = (np.concatenate([getattr(f, c) for f in filters]) for c in ("left", "right", "counts"))
         whole, entry = Filter.merged(bits, left, right, counts)
         often = whole.counts >= least
-        ids = np.where(often, np.cumsum(often) * (1 << bucket_bits) + bucket, 0)
+        ids = np.zeros(len(often), np.int64)
+        ids[np.argsort(-whole.counts, kind="stable")[: often.sum()]] = (np.arange(often.sum()) + 1) * (1 << bucket_bits) + bucket
         prefix, suffix = whole.pairs()
         rows, at = [], 0
         if often.any():
@@ -332,26 +342,29 @@ def unpacked(found: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text: str = "text", longest: int = LONGEST) -> list[DataFrame]:
     """For each length from 1 the phrases that occur ``least`` times or more: lang, n (words of the language), phrase, id, prefix
     and suffix (ids of the parts without the last and the first word), f, heads and tails (counts of the first and last 1, 2, ... words)."""
-    coded = materialize(shards(docs, lang, text), "collocations-shards")
+    coded = materialize(shards(docs, lang, text), "collocations-shards", "zstd")
     words = coded.where(F.col("word").isNotNull()).select("shard", "number", "lang", "word", "c")
     sizes = materialize(words.groupBy("lang").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "collocations-sizes")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     bucket_bits = max(4, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
 
     spread = F.pmod(F.xxhash64("lang", "word"), F.lit(1024))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("lang", "word"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("f"), "lang", "word"))  # small ids for frequent words: they compress
     vocabulary = words.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     vocabulary = materialize(vocabulary.withColumn("g", spread).select("lang", "word", "f", (F.col("g") + 1024 * rank.cast("long")).alias("id")), "collocations-words")
-    answers = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("owner"), "number", "id")
+    held = vocabulary.agg(F.max("id").alias("top"), F.sum(F.octet_length("lang") + F.octet_length("word") + 64).alias("bytes")).first()
+    known = vocabulary.select("lang", "word", "id")
+    known = F.broadcast(known) if (held["bytes"] or 0) <= BROADCAST_BYTES else known
+    answers = words.join(known, ["lang", "word"]).select(F.col("shard").alias("owner"), "number", "id")
 
     same = F.array("f")
     level = vocabulary.join(sizes, "lang").select("lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), "id", F.lit(None).cast("long").alias("prefix"),
                                                   F.lit(None).cast("long").alias("suffix"), "f", same.alias("heads"), same.alias("tails"))
     levels = [materialize(level, "collocations-1")]
-    bits = width(vocabulary.agg(F.max("id")).first()[0], bucket_bits)
-    rounds = materialize(first_round(coded, answers, bits, bucket_bits), "collocations-round-1")
+    bits = width(held["top"], bucket_bits)
+    rounds = materialize(first_round(coded, answers, bits, bucket_bits), "collocations-round-1", "zstd")
     for k in range(2, longest + 1):
-        found = materialize(merge(rounds, least, bucket_bits), f"collocations-found-{k}")
+        found = materialize(merge(rounds, least, bucket_bits), f"collocations-found-{k}", "zstd")
         parts = levels[-1]
         before = parts.select(F.col("id").alias("prefix"), "lang", "n", F.col("phrase").alias("lead"), F.col("heads").alias("h"))
         after = parts.select(F.col("id").alias("suffix"), "last", F.col("tails").alias("t"))
@@ -361,7 +374,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text
         top = found.agg(F.max("top")).first()[0]
         if k < longest:
             now, bits = bits, width(top, bucket_bits)
-            rounds = materialize(next_round(rounds, found, now, bits, bucket_bits), f"collocations-round-{k}")
+            rounds = materialize(next_round(rounds, found, now, bits, bucket_bits), f"collocations-round-{k}", "zstd")
     return levels
 
 
@@ -390,6 +403,9 @@ def collocations(docs: DataFrame, least: int = 100, covered: int = 100, lang: st
 
 
 def best(found: DataFrame, top: int) -> DataFrame:
-    """The ``top`` best of each language with their rank."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """The ``top`` best of each language with their rank; first the best of each sixteenth of a language."""
+    part = F.pmod(F.xxhash64("phrase"), F.lit(16))
+    for keys in (["lang", part], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return found

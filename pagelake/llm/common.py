@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet (by the session's compression, or ``codec``) into the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

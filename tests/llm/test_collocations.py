@@ -71,6 +71,7 @@ def texts(rows):
 def test_collocations(spark, texts, least, covered, size, monkeypatch):
     monkeypatch.setattr(co, "SHARD_BYTES", size)
     monkeypatch.setattr(co, "BUCKET_WORDS", size)
+    monkeypatch.setattr(co, "BROADCAST_BYTES", size - 2000)  # 0 at 2000: the words are joined by a shuffle
     df = spark.createDataFrame([(*t, 1, 2) for t in texts], "lang string, text string, phrase int, shard int").repartition(3)
     got = [tuple(r) for r in co.collocations(df, least, covered).select("lang", "phrase", "a", "l", "r", "n", "score").collect()]
     want = brute(texts, least, covered)
