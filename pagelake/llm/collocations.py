@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, pa_schema, slices
+from .common import materialize, mix, pa_schema, release, slices
 
 #: Bytes of text in a shard; words of the corpus for each bucket of filters; words of the longest phrase.
-SHARD_BYTES, BUCKET_WORDS, LONGEST = 1 << 22, 1 << 21, 5
+SHARD_BYTES, BUCKET_WORDS, LONGEST = 3 << 21, 1 << 21, 5
 #: Frequent words are broadcast to the shards' words up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 1 << 25
 #: Classes of bytes: part of a word, between words, between pieces.
@@ -206,6 +206,10 @@ def shards(docs: DataFrame, lang: str, text: str) -> DataFrame:
             owner, place, words, number = numbered(texts)
             both = np.array([code[n] for n in langs], np.int64)[owner] * max(1, len(words)) + number
             distinct, mine, counts = np.unique(both, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # small numbers for frequent words: they compress
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            distinct, mine, counts = distinct[order], rank[mine], counts[order]
             which, word = np.divmod(distinct, max(1, len(words)))
             n, name = len(distinct), task << 24 | made
             yield table([name], [squeezed(np.diff(place, prepend=0))], [squeezed(mine)], [None], [None], [None], [None])
@@ -363,6 +367,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text
     levels = [materialize(level, "collocations-1")]
     bits = width(held["top"], bucket_bits)
     rounds = materialize(first_round(coded, answers, bits, bucket_bits), "collocations-round-1", "zstd")
+    release(coded)
     for k in range(2, longest + 1):
         found = materialize(merge(rounds, least, bucket_bits), f"collocations-found-{k}", "zstd")
         parts = levels[-1]
@@ -374,7 +379,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text
         top = found.agg(F.max("top")).first()[0]
         if k < longest:
             now, bits = bits, width(top, bucket_bits)
-            rounds = materialize(next_round(rounds, found, now, bits, bucket_bits), f"collocations-round-{k}", "zstd")
+            after = materialize(next_round(rounds, found, now, bits, bucket_bits), f"collocations-round-{k}", "zstd")
+            release(rounds)
+            rounds = after
+        release(found)
+    release(rounds)
     return levels
 
 

@@ -39,6 +39,14 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the table behind a DataFrame of ``materialize`` that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two never-null longs that identify the values of ``cols`` (a 128-bit content key): rows with equal values share
     it, which is what rows without a trustworthy id are joined back by."""
