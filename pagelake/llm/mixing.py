@@ -9,14 +9,15 @@ by capacity/weight, running sums, and integer shares.
 A leaf's budget is filled by seeded epochs: each epoch shuffles the leaf by md5(seed, epoch, id, text); whole epochs are
 repeated, and the last one gives the longest prefix of rows whose tokens fit. The end of that prefix is found on narrow rows
 and in two steps, so that no task sorts a whole leaf: tokens by (leaf, first three hex digits of the shuffle key), running
-sums over these few buckets, and an order only inside the bucket where the budget ends. What comes out is one shuffle key
-for each leaf, to which the rows compare themselves: the texts are never sorted.
+sums over these few buckets, and an order only of the distinct keys inside the bucket where the budget ends. What comes out is one
+shuffle key for each leaf, to which the rows compare themselves: the texts are never sorted. Where the budget ends among rows of
+one key (equal rows, maybe a third of all), these are counted, and as many copies are given as fit.
 
 Defined results: null levels form a branch of their own, named by the empty string; a null or empty text has no tokens and is
 taken with every epoch that reaches it; repeated rows are rows of their own; weights that aren't given are the default weight;
-a weight of 0 gives nothing; rows that tie in the shuffle key are equal rows, all taken or all left; an empty table, or
-a budget of 0, gives no rows. All columns of the input stay; ``epoch`` and ``n_tokens`` come beside them
-in a struct named ``mix``.
+a weight of 0 gives nothing; rows that tie in the shuffle key have equal ids and texts, and of these as many as fit are taken, by the
+order of their other columns; an empty table, or a budget of 0, gives no rows. All columns of the input stay; ``epoch`` and
+``n_tokens`` come beside them in a struct named ``mix``, which takes the place of an input column of that name.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ def shuffle_key(seed: int) -> Column:
 
 
 def plan(narrow: DataFrame, names: list[str], percent: int, weights: Mapping[str, Mapping[str, int]], max_epochs: int, seed: int) -> DataFrame:
-    """(levels, whole, last) for each leaf with a budget, from rows (levels, n, key): the epochs taken whole, and the last
-    shuffle key that the next epoch takes (null: none)."""
+    """(levels, whole, last, cut, copies) for each leaf with a budget, from rows (levels, n, key): the epochs taken whole, the last
+    shuffle key that the next epoch takes whole (null: none), and the key of which it takes some ``copies``."""
     leaves = narrow.groupBy(*names).agg(F.sum("n").alias("supply"))
     budgets = leaf_budgets(leaves, names, percent, weights, max_epochs).where("budget > 0")
     budgets = budgets.select(*names, F.expr("budget div supply").alias("whole"), F.expr("budget % supply").alias("rest"))
@@ -100,12 +101,15 @@ def plan(narrow: DataFrame, names: list[str], percent: int, weights: Mapping[str
     sums = sums.withColumn("before", F.coalesce(F.sum("bn").over(running), F.lit(0)))
     fits = F.col("before") + F.col("bn") <= F.col("rest")
     whole_buckets = sums.groupBy(*names).agg(F.first("whole").alias("whole"), F.max(F.when(fits, F.col("top"))).alias("last"))
-    # the bucket where the budget ends is put in order; rows with equal keys are counted together
+    # the bucket where the budget ends is put in order, a key at a time
     edge = sums.where(~fits & (F.col("before") <= F.col("rest"))).select(*names, "bucket", "before")
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*names).orderBy("order"))
-    inside = rows.join(edge, [*names, "bucket"]).withColumn("upto", upto).where("upto <= rest")
-    inside = inside.groupBy(*names).agg(F.max("order").alias("inside"))
-    return whole_buckets.join(inside, names, "left").select(*names, "whole", F.greatest("last", "inside").alias("last"))
+    keys = rows.groupBy(*names, "bucket", "order").agg(F.sum("n").alias("kn"), F.first("n").alias("n"), F.first("rest").alias("rest"))
+    keys = keys.join(edge, [*names, "bucket"]).withColumn("upto", F.col("before") + F.sum("kn").over(Window.partitionBy(*names).orderBy("order")))
+    over = F.col("upto") > F.col("rest")
+    inside = keys.groupBy(*names).agg(F.max(F.when(~over, F.col("order"))).alias("inside"),
+                                      F.min(F.when(over, F.struct("order", F.expr("(rest - upto + kn) div n").alias("copies")))).alias("cut"))
+    found = whole_buckets.join(inside, names, "left")
+    return found.select(*names, "whole", F.greatest("last", "inside").alias("last"), F.col("cut.order").alias("cut"), F.coalesce("cut.copies", F.lit(0)).alias("copies"))
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], percent: int = 60, weights: Mapping[str, Mapping[str, int]] | None = None,
@@ -122,7 +126,14 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], percent: int = 60, weight
     leaves = materialize(plan(narrow, names, percent, weights or {}, max_epochs, seed), "mixing-plan")
     if leaves.count() <= broadcast_rows:
         leaves = F.broadcast(leaves)
-    taken = F.col("whole") + F.when(shuffle_key(seed) <= F.col("last"), 1).otherwise(0)
-    chosen = rows.join(leaves, names).withColumn("epochs", taken).where("epochs > 0")
-    chosen = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
-    return chosen.select("row.*", F.struct("epoch", F.col("n").alias("n_tokens"), *names).alias("mix"))
+    order = shuffle_key(seed)
+    rows = rows.join(leaves, names)
+    chosen = rows.withColumn("epochs", F.col("whole") + F.when(order <= F.col("last"), 1).otherwise(0)).where("epochs > 0")
+    chosen = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs")))).select("row", "epoch", "n", *names)
+    # equal rows where the budget ends: counted, and given out until the copies are used up
+    equal = rows.where((F.col("copies") > 0) & (order == F.col("cut"))).groupBy("row", *names, "n", "whole", "copies").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(*names).orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+    some = equal.withColumn("some", F.least("c", F.greatest(F.col("copies") - F.coalesce(F.sum("c").over(before), F.lit(0)), F.lit(0)))).where("some > 0")
+    some = some.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("some")))).select("row", (F.col("whole") + 1).alias("epoch"), "n", *names)
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "mix"]
+    return chosen.unionByName(some).select(*kept, F.struct("epoch", F.col("n").alias("n_tokens"), *names).alias("mix"))

@@ -216,7 +216,7 @@ b{depth} AS (SELECT {', '.join(levels[:depth])}, supply, CASE WHEN filled THEN c
 caps AS (SELECT domain, lang, source, sum(n)::BIGINT AS supply, sum(n)::BIGINT * {MIX_EPOCHS} AS cap FROM docs GROUP BY ALL), {', '.join(parts)},
 plan AS (SELECT domain, lang, source, (budget // supply)::BIGINT AS whole, (budget % supply)::BIGINT AS rest FROM b3 WHERE budget > 0),
 o AS (SELECT d.*, whole, rest, md5(concat_ws('|', '{MIX_SEED}', (whole + 1)::VARCHAR, key)) AS ord FROM docs d JOIN plan USING (domain, lang, source)),
-t AS (SELECT *, whole + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord) <= rest THEN 1 ELSE 0 END AS epochs FROM o)
+t AS (SELECT *, whole + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS epochs FROM o)
 SELECT doc_id, unnest(generate_series(1, epochs))::BIGINT AS epoch, n AS n_tokens, domain, lang, source FROM t WHERE epochs > 0"""
 
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, jaccard, mixing, substrings
+from pagelake.llm import decontaminate, jaccard, mixing, queries, substrings
 
 from .conftest import COMMON
 
@@ -218,44 +218,68 @@ def share(children, total):
     return out
 
 
-def test_mixing(docs, rows, empty):
-    weights = {"lang": {"de": 100, "": 0}, "source": {"src1": 5000}}
-    levels = {"lang": F.col("lang"), "source": F.col("source")}
-    out = mixing.mix(docs, levels, 80, weights, max_epochs=2, seed=5)
-    assert out.columns == [*docs.columns, "mix"]
-    got = Counter((r.doc_id, hash(r.text), r["mix"]["epoch"]) for r in out.collect())
+def mixed(rows, levels, percent, weights, epochs, seed):
+    """Counter of (id, text, epoch), from rows (id, text, *levels): budgets by repeated sharing, prefixes by going through them."""
     supply = Counter()
-    for _, t, lang, source, *_ in rows:
-        supply[lang or "", source or ""] += len(WORD.findall(t or ""))
-    total = sum(supply.values()) * 80 // 100
-    top = share({g: (2 * sum(n for (a, _), n in supply.items() if a == g), weights["lang"].get(g, 1000)) for g, _ in supply}, total)
-    budget = {}
-    for g, b in top.items():
-        budget |= {(g, s): x for s, x in share({s: (2 * n, weights["source"].get(s, 1000)) for (a, s), n in supply.items() if a == g}, b).items()}
+    for _, t, *at in rows:
+        supply[tuple(at)] += len(WORD.findall(t or ""))
+    budget = {(): sum(supply.values()) * percent // 100}
+    for depth, name in enumerate(levels, 1):
+        now = {}
+        for node, b in budget.items():
+            below = Counter()
+            for leaf, n in supply.items():
+                if leaf[: depth - 1] == node:
+                    below[leaf[:depth]] += epochs * n
+            now |= share({k: (n, weights.get(name, {}).get(k[-1], 1000)) for k, n in below.items()}, b)
+        budget = now
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     want = Counter()
     for leaf, b in budget.items():
         if b <= 0:
             continue
         whole, rest = divmod(b, supply[leaf])
-        mine = [(("" if i is None else f"{i}|") + md5(t or ""), i, t) for i, t, lang, source, *_ in rows if (lang or "", source or "") == leaf]
-        keyed = sorted((md5(f"5|{whole + 1}|{md5(k)}"), i, t) for k, i, t in [(k, -1 if i is None else i, t or "") for k, i, t in mine])
-        fits, run, at = set(), 0, 0
-        while at < len(keyed):
-            same = [x for x in keyed if x[0] == keyed[at][0]]
-            run += sum(len(WORD.findall(t)) for _, _, t in same)
+        mine = [(i, t or "") for i, t, *at in rows if tuple(at) == leaf]
+        for i, t in mine:
+            want.update((i, t, e) for e in range(1, whole + 1))
+        run = 0
+        for _, i, t in sorted((md5(f"{seed}|{whole + 1}|" + md5(("" if i is None else f"{i}|") + md5(t))), -1 if i is None else i, t) for i, t in mine):
+            run += len(WORD.findall(t))
             if run > rest:
                 break
-            fits.add(keyed[at][0])
-            at += len(same)
-        texts = {(k, i): t for k, i, t in [(md5(f"5|{whole + 1}|{md5(k)}"), i, t) for k, i, t in mine]}
-        for k, i, t in [(md5(f"5|{whole + 1}|{md5(k)}"), i, t) for k, i, t in mine]:
-            for e in range(1, whole + (k in fits) + 1):
-                want[i, hash(texts[k, i]), e] += 1
-    assert got == want
+            want[None if i == -1 else i, t, whole + 1] += 1
+    return want
+
+
+def of(chosen):
+    return Counter((r.doc_id, r.text or "", r["mix"]["epoch"]) for r in chosen.collect())
+
+
+def test_mixing(docs, rows, empty):
+    weights = {"lang": {"de": 100, "": 0}, "source": {"src1": 5000}}
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    out = mixing.mix(docs, levels, 80, weights, max_epochs=2, seed=5)
+    assert out.columns == [*docs.columns, "mix"]
+    narrow = [(i, t, lang or "", source or "") for i, t, lang, source, *_ in rows]
+    assert of(out) == mixed(narrow, levels, 80, weights, 2, 5)
     assert mixing.mix(empty, levels).count() == 0 and mixing.mix(docs, levels, 0).count() == 0
 
 
+@pytest.mark.parametrize("percent", [1, 33, 50, 150])
+def test_mixing_equal_rows(spark, percent):
+    """A hundred equal rows: the budget is used up to the last copy that fits; an input column may be called mix."""
+    rows = [(1, "one two", "en", "x", "a")] * 100 + [(1, "one two", "en", "x", "b")] * 20 + [(i, "w " * i, "en", "y", "c") for i in range(2, 8)] + [(9, "", "de", "z", "d"), (9, None, "de", "z", "d")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, mix string, other string").repartition(3)
+    out = mixing.mix(df, {"lang": F.col("lang")}, percent, {}, max_epochs=2, seed=3)
+    assert out.columns == ["doc_id", "text", "lang", "other", "mix"]
+    got = of(out)
+    assert got == mixed([(i, t, lang) for i, t, lang, *_ in rows], ["lang"], percent, {}, 2, 3)
+    per = Counter((r.doc_id, r.text, r.other, r["mix"]["epoch"]) for r in out.collect())
+    assert all(n <= Counter(rows_[:2] + rows_[4:] for rows_ in rows)[k[:3]] for k, n in per.items())
+    total = sum(len(WORD.findall(r[1] or "")) for r in rows) * percent // 100
+    assert 0 <= total - sum(n * len(WORD.findall(k[1])) for k, n in got.items()) < 8
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
     """Each stage on the fixture, by brute force on its own input."""
     import corpus_pipeline
@@ -279,8 +303,12 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert Counter(seen[0]) == Counter(r for r in rows if passes(r[1]))
     assert len(seen[1]) == similar(seen[0])[1] and not Counter(seen[1]) - Counter(seen[0])
     bad = {tuple(COMMON.split()[s : s + 10]) for s in range(2, 11)}
-    dirty = lambda t: any(tuple(folded(t)[s : s + 10]) in bad for s in range(len(folded(t))))
+    def dirty(t):
+        w = folded(t)
+        return any(tuple(w[s : s + 10]) in bad for s in range(len(w)))
     assert Counter(seen[2]) == Counter(r for r in seen[1] if not dirty(r[1])) and len(seen[2]) < len(seen[1])
     assert len(seen[3]) == len(seen[2]) and not any("hunter22" in r[1] for r in seen[3])
     final = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in final.collect()} <= {r[0] for r in seen[3]} and final.count() > 0
+    domain = lambda source: "d" + str(int(re.search("[0-9]+$", source)[0]) % 4) if re.search("[0-9]+$", source or "") else ""
+    narrow = [(i, t, domain(source), lang or "", source or "") for i, t, lang, source, *_ in seen[3]]
+    assert of(final) == mixed(narrow, ["domain", "lang", "source"], queries.MIX_PERCENT, queries.MIX_WEIGHTS, queries.MIX_EPOCHS, queries.MIX_SEED)
