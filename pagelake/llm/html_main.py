@@ -9,8 +9,10 @@ around such a node is taken whole; if the first node is in one, only such elemen
 below the threshold count as menus. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments, hidden nodes, scripts and styles are taken out by element, role or
 class before densities are computed. Classes and ids count on containers only, as whole names or by their first word
-("cookie-notice"), in an article or main element as whole classes; and what holds most of the page's unlinked text is never
-taken out, hidden nodes, scripts and the like apart.
+("cookie-notice"), words that may as well name a part of the text ("related-work", "share-price") only beside other words of layout
+("related-posts"), in an article or main element as whole classes; what holds most of the page's unlinked text is never
+taken out, hidden nodes, scripts and the like apart. Readers' comments are taken out wherever they are, by class or id, unless they
+are nearly all of the page.
 
 Blocks are cut at block-level tags; references are decoded and white space in a block is one space; blocks are joined by
 an empty line. Nothing else is dropped or capped. A page is one row from start to end: no shuffle.
@@ -48,6 +50,13 @@ NOISE_CLASS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead ad ads advert adverts advertisement banner promo"
     " promoted sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup"
     " share sharing social comment comments respond reply replies related recommended widget toolbar pagination pager login".split())
+#: Of these, words that also name parts of a text; they count only where all words of the name are noise or one of LAYOUT.
+AMBIGUOUS = frozenset("share sharing social related recommended notice notices alert comment comments respond reply replies header menu widget promo banner login ads sponsor"
+                      " consent subscribe subscription popup overlay aside".split())
+LAYOUT = frozenset("area bar block body bottom box btn button buttons card cards container content count field form global group heading holder icon icons inner item items left link links list"
+                   " main meta more outer page panel post posts primary right row secondary section site slot stories thread title top unit user users wrap wrapper articles".split())
+#: Readers' comments, which count in the text as well, by class and by id.
+COMMENT = frozenset("comment comments respond replies disqus".split())
 #: Elements inside a line of text, never taken alone.
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
@@ -64,7 +73,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     __slots__ = ("tag", "noise", "maybe", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
-    def __init__(self, tag: str, up: Node | None, noise: bool = False, maybe: bool = False):
+    def __init__(self, tag: str, up: Node | None, noise: bool = False, maybe: int = 0):
         self.tag, self.up, self.noise, self.maybe = tag, up, noise, maybe
         self.kids: list[Node | str] = []
 
@@ -76,8 +85,12 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def is_noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether the element is noise, and whether it is unless it holds most of the page's unlinked text."""
+#: Noise unless it is nearly all of the page's unlinked text (a discussion may be longer than what it is about).
+COMMENTS = 2
+
+
+def is_noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether the element is noise, and whether it is unless it holds most of the page's unlinked text (1), or nearly all (COMMENTS)."""
     if tag in NOISE:
         return True, False
     maybe = tag in ASIDE or tag == "header" and not in_article
@@ -93,11 +106,13 @@ def is_noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     classes, ids = a.get("class", "").lower().split(), a.get("id", "").lower().split()
     if tag == "article":
         return False, not {"comment", "comments", "ad", "advert", "promo", "sponsored"}.isdisjoint(classes + ids)
+    named = [re.findall(r"[a-z0-9]+", c) for c in classes + ids]
+    if any(all(x in COMMENT or x in LAYOUT or x.isdigit() for x in w) and not COMMENT.isdisjoint(w) for w in named):
+        return False, COMMENTS
     if in_article:
         # (an id is the anchor of a part there)
-        words = [re.findall(r"[a-z0-9]+", c) for c in classes]
-        return False, any(w and all(x in NOISE_CLASS and x != "header" for x in w) for w in words)
-    return False, any(w and w[0] in NOISE_CLASS for w in (re.findall(r"[a-z0-9]+", c) for c in classes + ids))
+        return False, any(w and all(x in NOISE_CLASS and x != "header" for x in w) for w in named[: len(classes)])
+    return False, any(w and w[0] in NOISE_CLASS and (w[0] not in AMBIGUOUS or all(x in NOISE_CLASS or x in LAYOUT or x.isdigit() for x in w)) for w in named)
 
 
 def settle(root: Node) -> None:
@@ -113,27 +128,25 @@ def settle(root: Node) -> None:
             x.up.chars += x.chars
             x.up.link_chars += x.link_chars
     for x in every:
-        x.noise = x.maybe and 2 * (x.chars - x.link_chars) <= root.chars - root.link_chars
+        own, page = x.chars - x.link_chars, root.chars - root.link_chars
+        x.noise = bool(x.maybe) and (20 * own <= 19 * page if x.maybe == COMMENTS else 2 * own <= page)
 
 
 def parse(html: str) -> Node:
     """The tree of a page; text pieces are decoded."""
     root = node = Node("#page", None)
-    open_tags: dict[str, int] = {}
+    open_tags: dict[str, list[int]] = {}  # depths of the open elements of each name
+    depth = 0
 
     def pop_to(tags: frozenset | set, stop: frozenset | set = frozenset()) -> None:
         """Close the innermost open element of ``tags``, unless one of ``stop`` is open inside it."""
-        nonlocal node
-        if not any(open_tags.get(t) for t in tags):
+        nonlocal node, depth
+        to = max((open_tags[t][-1] for t in tags if open_tags.get(t)), default=0)
+        if not to or any(open_tags[t][-1] > to for t in stop if open_tags.get(t)):
             return
-        at = node
-        while at.up is not None and at.tag not in tags:
-            if at.tag in stop:
-                return
-            at = at.up
-        while node is not at.up:
-            open_tags[node.tag] -= 1
-            node = node.up
+        while depth >= to:
+            open_tags[node.tag].pop()
+            node, depth = node.up, depth - 1
 
     pos, n = 0, len(html)
     while pos < n:
@@ -174,7 +187,8 @@ def parse(html: str) -> Node:
             close = html.find(">", stop) if end else -1
             pos = close + 1 if close >= 0 else n
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            depth += 1
+            open_tags.setdefault(tag, []).append(depth)
             node = new
     settle(root)
     return root

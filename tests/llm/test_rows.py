@@ -152,6 +152,33 @@ def test_html_text_in_several_containers():
     assert html_main.main_text(f"<body>{menu}<article><p>{p[0]}</p><p>{p[1]}</p>{refs}</article></body>").split("\n\n") == [*p[:2], "Source one", "Source two"]
 
 
+def test_html_names_of_parts_and_comments():
+    p = [f"Sentence number {i} of the text, long enough to count, with commas and words of its own for the reader." for i in range(12)]
+    par = lambda *xs: "".join(f"<p>{x}</p>" for x in xs)
+    menu = "<ul class=nav-main>" + "".join(f"<li><a href=/{i}>Menu entry {i}</a></li>" for i in range(8)) + "</ul>"
+    for part in ('<section id="related-work">', '<div class="share-price">', '<div class="social-policy">', '<div id="notice-of-meeting">', '<section class="comment-on-law">', '<div class="header-file">'):
+        tag = part[1:].split()[0]
+        page = f"<html><body>{menu}<div>{par(*p[:3])}{part}{par(*p[3:6])}</{tag}>{par(*p[6:8])}</div></body></html>"
+        assert html_main.main_text(page).split("\n\n") == p[:8], part
+    talk = "".join(f"<div class=comment><p>{x} says a reader</p></div>" for x in p)
+    for part in ('<section id="comments">', '<div class="comment-list">', '<div class="user-comments">', '<section class="post-comments">', '<div id="respond">'):
+        tag = part[1:].split()[0]
+        for start, end in (("<main>", "</main>"), ("<article>", "</article>"), ("<div>", "</div>")):
+            page = f"<html><body>{menu}{start}{par(*p[:4])}{part}{talk}</{tag}>{end}</body></html>"
+            assert html_main.main_text(page).split("\n\n") == p[:4], (part, start)
+    assert html_main.main_text(f"<body><div id=comments>{par(*p[:4])}</div></body>").split("\n\n") == p[:4]
+    for part in ("related-posts", "share-buttons", "social-links", "notice", "alert-box", "cookie-banner-1", "promo-box", "header-top"):
+        page = f"<html><body><div>{par(*p[:6])}</div><div class='{part}'>{par('Something else to read here now.')}</div></body></html>"
+        assert html_main.main_text(page).split("\n\n") == p[:6], part
+
+
+def test_html_end_tags_in_linear_time():
+    import time
+    start = time.time()
+    got = html_main.main_text("<body><b><table><tr><td>" + "<i>" * 20_000 + "text" + "</b>" * 20_000 + "</td></tr></table></body>")
+    assert got == "text" and time.time() - start < 5
+
+
 def test_html_main_text(spark):
     page = ("<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
             "<header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></ul></nav><div class='cookie-notice'>We use cookies to track</div>"
