@@ -19,6 +19,13 @@ REFERENCE_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 REPLACEMENT = "\ufffd"
 
 COMMENT_RE = r"(?s)<!--.*?-->"
+# The rest of a tag after its name: quoted values hold any character. (The possessive forms keep the matcher from trying other
+# readings of a tag that never ends.)
+_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>"""
+# What the scan of a page's markup meets, in this order.
+SCAN_RE = (r"(?is)<!--.*?(?:-->|\z)|<script\b" + _REST + r".*?(?:</script\s*>|\z)|<style\b" + _REST + r".*?(?:</style\s*>|\z)"
+           r"|<[a-z/!?]" + _REST + r"|[^<]+|<")
+DROPPED_RE = r"(?i)^<(?:!--|(?:script|style)\b)"
 SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
@@ -72,10 +79,15 @@ def strip_comments(html) -> Column:
 
 
 def strip_raw_text(html) -> Column:
-    """Comments, script and style bodies removed (step 1 of the token model)."""
-    h = strip_comments(html)
-    h = F.regexp_replace(h, SCRIPT_RE, "")
-    return F.regexp_replace(h, STYLE_RE, "")
+    """Step 1 of the token model, a scan of the markup in document order: comments, scripts and styles removed (an unclosed one goes on
+    to the end), and what is left made plain: ``<`` and ``>`` inside a tag, as in quoted values, and a ``<`` that starts no tag are
+    written as references. Afterwards every ``<[^>]*>`` is one tag."""
+    def plain(t):
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        escaped = F.concat(F.lit("<"), F.replace(F.replace(inner, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit(">"))
+        return (F.when(~t.startswith("<"), t).when(t == "<", F.lit("&lt;")).when(t.rlike(DROPPED_RE), F.lit(""))
+                .when(inner.contains("<") | inner.contains(">"), escaped).otherwise(t))
+    return F.array_join(F.transform(F.regexp_extract_all(_c(html), F.lit(SCAN_RE), 0), plain), "")
 
 
 def page_title(html) -> Column:
@@ -121,9 +133,10 @@ def sql_pystrip(s: str) -> str:
 
 
 def sql_strip_raw_text(h: str) -> str:
-    h = f"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
-    h = f"regexp_replace({h}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')"
-    return f"regexp_replace({h}, '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
+    scan = SCAN_RE.replace("*+", "*").replace("?+", "?").replace("'", "''")
+    inner = "substr(mt, 2, length(mt) - 2)"
+    return (f"array_to_string(list_transform(regexp_extract_all({h}, '{scan}'), lambda mt: CASE WHEN NOT starts_with(mt, '<') THEN mt WHEN mt = '<' THEN '&lt;' "
+            f"WHEN regexp_matches(mt, '{DROPPED_RE}') THEN '' ELSE '<' || replace(replace({inner}, '<', '&lt;'), '>', '&gt;') || '>' END), '')")
 
 
 def sql_hrefs(h: str) -> str:

@@ -1,10 +1,11 @@
 """Classification.
 
-The rule classifier scores every page against a configuration-sized list of
-categories *inside the page's row*: keyword counts are array filters over the
-page's own word array, URL patterns and domain tests are static predicates.
-No pair table (page x category) is ever formed and nothing is shuffled. The
-category list is checked against a size bound before it is inlined.
+The rule classifier here scores every page against a configuration-sized list
+of categories *inside the page's row*: keyword counts are array filters over
+the page's own word array, URL patterns and domain tests are static predicates.
+No pair table (page x category) is ever formed and nothing is shuffled. A
+stored category table of any size goes through ``category_index``, and so does
+a list too long to be part of a plan.
 
 The one extension point is the scorer (C12): a name picks a Column builder;
 the native keyword scorer and ``none`` are pure expressions, model scorers are
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT, UNCATEGORIZED, EngineConfig
+from ..config import DEFAULT, EngineConfig
 from ..functions.html import WS, pystrip
 from ..functions.rules import rule_predicate
 from ..functions.urls import url_domain
@@ -103,22 +104,18 @@ def score_keywords(text_lc: Column, words_lc: Column, keywords: list[str], known
 
 
 def score_domain(host_parts: Column, keywords: list[str]) -> Column:
-    """C4: 1.0 when a keyword is a substring of any host part."""
+    """C4: 1.0 when a keyword is a substring of any host part; a blank one never is."""
+    keywords = [k for k in keywords if k]
     if not keywords:
         return F.lit(0.0)
     hit = reduce(or_, [F.exists(host_parts, _has(k.lower())) for k in keywords])
     return F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def _check_size(categories: list[dict]) -> None:
-    if len(categories) > MAX_INLINE_CATEGORIES:
-        raise ValueError(f"{len(categories)} categories exceed the inline bound {MAX_INLINE_CATEGORIES}")
-
-
 def score_categories(df: DataFrame, url_col: str, text_col: str, categories: list[dict]) -> DataFrame:
     """``scores`` per row, a struct for each category in order: (ord, name,
-    score, url_pattern, keyword_frequency, domain_match)."""
-    _check_size(categories)
+    score, url_pattern, keyword_frequency, domain_match). For lists short enough
+    to be part of the plan; a category table goes through ``category_index``."""
     d = df.withColumn("_tl", F.lower(F.col(text_col))).withColumn("_wl", words_of(F.col("_tl"))) \
         .withColumn("_hp", F.filter(F.split(url_domain(F.lower(F.col(url_col))), r"[.\-]"), lambda s: s != ""))
     single = sorted({k.lower() for c in categories for k in c.get("keywords") or [] if " " not in k})
@@ -142,7 +139,10 @@ def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[
                    cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Best category per row -> struct(category_name, confidence,
     url_pattern, keyword_frequency, domain_match) or NULL. Categories:
-    dicts (name, keywords, url_patterns) in order; ties go to the first."""
+    dicts (name, keywords, url_patterns) in order; ties go to the first. A list
+    of more than MAX_INLINE_CATEGORIES becomes a table."""
+    if len(categories) > MAX_INLINE_CATEGORIES:
+        return _classify_by_long_list(df, url_col, text_col, categories, cfg)
     d = score_categories(df, url_col, text_col, categories).withColumnRenamed("scores", "_sc")
     best = F.try_element_at(F.array_sort(F.filter("_sc", lambda s: s["score"] > 0),
                                          lambda a, b: F.when(a["score"] > b["score"], -1)
@@ -157,6 +157,19 @@ def classify_pages(df: DataFrame, url_col: str, text_col: str, categories: list[
     return row_barrier(d.withColumn("classification", res).drop("_sc"))
 
 
+def _classify_by_long_list(df: DataFrame, url_col: str, text_col: str, categories: list[dict], cfg: EngineConfig) -> DataFrame:
+    """The same through the category table; pages with equal url and text share one classification."""
+    from .category_index import classify_by_table
+    rows = [(i, f"{i:09d}", c["name"], list(c.get("keywords") or []), [(p.get("type"), p.get("pattern")) for p in c.get("url_patterns") or []]) for i, c in enumerate(categories)]
+    table = df.sparkSession.createDataFrame(rows, "category_id long, name string, spelled string, keywords array<string>, url_patterns array<struct<type:string,pattern:string>>")
+    key = F.struct(*[F.xxhash64(F.lit(salt), F.col(url_col), F.col(url_col).isNull(), F.col(text_col)).alias(salt) for salt in ("a", "b")])
+    keyed = df.withColumn("_key", key)
+    pages = keyed.select("_key", F.col(url_col).alias("_url"), F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+    best = classify_by_table(pages, table, "_key", "_url", "_text", cfg).join(F.broadcast(table.select("category_id", "spelled")), "category_id")
+    best = best.select("_key", F.struct(F.col("spelled").alias("category_name"), "confidence", "url_pattern", "keyword_frequency", "domain_match").alias("classification"))
+    return keyed.join(best, "_key", "left").drop("_key")
+
+
 def class_text_service(title: Column, blocks: Column, max_words: int) -> Column:
     """Title then non-code blocks within one word budget."""
     tw = words_of(title)
@@ -314,8 +327,3 @@ def llm_parse_labels(obj_text: Column, candidates: list[str]) -> Column:
                                                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["s"])).alias("s")))
     res = _result(F.transform(clamped, lambda p: p["label"]), F.transform(clamped, lambda p: p["s"]), -1.0)
     return F.when(obj_text.isNull() | parsed.isNull() | raw_l.isNull(), _empty_result(F.lit("no_json"))).otherwise(res)
-
-
-def resolve_categories(labels: Column) -> Column:
-    """No labels -> [Uncategorized], else the labels."""
-    return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, F.array(F.lit(UNCATEGORIZED))).otherwise(labels)

@@ -1,13 +1,14 @@
 """Page-quality detectors: blocking walls (D1, D2), JS-rendered pages (D3),
 fetch outcome (D4), render decision (D6), wall summary (D7).
 
-Each detector is one Column expression over the response row: an ordered
+Each detector is an expression over the response row: an ordered
 ``CASE WHEN`` cascade (evaluated lazily, first match wins) with the body
-lower-cased once in a projection below it. No UDF, no shuffle.
+lower-cased, or its markup made plain, once in a projection below it. No UDF, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.html import COMMENT_RE, SCRIPT_RE, STYLE_RE, entity_decode, pystrip
+from ..functions.elements_udf import VOID
+from ..functions.html import entity_decode, pystrip, strip_raw_text
+from ..plans.windows import row_barrier
 
 # --------------------------------------------------------------------------
 # FIXED VALUES -- wall body patterns (matched on the lower-cased body).
@@ -26,7 +29,7 @@ CF_BODY = ["checking your browser", "please wait while we check your browser", "
 RECAPTCHA = ["grecaptcha", "recaptcha/api.js", "data-sitekey", "g-recaptcha", "recaptcha.net/recaptcha"]
 HCAPTCHA = ["hcaptcha.com/1/api.js", "data-hcaptcha-sitekey", "hcaptcha-challenge"]
 DATADOME = ["datadome", "dd_referrer", "device-is-challenged"]
-PERIMETERX = ["perimeterx", "_pxhd", "px-captcha", "human.px-cdn.net", "perimeterx"]
+PERIMETERX = ["perimeterx", "_pxhd", "px-captcha", "human.px-cdn.net"]
 LOGIN_BODY = ['type="password"', "login-form", "signin-form", "sign-in-form", 'action="/login"',
               'action="/signin"', 'action="/sign-in"', "you must be logged in", "please log in to continue",
               "please sign in to continue", "members only"]
@@ -149,68 +152,79 @@ def _text_len(fragment_src: Column, sep_len: int) -> Column:
     return F.when(F.size(frags) > 0, total + (F.size(frags) - 1) * sep_len).otherwise(F.lit(0))
 
 
-def _root_text_len(html: Column, rid: str) -> Column:
-    """Text length of the first element with id=rid (NULL when absent). The
-    element ends at the first closing tag of its name (nesting of the same
-    tag inside the root is not followed)."""
-    pat = (r"(?is)<([a-z][a-z0-9]*)(?:\s[^>]*?)?\sid\s*=\s*(?:\"" + rid + r"\"|'" + rid + r"'|" + rid +
-           r"(?:[\s/>]))[^>]*>")
-    tag = F.lower(F.regexp_extract(html, pat, 1))
-    after = F.regexp_extract(html, pat + r"(.*)$", 2)
-    close = F.instr(F.lower(after), F.concat(F.lit("</"), tag))
-    inner = F.when(close > 0, F.substring(after, F.lit(1), close - 1)).otherwise(after)
-    return F.when(tag != "", _text_len(inner, 0))
-
-
-def body_region(html: Column) -> Column:
-    """Body content with comments, scripts and styles removed."""
-    h = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, COMMENT_RE, ""), SCRIPT_RE, ""), STYLE_RE, "")
-    after = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)$", 1)
-    region = F.when(h.rlike(r"(?i)<body\b"), after).otherwise(h)
+def _root_opener(rid: str) -> str:
+    """Start tag of an element with the id, its name in group 1; markup is plain."""
+    return r"""(?is)<([a-z][a-z0-9-]*)\s(?:[^>]*?\s)?id\s*=\s*(?:"RID"[^>]*|'RID'[^>]*|RID(?:[\s/][^>]*)?)>""".replace("RID", re.escape(rid))
+
+
+def _root_text_len(plain: Column, rid: str) -> Column:
+    """Text length of the first element with id=rid (NULL when absent). The element ends where the depth of tags of its own
+    name is back at nought, or with the page."""
+    opener = F.regexp_extract(plain, _root_opener(rid), 0)
+    tag = F.lower(F.regexp_extract(plain, _root_opener(rid), 1))
+    # the blank in front keeps the first piece free of a tag
+    after = F.concat(F.lit(" "), F.substring(plain, F.position(opener, plain) + F.length(opener), F.length(plain)))
+    pieces = F.split(after, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+
+    def step(acc, x):
+        depth = acc["depth"] + F.when(acc["i"] == 0, 0).when(x.startswith("</"), -1).otherwise(1)
+        open_ = (acc["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(acc["depth"] > 0, depth).otherwise(0).alias("depth"), (acc["i"] + 1).alias("i"), F.when(open_, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+    kept = F.aggregate(pieces, start, step, lambda acc: acc["n"])
+    inner = F.array_join(F.slice(pieces, F.lit(1), kept), "")
+    return F.when(opener != "", F.when(tag.isin(*sorted(VOID)), F.lit(0)).otherwise(_text_len(inner, 0)))
+
+
+def body_region(plain: Column) -> Column:
+    """Body content of plain markup."""
+    after = F.regexp_extract(plain, r"(?is)<body\b[^>]*>(.*)$", 1)
+    region = F.when(plain.rlike(r"(?i)<body\b"), after).otherwise(plain)
     return F.regexp_replace(region, r"(?is)</body\s*>.*$", "")
 
 
-def js_detect(html, headers=None, n_blocks=None, cfg: EngineConfig = DEFAULT) -> Column:
-    """D3: struct(score, threshold, signals, needs_js)."""
-    raw = F.col(html) if isinstance(html, str) else html
-    sig: list[tuple[Column, Column]] = []   # (points, signal text or NULL)
-    if n_blocks is not None:
-        nb = F.col(n_blocks) if isinstance(n_blocks, str) else n_blocks
-        sig.append((F.when(nb == 0, 4), F.when(nb == 0, F.lit("no_content_extracted(+4)"))))
+#: Some element with one of the root ids, as far as a glance tells.
+ROOT_RE = r"""(?i)\sid\s*=\s*["']?(?:""" + "|".join(re.escape(i) for i in ROOT_IDS) + r""")["'\s/>]"""
+
+
+def js_detect(df: DataFrame, html: str, headers: str | None = None, n_blocks: Column | None = None, out: str = "js", cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """D3: ``out`` = struct(score, threshold, signals, needs_js). The page's markup is made plain once, in a step of its own, and
+    everything that concerns elements reads that; the globals are looked for in the page as it is."""
+    d = row_barrier(df.withColumn("_plain", strip_raw_text(F.col(html))))
+    raw, plain = F.col(html), F.col("_plain")
     root = F.lit(None).cast("string")
     for rid in reversed(ROOT_IDS):
-        ln = _root_text_len(raw, rid)
-        root = F.when(ln.isNotNull() & (ln < ROOT_MAX_CHARS), F.lit(f"empty_root_#{rid}(+3)")).otherwise(root)
-    sig.append((F.when(root.isNotNull(), 3), root))
-    nos = F.regexp_extract_all(raw, F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1)
-    nos_hit = F.exists(nos, lambda x: _text_len(x, 0) >= NOSCRIPT_MIN_CHARS)
-    sig.append((F.when(nos_hit, 3), F.when(nos_hit, F.lit("noscript_content(+3)"))))
-    for prefix, pats in (("spa_global", SPA_GLOBALS), ("react", REACT), ("vue", VUE)):
-        hit = _first_contained(raw, pats)
-        sig.append((F.when(hit.isNotNull(), 2), F.when(hit.isNotNull(), F.concat(F.lit(prefix + ":"), hit, F.lit("(+2)")))))
-    dv = raw.rlike(r"""(?i)\sclass\s*=\s*(?:"(?:[^"]*\s)?data-v-|'(?:[^']*\s)?data-v-|data-v-)""")
-    sig.append((F.when(dv, 2), F.when(dv, F.lit("vue:data-v-attr(+2)"))))
-    ang = _first_contained(raw, ANGULAR)
-    sig.append((F.when(ang.isNotNull(), 2), F.when(ang.isNotNull(), F.concat(F.lit("angular:"), ang, F.lit("(+2)")))))
-    region = body_region(raw)
+        root = F.when(_root_text_len(plain, rid) < ROOT_MAX_CHARS, F.lit(f"empty_root_#{rid}(+3)")).otherwise(root)
     # Letters and digits outside tags and entities survive decoding and
     # stripping, so they bound the body text length from below: long bodies
     # skip the exact (per-fragment decode) length.
-    lower_bound = F.length(F.regexp_replace(F.regexp_replace(region, r"<[^>]*>|&[#a-zA-Z0-9]+;", ""),
-                                            r"[^\p{L}\p{N}]", ""))
-    blen = _text_len(region, 1)
-    thin = F.when(lower_bound >= MIN_BODY_TEXT_CHARS, F.lit(False)).otherwise(blen < MIN_BODY_TEXT_CHARS)
-    sig.append((F.when(thin, 2), F.when(thin, F.concat(F.lit("thin_body:"), blen.cast("string"), F.lit("chars(+2)")))))
+    region = body_region(plain)
+    lower_bound = F.length(F.regexp_replace(F.regexp_replace(region, r"<[^>]*>|&[#a-zA-Z0-9]+;", ""), r"[^\p{L}\p{N}]", ""))
+    d = row_barrier(d.withColumn("_root", F.when(plain.rlike(ROOT_RE), root)).withColumn(
+        "_thin", F.when(lower_bound >= MIN_BODY_TEXT_CHARS, F.lit(MIN_BODY_TEXT_CHARS)).otherwise(_text_len(region, 1))))
+
+    sig: list[tuple[Column, Column]] = []   # (points, signal text or NULL)
+
+    def signal(points: int, text: Column) -> None:
+        sig.append((F.when(text.isNotNull(), points), text))
+    if n_blocks is not None:
+        signal(4, F.when(n_blocks == 0, F.lit("no_content_extracted(+4)")))
+    signal(3, F.col("_root"))
+    nos = F.regexp_extract_all(plain, F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1)
+    signal(3, F.when(plain.contains("noscript") | plain.contains("NOSCRIPT"), F.when(F.exists(nos, lambda x: _text_len(x, 0) >= NOSCRIPT_MIN_CHARS), F.lit("noscript_content(+3)"))))
+    for prefix, pats in (("spa_global", SPA_GLOBALS), ("react", REACT), ("vue", VUE)):
+        signal(2, F.concat(F.lit(prefix + ":"), _first_contained(raw, pats), F.lit("(+2)")))
+    signal(2, F.when(plain.rlike(r"""(?i)\sclass\s*=\s*(?:"(?:[^"]*\s)?data-v-|'(?:[^']*\s)?data-v-|data-v-)"""), F.lit("vue:data-v-attr(+2)")))
+    signal(2, F.concat(F.lit("angular:"), _first_contained(raw, ANGULAR), F.lit("(+2)")))
+    signal(2, F.when(F.col("_thin") < MIN_BODY_TEXT_CHARS, F.concat(F.lit("thin_body:"), F.col("_thin").cast("string"), F.lit("chars(+2)"))))
     if headers is not None:
-        hd = F.col(headers) if isinstance(headers, str) else headers
-        pb = F.lower(F.element_at(F.transform_keys(hd, lambda k, v: F.lower(k)), F.lit("x-powered-by")))
-        pb_hit = F.coalesce(_any_contains(pb, POWERED_BY), F.lit(False))
-        sig.append((F.when(pb_hit, 1), F.when(pb_hit, F.concat(F.lit("x-powered-by:"), pb, F.lit("(+1)")))))
+        pb = F.lower(F.element_at(F.transform_keys(F.col(headers), lambda k, v: F.lower(k)), F.lit("x-powered-by")))
+        signal(1, F.when(F.coalesce(_any_contains(pb, POWERED_BY), F.lit(False)), F.concat(F.lit("x-powered-by:"), pb, F.lit("(+1)"))))
     score = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p, _ in sig])
     signals = F.filter(F.array(*[t for _, t in sig]), lambda x: x.isNotNull())
     thr = int(cfg.js_detection_threshold)
-    return F.struct(score.cast("int").alias("score"), F.lit(thr).alias("threshold"), signals.alias("signals"),
-                    (score >= thr).alias("needs_js"))
+    res = F.struct(score.cast("int").alias("score"), F.lit(thr).alias("threshold"), signals.alias("signals"), (score >= thr).alias("needs_js"))
+    return d.withColumn(out, res).drop("_plain", "_root", "_thin")
 
 
 def fetch_outcome(status, wall: Column) -> Column:

@@ -78,6 +78,17 @@ def newest_first(df: DataFrame, ts: str, key: str, limit: int, offset: int = 0,
     return out.limit(limit)
 
 
+def page_after(df: DataFrame, ts: str, key: str, limit: int, after: tuple | None = None, ascending: bool = False) -> DataFrame:
+    """L1-L3 by the last row of the page before, ``after`` = (time, id), in place of an offset: rows beyond it in the order. The
+    bound on the time reaches the scan, so files whose statistics lie before the page are skipped and page 10,000 of a table
+    that is kept by time reads as little as page 1."""
+    if after is not None:
+        t, i = F.lit(after[0]).cast(df.schema[ts].dataType), F.lit(after[1]).cast(df.schema[key].dataType)
+        c, k = F.col(ts), F.col(key)
+        df = df.where(c >= t).where((c > t) | (k > i)) if ascending else df.where(c <= t).where((c < t) | (k < i))
+    return newest_first(df, ts, key, limit, ascending=ascending)
+
+
 def dashboard_metrics(jobs_page: DataFrame) -> DataFrame:
     """Totals over the listed jobs."""
     return jobs_page.agg(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (AUTO_CREATED_DESCRIPTION, CRAWL_MODES, DEFAULT, JOB_STATUSES,
-                      UNCATEGORIZED, EngineConfig)
+                      JS_MODES, UNCATEGORIZED, EngineConfig)
 from ..plans.windows import limit_per_group
 
 TERMINAL_OR_PAUSED = ["completed", "stopped", "failed", "paused"]
@@ -173,7 +173,7 @@ def confidence_filter(labels: Column, scores: Column, threshold: float) -> Colum
 
 def validate_jobs(jobs: DataFrame) -> DataFrame:
     """F16: errors array (empty = valid) for name, start_url, crawl_mode,
-    status."""
+    status and, where given, js_mode."""
     checks = [
         F.when(F.col("name").isNull() | (F.length("name") < 1), F.lit("name: too short")),
         F.when(F.length("name") > 255, F.lit("name: too long")),
@@ -181,6 +181,8 @@ def validate_jobs(jobs: DataFrame) -> DataFrame:
         F.when(~F.col("crawl_mode").isin(*CRAWL_MODES), F.lit("crawl_mode: invalid")),
         F.when(F.col("status").isNotNull() & ~F.col("status").isin(*JOB_STATUSES), F.lit("status: invalid")),
     ]
+    if "js_mode" in jobs.columns:  # left out of a request, it is the default one
+        checks.append(F.when(F.col("js_mode").isNotNull() & ~F.col("js_mode").isin(*JS_MODES), F.lit("js_mode: invalid")))
     return jobs.withColumn("errors", F.filter(F.array(*checks), lambda e: e.isNotNull()))
 
 

@@ -439,14 +439,51 @@ def _blocks(spark, d, targets=("text",)):
     return B.extract_blocks(pages(spark, d), targets, "html", CFG)
 
 
-@register("post_process_blocks")
+def _sql_code_in_order() -> str:
+    """Code of each page in pass order: (page_id, k, o, x)."""
+    rest, parts = "regexp_replace(main, '(?is)<pre\\b[^>]*>.*?</pre\\s*>', '', 'g')", ["SELECT page_id, 0 AS k, idx AS o, pretext AS x FROM p9 WHERE key = 'pre'"]
+    for k, t in enumerate(("code", "samp", "kbd"), 1):
+        found = f"regexp_extract_all({rest}, '(?is)<{t}\\b[^>]*>(.*?)</{t}\\s*>', 1)"
+        parts.append(f"SELECT page_id, {k}, o, {sql_format_text('y')} FROM (SELECT page_id, unnest({found}) AS y, generate_subscripts({found}, 1) AS o FROM m)")
+        rest = f"regexp_replace({rest}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
+    parts.append("SELECT page_id, 4, idx, ctext FROM p9 WHERE is_code AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.page_id = p9.page_id AND c.s < p9.idx AND p9.idx < c.e)")
+    return " UNION ALL ".join(parts)
+
+
+# Text blocks after the rules of H17: the first of equal texts stays, and a walk over a page's blocks in order merges each short paragraph
+# with the short one before it (g numbers what is left). Code block k comes after text block i, the first with (i + 1)(C + 1) >= (k + 1) T.
+SQL_BLOCKS = (f"""
+raw_ AS (SELECT page_id, idx, 'heading' AS type, array_to_string(frags, '') AS content FROM p9 WHERE opener_ok AND tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND len(frags) > 0
+  UNION ALL SELECT page_id, idx, CASE WHEN tag = 'blockquote' THEN 'blockquote' ELSE 'paragraph' END, ptxt FROM p9 WHERE opener_ok AND tag IN ('p', 'article', 'section', 'blockquote') AND {GATE}
+  UNION ALL SELECT page_id, idx, type, array_to_string(list_transform(items, lambda s: '• ' || s), chr(10)) FROM (SELECT a.page_id, a.idx, CASE WHEN a.tag = 'ol' THEN 'ordered_list'
+    ELSE 'unordered_list' END AS type, list_filter({SQL_ITEMS}, lambda s: s <> '') AS items FROM p9 a WHERE a.opener_ok AND a.tag IN ('ul', 'ol')) WHERE len(items) > 0),
+even_ AS (SELECT page_id, idx, type, {STRIP(f"regexp_replace(content, '{WS}+', ' ', 'g')")} AS c FROM raw_),
+once_ AS (SELECT * FROM even_ WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(c) ORDER BY idx) = 1),
+row_ AS MATERIALIZED (SELECT *, {sql_word_count('c')} AS w, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS n FROM once_),
+walk_ AS (SELECT page_id, n, CAST(1 AS BIGINT) AS g, idx AS pos, type, c, w FROM row_ WHERE n = 1 UNION ALL
+  SELECT page_id, n, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN pos ELSE idx END, type, CASE WHEN joins THEN before || ' ' || c ELSE c END, CASE WHEN joins THEN bw + w ELSE w END FROM (
+  SELECT x.page_id, x.n, y.g, y.pos, x.idx, x.type, y.c AS before, x.c, y.w AS bw, x.w, x.type = 'paragraph' AND y.type = 'paragraph' AND y.w < {B.MERGE_MAX_WORDS} AND x.w < {B.MERGE_MAX_WORDS}
+    AND right(y.c, 1) NOT IN ('.', '!', '?', ':') AS joins FROM walk_ y JOIN row_ x ON x.page_id = y.page_id AND x.n = y.n + 1) z),
+text_ AS (SELECT page_id, g - 1 AS i, pos, type, c AS content FROM walk_ QUALIFY row_number() OVER (PARTITION BY page_id, g ORDER BY n DESC) = 1),
+code_ AS (SELECT page_id, x, row_number() OVER (PARTITION BY page_id ORDER BY k, o) - 1 AS k FROM ({_sql_code_in_order()}) WHERE {STRIP('x')} <> ''),
+size_ AS (SELECT page_id, (SELECT count(*) FROM text_ t WHERE t.page_id = m.page_id) AS nt, (SELECT count(*) FROM code_ t WHERE t.page_id = m.page_id) AS nc FROM m),
+all_ AS (SELECT page_id, i AS a, 0 AS b, 0 AS k, type, content FROM text_ UNION ALL
+  SELECT page_id, ((k + 1) * nt + nc) // (nc + 1) - 1, 1, k, 'code_block', x FROM code_ JOIN size_ USING (page_id)),
+blocks_ AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY a, b, k) - 1 AS INTEGER) AS pos, type, content FROM all_)""")
+
+
+def with_blocks_sql(select: str) -> str:
+    return "WITH RECURSIVE " + SQL_PIECES.strip() + "," + SQL_BLOCKS + " " + select
+
+
+@register("post_process_blocks", sql=with_blocks_sql("SELECT page_id, CAST(pos AS INTEGER) AS pos, type, content FROM text_"))
 def q_post_process(spark, d):
     e = B.with_text_blocks(elements(spark, d), CFG)
     return e.select("page_id", F.inline_outer(F.transform(B.post_process(F.col("_text_raw")), lambda b: F.struct(
         b["pos"].alias("pos"), b["type"].alias("type"), b["content"].alias("content"))))).where(F.col("pos").isNotNull())
 
 
-@register("interleave_blocks")
+@register("interleave_blocks", sql=with_blocks_sql("SELECT page_id, pos, type FROM blocks_"))
 def q_interleave(spark, d):
     b = _blocks(spark, d)
     return B.blocks_relational(b).select("page_id", "pos", "type")
@@ -457,7 +494,7 @@ def q_extract_blocks(spark, d):
     return B.blocks_relational(_blocks(spark, d, ("text", "headers", "footers", "ads")))
 
 
-@register("block_type_counts")
+@register("block_type_counts", sql=with_blocks_sql("SELECT page_id, CAST(nt + nc AS BIGINT) AS block_count, CAST(nc AS BIGINT) AS code_blocks FROM size_"))
 def q_block_type_counts(spark, d):
     return B.block_type_counts(_blocks(spark, d))
 

@@ -1,4 +1,4 @@
-"""Queries: rule classifier (C1-C7), classification text (C8-C11), scorers
+"""Queries: rule classifier over the stored category table (C1-C7), classification text (C8-C11), scorers
 (C12), LLM prompt/response columns (C14-C18), category resolution (C19).
 
 Input: every document as a fetched page -- url from its source and language,
@@ -8,31 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, split_list
+from ..config import DEFAULT
 from ..functions.html import sql_pystrip as STRIP
-from ..functions.rules import sql_rule
 from ..functions.urls import sql_domain
+from ..operators import category_index as I
 from ..operators import classify as C
 from ..operators import versions as X
+from ..sources import views as V
 from ..sources.tables import read_table
 from .blocks_q import WS
 from .registry import register
 
 CFG = DEFAULT
 LABELS = list(CFG.candidate_labels)
-# Fixture categories built from the documents' vocabulary (one per language,
-# a phrase keyword each, url patterns of different rule types).
-CATEGORIES = [
-    {"name": "English", "keywords": ["the", "and", "of", "is", "that", "of the"],
-     "url_patterns": [{"type": "contains", "pattern": "/en/"}]},
-    {"name": "French", "keywords": ["le", "la", "de", "et", "les", "de la"],
-     "url_patterns": [{"type": "starts_with", "pattern": "https://src1."}]},
-    {"name": "Spanish", "keywords": ["el", "los", "las", "que", "y"],
-     "url_patterns": [{"type": "regex", "pattern": r"/es/[0-9]+$"}]},
-    {"name": "German", "keywords": ["der", "die", "und", "ist", "von"],
-     "url_patterns": [{"type": "domain", "pattern": "de.example.com"}]},
-    {"name": "Empty", "keywords": [], "url_patterns": []},
-]
+
+
+def _sql_label(i: str) -> str:
+    return f"([{', '.join(repr(x) for x in LABELS)}])[{i} + 1]"
+
+
+#: Categories of the configuration, which come after the stored ones: name -> keywords. Their ids are below 0.
+DEFAULTS = {"technology": ["software", "programming", "api"], "articles": ["the", "la", "der"], "small words": ["of the", "de la", "und"]}
 
 
 def docs(spark, d):
@@ -57,48 +53,43 @@ def sql_words(t: str) -> str:
     return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, '{WS}+') END)"
 
 
-def sql_kw_score(kws):
-    if not kws:
-        return "CAST(0.0 AS DOUBLE)"
-    counts = []
-    for k in kws:
-        kl = k.lower()
-        if " " in kl:
-            counts.append((kl, f"CAST((length(tl) - length(replace(tl, '{kl}', ''))) / {len(kl)} AS INTEGER)"))
-        else:
-            counts.append((kl, f"len(list_filter(wl, lambda w: w = '{kl}'))"))
-    total = " + ".join(c for _, c in counts)
-    matched = " + ".join(
-        "(CASE WHEN " + " OR ".join(f"{c} > 0" for k2, c in counts if k2 == kl) + " THEN 1 ELSE 0 END)"
-        for kl in sorted({k for k, _ in counts}))
-    score = (f"least(({matched}) / {len(kws)} * {C.COVERAGE_W} + least(({total}) / (len(wl) / 100.0), 1.0) * {C.DENSITY_W}, 1.0)")
-    return f"(CASE WHEN len(wl) = 0 OR ({total}) = 0 THEN 0.0 ELSE {score} END)"
-
-
-def sql_cat_struct(i, c):
-    kws = c["keywords"]
-    pats = c["url_patterns"]
-    u = "CAST(0.0 AS DOUBLE)" if not pats else "(CASE WHEN " + " OR ".join(sql_rule("url", p["type"], p["pattern"]) for p in pats) + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)"
-    dm = "CAST(0.0 AS DOUBLE)" if not kws else ("(CASE WHEN " + " OR ".join(f"list_bool_or(list_transform(hp, lambda hx: contains(hx, '{k.lower()}')))"
-                                                             for k in kws) + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)")
-    k = sql_kw_score(kws)
-    return (f"{{'neg': -({u} * {C.W_URL} + {k} * {C.W_KEYWORD} + {dm} * {C.W_DOMAIN}), 'ord': {i}, 'name': '{c['name']}', "
-            f"'u': {u}, 'k': {k}, 'd': {dm}}}")
-
-
-SQL_SCORED = (f"SELECT doc_id, text, list_sort(list_filter([{', '.join(sql_cat_struct(i, c) for i, c in enumerate(CATEGORIES))}], "
-              f"lambda s: -s.neg > 0))[1] AS best FROM (SELECT doc_id, url, text, tl, {sql_words('tl')} AS wl, "
-              f"list_filter(regexp_split_to_array({sql_domain('lower(url)')}, '[.\\-]'), lambda s: s <> '') AS hp FROM "
-              f"(SELECT doc_id, url, {SQL_FLAT} AS text, lower({SQL_FLAT}) AS tl FROM ({SQL_DOCS})))")
-SQL_CLASSIFIED = (f"SELECT doc_id, CASE WHEN ok THEN best.name END AS category_name, CASE WHEN ok THEN round(-best.neg, 4) END "
-                  f"AS confidence, CASE WHEN ok THEN best.u END AS url_pattern, CASE WHEN ok THEN best.k END AS keyword_frequency, "
-                  f"CASE WHEN ok THEN best.d END AS domain_match FROM (SELECT *, coalesce(best IS NOT NULL AND -best.neg >= "
-                  f"{CFG.rule_min_confidence} AND {STRIP('text')} <> '', false) AS ok FROM ({SQL_SCORED}))")
+SQL_CATS = ("cats AS (SELECT category_id, name, keywords, url_patterns, FALSE AS is_default FROM v_rule_categories WHERE is_active UNION ALL "
+            + " UNION ALL ".join(f"SELECT {-i - 1}, '{n}', {ks!r}, [], TRUE" for i, (n, ks) in enumerate(DEFAULTS.items())) + ")")
+SQL_KEYS = ("keys AS (SELECT category_id, n, lower(k) AS k, count(*) AS weight FROM (SELECT category_id, len(keywords) AS n, unnest(keywords) AS k FROM cats) WHERE k <> '' GROUP BY ALL)")
+SQL_PAGES = (f"pages_ AS (SELECT doc_id, url, tl, {sql_words('tl')} AS wl, list_filter(regexp_split_to_array({sql_domain('lower(url)')}, '[.\\-]'), lambda s: s <> '') AS hp "
+             f"FROM (SELECT doc_id, url, lower({SQL_FLAT}) AS tl FROM ({SQL_DOCS})) WHERE {STRIP('tl')} <> '')")
+SQL_URL = (f"u_ AS (SELECT DISTINCT doc_id, category_id FROM (SELECT doc_id, lower(url) AS lu, {sql_domain('lower(url)')} AS host FROM pages_), "
+           "(SELECT category_id, lower(p.type) AS t, lower(p.pattern) AS v, p.pattern AS raw FROM (SELECT category_id, unnest(url_patterns) AS p FROM cats)) WHERE v <> '' AND CASE t "
+           "WHEN 'contains' THEN contains(lu, v) WHEN 'starts_with' THEN starts_with(lu, v) WHEN 'ends_with' THEN ends_with(lu, v) "
+           "WHEN 'domain' THEN host = v OR ends_with(host, '.' || v) WHEN 'regex' THEN regexp_matches(lu, raw, 'i') ELSE FALSE END)")
+SQL_KEY = ("hits AS (SELECT doc_id, w AS k, count(*) AS c FROM (SELECT doc_id, unnest(wl) AS w FROM pages_) GROUP BY ALL UNION ALL "
+           "SELECT doc_id, k, CAST((length(tl) - length(replace(tl, k, ''))) / length(k) AS BIGINT) FROM pages_, (SELECT DISTINCT k FROM keys WHERE contains(k, ' ')) WHERE contains(tl, k)), "
+           f"k_ AS (SELECT doc_id, category_id, least(any_value(matched) / n * {C.COVERAGE_W} + least(any_value(total) / (any_value(len(wl)) / 100.0), 1.0) * {C.DENSITY_W}, 1.0) AS k FROM "
+           "(SELECT doc_id, category_id, n, count(*) AS matched, sum(c * weight) AS total FROM hits JOIN keys USING (k) GROUP BY ALL) JOIN pages_ USING (doc_id) GROUP BY doc_id, category_id, n)")
+SQL_DOM = ("d_ AS (SELECT DISTINCT doc_id, category_id FROM (SELECT doc_id, unnest(hp) AS part FROM pages_) JOIN (SELECT DISTINCT part, category_id FROM "
+           "(SELECT DISTINCT unnest(hp) AS part FROM pages_), keys WHERE contains(part, k)) USING (part))")
+SQL_SCORES = (f"WITH {SQL_CATS}, {SQL_KEYS}, {SQL_PAGES}, {SQL_URL}, {SQL_KEY}, {SQL_DOM}, s_ AS (SELECT doc_id, category_id, name, is_default, "
+              f"u * {C.W_URL} + k * {C.W_KEYWORD} + d * {C.W_DOMAIN} AS score, u AS url_pattern, k AS keyword_frequency, d AS domain_match FROM "
+              "(SELECT doc_id, category_id, max(u) AS u, max(k) AS k, max(d) AS d FROM (SELECT doc_id, category_id, 1.0::DOUBLE AS u, 0.0::DOUBLE AS k, 0.0::DOUBLE AS d FROM u_ "
+              "UNION ALL SELECT doc_id, category_id, 0.0, k, 0.0 FROM k_ UNION ALL SELECT doc_id, category_id, 0.0, 0.0, 1.0 FROM d_) GROUP BY ALL) JOIN cats USING (category_id)), "
+              f"best AS (SELECT * FROM s_ WHERE score >= {CFG.rule_min_confidence} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, is_default, name, category_id) = 1)")
+
+
+def stored_categories(spark, d):
+    """Active stored categories, then those of the configuration whose name isn't stored."""
+    stored = V.v_rule_categories(spark, d).where("is_active").select("category_id", "name", "keywords", "url_patterns", F.lit(False).alias("is_default"))
+    rows = [(-i - 1, n, ks, [], True) for i, (n, ks) in enumerate(DEFAULTS.items())]
+    more = spark.createDataFrame(rows, "category_id long, name string, keywords array<string>, url_patterns array<struct<type:string,pattern:string>>, is_default boolean")
+    names = stored.select(F.lower("name").alias("_k"))
+    return stored.unionByName(more.join(names, F.lower(more["name"]) == F.col("_k"), "left_anti"))
+
+
+def flat_docs(spark, d):
+    return docs(spark, d).select("doc_id", "url", C.flatten_text(F.col("blocks")).alias("flat"))
 
 
 def classified(spark, d):
-    t = docs(spark, d).withColumn("flat", C.flatten_text(F.col("blocks")))
-    return C.classify_pages(t, "url", "flat", CATEGORIES, CFG)
+    return I.classify_by_table(flat_docs(spark, d), stored_categories(spark, d), "doc_id", "url", "flat", CFG)
 
 
 @register("flatten_text", sql=f"SELECT doc_id, {SQL_FLAT} AS text FROM ({SQL_DOCS})")
@@ -106,54 +97,41 @@ def q_flatten_text(spark, d):
     return docs(spark, d).select("doc_id", C.flatten_text(F.col("blocks")).alias("text"))
 
 
-@register("score_url", sql=(f"SELECT doc_id, " + ", ".join(
-    f"(CASE WHEN {' OR '.join(sql_rule('url', p['type'], p['pattern']) for p in c['url_patterns']) or 'FALSE'} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS s{i}"
-    for i, c in enumerate(CATEGORIES)) + f" FROM ({SQL_DOCS})"))
+@register("score_url", sql=f"WITH {SQL_CATS}, {SQL_PAGES}, {SQL_URL} SELECT doc_id, category_id, 1.0::DOUBLE AS url_pattern FROM u_", views=["v_rule_categories"])
 def q_score_url(spark, d):
-    t = docs(spark, d)
-    return t.select("doc_id", *[C.score_url(F.col("url"), c["url_patterns"]).alias(f"s{i}") for i, c in enumerate(CATEGORIES)])
+    pages = I.prepared(flat_docs(spark, d), "doc_id", "url", "flat")
+    return I.url_signal(pages, stored_categories(spark, d)).select(F.col("id").alias("doc_id"), "category_id", F.lit(1.0).alias("url_pattern"))
 
 
-@register("score_keywords", sql=(f"SELECT doc_id, " + ", ".join(f"{sql_kw_score(c['keywords'])} AS k{i}" for i, c in enumerate(CATEGORIES))
-                                 + f" FROM (SELECT doc_id, tl, {sql_words('tl')} AS wl FROM (SELECT doc_id, lower({SQL_FLAT}) AS tl "
-                                 f"FROM ({SQL_DOCS})))"))
+@register("score_keywords", sql=f"WITH {SQL_CATS}, {SQL_KEYS}, {SQL_PAGES}, {SQL_KEY} SELECT doc_id, category_id, round(k, 6) AS keyword_frequency FROM k_", views=["v_rule_categories"])
 def q_score_keywords(spark, d):
-    t = docs(spark, d).withColumn("tl", F.lower(C.flatten_text(F.col("blocks")))).withColumn("wl", C.words_of(F.col("tl")))
-    return t.select("doc_id", *[C.score_keywords(F.col("tl"), F.col("wl"), c["keywords"]).alias(f"k{i}")
-                                for i, c in enumerate(CATEGORIES)])
+    pages = I.prepared(flat_docs(spark, d), "doc_id", "url", "flat")
+    return I.keyword_signal(pages, I.keyword_index(stored_categories(spark, d))).select(F.col("id").alias("doc_id"), "category_id", F.round("keyword_frequency", 6).alias("keyword_frequency"))
 
 
-@register("score_domain", sql=(f"SELECT doc_id, " + ", ".join(
-    ("(CASE WHEN " + " OR ".join(f"list_bool_or(list_transform(hp, lambda hx: contains(hx, '{k.lower()}')))" for k in c["keywords"])
-     + " THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)" if c["keywords"] else "CAST(0.0 AS DOUBLE)") + f" AS d{i}" for i, c in enumerate(CATEGORIES))
-    + f" FROM (SELECT doc_id, list_filter(regexp_split_to_array({sql_domain('lower(url)')}, '[.\\-]'), lambda s: s <> '') AS hp "
-    f"FROM ({SQL_DOCS}))"))
+@register("score_domain", sql=f"WITH {SQL_CATS}, {SQL_KEYS}, {SQL_PAGES}, {SQL_DOM} SELECT doc_id, category_id, 1.0::DOUBLE AS domain_match FROM d_", views=["v_rule_categories"])
 def q_score_domain(spark, d):
-    t = docs(spark, d).withColumn("hp", F.filter(F.split(C.url_domain(F.lower(F.col("url"))), r"[.\-]"), lambda s: s != ""))
-    return t.select("doc_id", *[C.score_domain(F.col("hp"), c["keywords"]).alias(f"d{i}") for i, c in enumerate(CATEGORIES)])
+    pages = I.prepared(flat_docs(spark, d), "doc_id", "url", "flat")
+    return I.domain_signal(pages, I.keyword_index(stored_categories(spark, d))).select(F.col("id").alias("doc_id"), "category_id", F.lit(1.0).alias("domain_match"))
 
 
-@register("score_category", sql=(
-    "SELECT doc_id, s.name AS name, round(-s.neg, 6) AS score, s.u AS url_pattern, round(s.k, 6) AS keyword_frequency, s.d AS domain_match FROM ("
-    f"SELECT doc_id, unnest(alls) AS s FROM ({SQL_SCORED.replace('SELECT doc_id, text, list_sort(list_filter(', 'SELECT doc_id, (').replace(', lambda s: -s.neg > 0))[1] AS best', ') AS alls')}))"))
+@register("score_category", sql=SQL_SCORES + " SELECT doc_id, category_id, name, round(score, 6) AS score, url_pattern, round(keyword_frequency, 6) AS keyword_frequency, domain_match FROM s_",
+          views=["v_rule_categories"])
 def q_score_category(spark, d):
-    t = docs(spark, d).withColumn("flat", C.flatten_text(F.col("blocks")))
-    s = C.score_categories(t, "url", "flat", CATEGORIES)
-    return s.select("doc_id", F.inline_outer("scores")).where(F.col("ord").isNotNull()).select(
-        "doc_id", "name", F.round("score", 6).alias("score"), "url_pattern", F.round("keyword_frequency", 6).alias("keyword_frequency"), "domain_match")
+    s = I.score_by_table(flat_docs(spark, d), stored_categories(spark, d), "doc_id", "url", "flat")
+    return s.select("doc_id", "category_id", "name", F.round("score", 6).alias("score"), "url_pattern", F.round("keyword_frequency", 6).alias("keyword_frequency"), "domain_match")
 
 
-@register("classify_pages", sql=f"SELECT * FROM ({SQL_CLASSIFIED}) WHERE category_name IS NOT NULL")
+@register("classify_pages", sql=SQL_SCORES + " SELECT doc_id, category_id, name AS category_name, round(score, 4) AS confidence, url_pattern, round(keyword_frequency, 6) AS keyword_frequency, "
+          "domain_match FROM best", views=["v_rule_categories"])
 def q_classify_pages(spark, d):
-    c = classified(spark, d).where(F.col("classification").isNotNull())
-    return c.select("doc_id", "classification.*")
+    return classified(spark, d).withColumn("keyword_frequency", F.round("keyword_frequency", 6))
 
 
-@register("classify_batch", sql=f"SELECT doc_id, category_name, confidence FROM ({SQL_CLASSIFIED})")
+@register("classify_batch", sql=SQL_SCORES + f" SELECT doc_id, name AS category_name, round(score, 4) AS confidence FROM documents LEFT JOIN best USING (doc_id)", views=["v_rule_categories"])
 def q_classify_batch(spark, d):
-    c = classified(spark, d)
-    return c.select("doc_id", F.col("classification.category_name").alias("category_name"),
-                    F.col("classification.confidence").alias("confidence"))
+    items = read_table(spark, d, "documents").select("doc_id")
+    return items.join(classified(spark, d), "doc_id", "left").select("doc_id", "category_name", "confidence")
 
 
 SQL_BLOCK_WORDS = f"flatten(list_transform(lines, lambda ln: {sql_words('ln')}))"
@@ -330,12 +308,25 @@ def q_llm_parse_labels(spark, d):
                     F.col("res.primary_label").alias("primary_label"), F.col("res.error").alias("error"))
 
 
-@register("resolve_categories", sql=(
-    f"SELECT doc_id, unnest(CASE WHEN len(r) = 0 THEN ['Uncategorized'] ELSE list_transform(r, lambda x: x.l) END) AS category "
-    f"FROM ({SQL_SCORER})"))
+SQL_ASKED = (f"asked AS (SELECT conv_id, turn, unnest(r) AS label, unnest(generate_series(0, len(r) - 1)) AS pos FROM (SELECT conv_id, turn, CASE WHEN labels = '' THEN ['Uncategorized'] "
+             f"ELSE string_split(labels, '|') END AS r FROM ({SQL_PARSE}))), "
+             # the stored names: the table's, and every fourth candidate label in capitals
+             "names AS (SELECT category_id, name FROM v_category_table UNION ALL SELECT 1000000000 + p_partkey, upper(l) FROM (SELECT p_partkey, "
+             + _sql_label("p_partkey") + " AS l FROM part WHERE p_partkey < 25 AND p_partkey % 4 = 0)), "
+             "have AS (SELECT lower(name) AS k, min(category_id) AS category_id, min_by(name, category_id) AS name FROM names GROUP BY 1), "
+             "spelled AS (SELECT lower(label) AS k, min_by(label, (conv_id, turn, pos)) AS label FROM asked GROUP BY 1)")
+
+
+@register("resolve_categories", sql=f"WITH {SQL_ASKED} SELECT a.conv_id, a.turn, CAST(a.pos AS BIGINT) AS pos, coalesce(h.category_id, -CAST('0x' || substr(md5(s.k), 1, 15) AS BIGINT) - 1) AS category_id, "
+          "coalesce(h.name, s.label) AS name, h.category_id IS NULL AS created FROM asked a JOIN spelled s ON s.k = lower(a.label) LEFT JOIN have h ON h.k = s.k", views=["v_category_table"])
 def q_resolve_categories(spark, d):
-    s = _scored(spark, d)
-    return s.select("doc_id", F.explode_outer(C.resolve_categories(F.col("r.labels"))).alias("category"))
+    r = _responses(spark, d).withColumn("res", C.llm_parse_labels(C.llm_json_extract(F.col("resp")), LABELS))
+    rows, _ = I.resolve_labels(r.select(F.struct("conv_id", "turn").alias("response"), F.col("res.labels").alias("labels")), stored_names(spark, d), "response")
+    return rows.select("response.conv_id", "response.turn", "pos", "category_id", "name", "created")
 
 
-__all__ = ["CATEGORIES", "split_list"]
+def stored_names(spark, d):
+    """The category table's names, and every fourth candidate label in capitals."""
+    part = read_table(spark, d, "part").where("p_partkey < 25 and p_partkey % 4 = 0")
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") + 1).cast("int"))
+    return V.v_category_table(spark, d).select("category_id", "name").unionByName(part.select((1_000_000_000 + F.col("p_partkey")).alias("category_id"), F.upper(label).alias("name")))

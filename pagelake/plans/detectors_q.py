@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.html import sql_entity_decode, sql_pystrip
+from ..functions.elements_udf import VOID
+from ..functions.html import sql_entity_decode, sql_pystrip, sql_strip_raw_text
 from ..operators import detectors as D
 from ..sources.tables import read_table
 from .registry import register
@@ -153,10 +154,7 @@ def _sql_text_len(src: str, sep: int) -> str:
             f"+ (len({frags}) - 1) * {sep} ELSE 0 END)")
 
 
-def _sql_body(h: str) -> str:
-    x = f"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
-    x = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
+def _sql_body(x: str) -> str:
     region = f"CASE WHEN regexp_matches({x}, '(?i)<body\\b') THEN regexp_extract({x}, '(?is)<body\\b[^>]*>(.*)$', 1) ELSE {x} END"
     return f"regexp_replace({region}, '(?is)</body\\s*>.*$', '')"
 
@@ -168,44 +166,43 @@ def _sql_first(col, pats, prefix, pts):
     return expr
 
 
-def _sql_root():
-    expr = "NULL"
-    for rid in reversed(D.ROOT_IDS):
-        pat = (r"(?is)<([a-z][a-z0-9]*)(?:\s[^>]*?)?\sid\s*=\s*(?:\"" + rid + r"\"|''" + rid + r"''|" + rid +
-               r"(?:[\s/>]))[^>]*>")
-        tag = f"lower(regexp_extract(html, '{pat}', 1))"
-        after = f"regexp_extract(html, '{pat}(.*)$', 2)"
-        close = f"strpos(lower({after}), '</' || {tag})"
-        inner = f"CASE WHEN {close} > 0 THEN substr({after}, 1, {close} - 1) ELSE {after} END"
-        ln = f"CASE WHEN {tag} <> '' THEN {_sql_text_len(inner, 0)} END"
-        expr = f"CASE WHEN ({ln}) < 20 THEN 'empty_root_#{rid}(+3)' ELSE {expr} END"
-    return expr
-
+#: Per root id the first element with it: tags of its name in page order with their depth, which ends the element.
+SQL_ROOTS = ("WITH op AS (SELECT page_id, k, rid, plain, regexp_extract(plain, replace('(?is)<([a-z][a-z0-9-]*)\\s(?:[^>]*?\\s)?id\\s*=\\s*(?:\"RID\"[^>]*|''RID''[^>]*|RID(?:[\\s/][^>]*)?)>', "
+             f"'RID', regexp_escape(rid)), 0) AS opener FROM {{PLAIN}} pl, (SELECT unnest([{', '.join(repr(x) for x in D.ROOT_IDS)}]) AS rid, unnest(generate_series(1, {len(D.ROOT_IDS)})) AS k)), "
+             "nm AS (SELECT *, lower(regexp_extract(opener, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag, substr(plain, strpos(plain, opener) + length(opener)) AS rest FROM op WHERE opener <> ''), "
+             "tg AS (SELECT page_id, k, unnest(regexp_extract_all(rest, '<[^>]*>')) AS t, generate_subscripts(regexp_extract_all(rest, '<[^>]*>'), 1) AS i, tag FROM nm), "
+             "dp AS (SELECT page_id, k, i, 1 + sum(CASE WHEN lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) <> tag THEN 0 WHEN starts_with(t, '</') THEN -1 ELSE 1 END) "
+             "OVER (PARTITION BY page_id, k ORDER BY i) AS depth FROM tg), "
+             "ed AS (SELECT page_id, k, min(i) AS last FROM dp WHERE depth = 0 GROUP BY ALL), "
+             "tx AS (SELECT nm.page_id, nm.k, nm.rid, nm.tag, array_to_string(list_transform(string_split_regex(rest, '<[^>]*>')[1:coalesce(ed.last, 1000000000)], "
+             f"lambda fz: {sql_pystrip(sql_entity_decode('fz'))}), '') AS said FROM nm LEFT JOIN ed USING (page_id, k)) "
+             f"SELECT page_id, min_by('empty_root_#' || rid || '(+3)', k) AS root FROM tx WHERE length(said) < 20 OR tag IN ({', '.join(repr(x) for x in sorted(VOID))}) GROUP BY page_id")
 
 JS_SIG_SQL = [
     "CASE WHEN page_id % 7 = 0 THEN 'no_content_extracted(+4)' END",
-    _sql_root(),
-    (f"CASE WHEN list_bool_or(list_transform(regexp_extract_all(html, '(?is)<noscript\\b[^>]*>(.*?)</noscript\\s*>', 1), "
+    "root",
+    (f"CASE WHEN list_bool_or(list_transform(regexp_extract_all(plain, '(?is)<noscript\\b[^>]*>(.*?)</noscript\\s*>', 1), "
      f"lambda x: {_sql_text_len('x', 0)} >= 30)) THEN 'noscript_content(+3)' END"),
     _sql_first("html", D.SPA_GLOBALS, "spa_global", 2),
     _sql_first("html", D.REACT, "react", 2),
     _sql_first("html", D.VUE, "vue", 2),
-    ("CASE WHEN regexp_matches(html, '(?i)\\sclass\\s*=\\s*(?:\"(?:[^\"]*\\s)?data-v-|''(?:[^'']*\\s)?data-v-|data-v-)') "
+    ("CASE WHEN regexp_matches(plain, '(?i)\\sclass\\s*=\\s*(?:\"(?:[^\"]*\\s)?data-v-|''(?:[^'']*\\s)?data-v-|data-v-)') "
      "THEN 'vue:data-v-attr(+2)' END"),
     _sql_first("html", D.ANGULAR, "angular", 2),
     f"CASE WHEN blen < 150 THEN 'thin_body:' || blen || 'chars(+2)' END",
     "CASE WHEN pb_hit THEN 'x-powered-by:' || pb || '(+1)' END",
 ]
-JS_SQL = (f"SELECT page_id, sig, CAST(list_sum(list_transform(sig, lambda x: CAST(regexp_extract(x, '\\(\\+([0-9])\\)$', 1) AS INTEGER))) "
+JS_SQL = (f"WITH plains AS MATERIALIZED (SELECT page_id, html, {sql_strip_raw_text('html')} AS plain FROM {SQL_BODIES}), roots AS MATERIALIZED ({SQL_ROOTS.replace('{PLAIN}', 'plains')}) "
+          f"SELECT page_id, sig, CAST(list_sum(list_transform(sig, lambda x: CAST(regexp_extract(x, '\\(\\+([0-9])\\)$', 1) AS INTEGER))) "
           f"AS INTEGER) AS score FROM (SELECT page_id, list_filter([{', '.join(JS_SIG_SQL)}], lambda x: x IS NOT NULL) AS sig "
-          f"FROM (SELECT page_id, html, {_sql_text_len(_sql_body('html'), 1)} AS blen, "
-          f"CASE WHEN page_id % 4 = 2 THEN 'next.js' END AS pb, coalesce(page_id % 4 = 2, false) AS pb_hit FROM {SQL_BODIES}))")
+          f"FROM (SELECT page_id, html, plain, {_sql_text_len(_sql_body('plain'), 1)} AS blen, "
+          f"CASE WHEN page_id % 4 = 2 THEN 'next.js' END AS pb, coalesce(page_id % 4 = 2, false) AS pb_hit FROM plains) LEFT JOIN roots USING (page_id))")
 
 
 def js_scores(spark, d):
     r = responses(spark, d)
-    return r.select("page_id", "html", "headers", "cookie_names", "http_status", "final_url",
-                    D.js_detect("html", "headers", F.when(F.col("page_id") % 7 == 0, 0).otherwise(3)).alias("js"))
+    r = r.select("page_id", "html", "headers", "cookie_names", "http_status", "final_url")
+    return D.js_detect(r, "html", "headers", F.when(F.col("page_id") % 7 == 0, 0).otherwise(3))
 
 
 @register("js_detect", sql=(f"SELECT page_id, COALESCE(score, 0) AS score, 5 AS threshold, array_to_string(sig, '|') AS signals, "

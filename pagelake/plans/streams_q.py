@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams as Z
+from .blocks_q import SQL_VPAGES, with_blocks_sql
 from .registry import register
 from .url_links import _links_sql
 from ..config import EngineConfig
@@ -56,7 +57,12 @@ def q_stream_volume(spark, d):
     return Z.stream_volume(spark, d)
 
 
-@register("stream_extract")
+# the batch rules over the pages as they are
+SQL_EXTRACT = with_blocks_sql("SELECT page_id, type, pos, content FROM blocks_ UNION ALL SELECT page_id, 'link', CAST(pos AS INTEGER), link FROM (" + _links_sql(EngineConfig()) + ")") \
+    .replace(SQL_VPAGES, "(SELECT page_id, url, html FROM pages)")
+
+
+@register("stream_extract", sql=SQL_EXTRACT)
 def q_stream_extract(spark, d):
     return Z.stream_extract(spark, d)
 

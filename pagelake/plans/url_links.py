@@ -127,6 +127,21 @@ def q_blocked(spark, d):
         R.blocked_domain("url", ["example.com", "tiontion.example.net"])).select("page_id", "url")
 
 
+# The table form: every seventh page's own host is blocked, beside a domain for every customer that no link has.
+SQL_BLOCKED_T = (f"SELECT DISTINCT {U.sql_domain('url')} AS domain FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT 'c' || c_custkey || '.example.org' FROM customer")
+
+
+@register("blocked_domain_table", sql=(
+    f"WITH l AS (SELECT page_id, pos, link, {U.sql_domain('link')} AS host FROM ({_links_sql(EngineConfig())})), b AS ({SQL_BLOCKED_T}), "
+    "bad AS (SELECT DISTINCT host FROM (SELECT DISTINCT host FROM l) h JOIN b ON h.host = b.domain OR ends_with(h.host, '.' || b.domain)) "
+    "SELECT page_id, pos, link FROM l WHERE host NOT IN (SELECT host FROM bad)"))
+def q_blocked_table(spark, d):
+    own = read_table(spark, d, "pages").where("page_id % 7 = 0").select(U.url_domain("url").alias("domain"))
+    more = read_table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example.org")).alias("domain"))
+    links = L.extract_links(read_table(spark, d, "pages")).select("page_id", "pos", "link")
+    return L.blocked_by_table(links, own.unionByName(more))
+
+
 @register("skip_extension", sql=f"SELECT page_id, url FROM pages WHERE {R.sql_skip_ext('url', ['.html', '.pdf'])}")
 def q_skip(spark, d):
     return read_table(spark, d, "pages").where(R.skip_extension("url", [".html", ".pdf"])).select("page_id", "url")

@@ -93,6 +93,54 @@ def v_category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("p_size") % 4 != 0).alias("is_active"))
 
 
+# --------------------------------------------------------------------------
+# FIXED VALUES -- syllables, function words and languages of the documents, from which the stored categories take keywords and patterns.
+# --------------------------------------------------------------------------
+SYLLABLES = "th er on in an re nd ti es en ou or st it ha he ed nt ing ea la de ai el ie".split()
+SMALL_WORDS = "the of and to in a is that for it de la en que le der die und des les".split()
+LANGS = "en fr es de".split()
+# --------------------------------------------------------------------------
+
+
+def v_rule_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored categories with keywords of two and three syllables, phrases, repeated and upper-case ones, and URL patterns
+    of every type, blank and unknown ones included."""
+    i = F.col("category_id")
+
+    def of(values: list[str], at):
+        return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+    two = F.concat(of(SYLLABLES, i), of(SYLLABLES, F.floor(i / 25)))
+    three = F.concat(of(SYLLABLES, i * 7), of(SYLLABLES, F.floor(i / 5)), of(SYLLABLES, F.floor(i / 3)))
+    phrase = F.concat(of(SMALL_WORDS, i), F.lit(" "), two)
+    start = F.concat(of(SMALL_WORDS, i), F.lit(" "), of(SYLLABLES, i))
+    none = F.array().cast("array<string>")
+    keywords = F.concat(F.when(i % 3 == 0, F.concat(F.array(two, three), "keywords")).when(i % 3 == 1, F.array(three, phrase)).otherwise(F.array(two, F.upper(three), start)),
+                        F.when(i % 41 == 0, F.array(of(SYLLABLES, i))).otherwise(none), F.when(i % 90 == 0, F.array(two)).otherwise(none))
+    lang, n = of(LANGS, i), (lambda m: (i % m).cast("string"))
+    pattern = F.when(i % 7 == 0, F.concat(F.lit("/"), lang, F.lit("/"), n(97))).when(i % 7 == 1, F.concat(F.lit("https://src"), n(20), F.lit("."), F.upper(lang))) \
+        .when(i % 7 == 2, F.concat(F.lit("/"), n(500))).when(i % 7 == 3, F.concat(F.lit("src"), n(20), F.lit("."), lang, F.lit(".example.com"))) \
+        .when(i % 7 == 4, F.concat(F.lit("/"), lang, F.lit("/[0-9]*"), n(50), F.lit("$"))).when(i % 7 == 5, F.lit("")).otherwise(F.lit("x"))
+    kind = of(["contains", "Starts_With", "ends_with", "domain", "regex", "contains", "like"], i)
+    return v_category_table(spark, sf_dir).select("category_id", "name", "is_active", keywords.alias("keywords"), F.array(F.struct(kind.alias("type"), pattern.alias("pattern"))).alias("url_patterns"))
+
+
+def _sql_of(values: list[str], at: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[CAST({at} AS BIGINT) % {len(values)} + 1]"
+
+
+def _sql_rule_categories() -> str:
+    syl = lambda at: _sql_of(SYLLABLES, at)
+    two, three = f"{syl('i')} || {syl('i // 25')}", f"{syl('i * 7')} || {syl('i // 5')} || {syl('i // 3')}"
+    lang, word = _sql_of(LANGS, "i"), _sql_of(SMALL_WORDS, "i")
+    kind = _sql_of(["contains", "Starts_With", "ends_with", "domain", "regex", "contains", "like"], "i")
+    return (f"SELECT i AS category_id, name, is_active, list_concat(list_concat(CASE i % 3 WHEN 0 THEN list_concat([{two}, {three}], keywords) WHEN 1 THEN [{three}, {word} || ' ' || {two}] "
+            f"ELSE [{two}, upper({three}), {word} || ' ' || {syl('i')}] END, CASE WHEN i % 41 = 0 THEN [{syl('i')}] ELSE []::VARCHAR[] END), CASE WHEN i % 90 = 0 THEN [{two}] ELSE []::VARCHAR[] END) AS keywords, "
+            f"[{{'type': {kind}, 'pattern': CASE i % 7 WHEN 0 THEN '/' || {lang} || '/' || (i % 97) WHEN 1 THEN 'https://src' || (i % 20) || '.' || upper({lang}) WHEN 2 THEN '/' || (i % 500) "
+            f"WHEN 3 THEN 'src' || (i % 20) || '.' || {lang} || '.example.com' WHEN 4 THEN '/' || {lang} || '/[0-9]*' || (i % 50) || '$' WHEN 5 THEN '' ELSE 'x' END}}] AS url_patterns "
+            "FROM (SELECT p_partkey AS i, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS name, string_split(p_name, ' ') AS keywords, (p_size % 4 <> 0) AS is_active FROM part)")
+
+
 def v_result_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result -> category bridge (M:N): orders' parts."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -119,6 +167,7 @@ VIEW_SQL = {
                   "CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS seq FROM documents"),
     "v_category_table": ("SELECT p_partkey AS category_id, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS name, "
                          "p_type AS description, string_split(p_name, ' ') AS keywords, (p_size % 4 <> 0) AS is_active FROM part"),
+    "v_rule_categories": _sql_rule_categories(),
     "v_result_categories": "SELECT DISTINCT l_orderkey AS result_id, l_partkey AS category_id FROM lineitem",
     "v_edges_nation": ("SELECT n_nationkey AS src, (n_nationkey * 2 + k.k) % 25 AS dst FROM nation "
                        "CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k"),

@@ -1,6 +1,10 @@
 """Extraction on small documents shaped like the reference's test pages."""
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from pagelake.functions.html import strip_raw_text
 from pagelake.operators import blocks as B
 
 ARTICLE = """<html><head><title>T &amp; more</title><style>p{}</style></head><body>
@@ -151,3 +155,64 @@ def test_post_process_interleave_and_counts_of_all_pages(spark, sf):
     assert Counter(map(tuple, got.where("type <> 'link'").collect())) == Counter(map(tuple, batch.collect()))
     links = extract_links(plain, cfg=EngineConfig()).select("page_id", "pos", "link").collect()
     assert Counter(map(tuple, got.where("type = 'link'").select("page_id", "pos", "content").collect())) == Counter(map(tuple, links)) and links
+
+
+def scanned(html):
+    """The markup rules, a character at a time."""
+    out, i = [], 0
+    low = html.lower()
+    while i < len(html):
+        if html[i] != "<":
+            out.append(html[i])
+            i += 1
+            continue
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            i = len(html) if end < 0 else end + 3
+            continue
+        nxt = html[i + 1 : i + 2]
+        if not (nxt.isascii() and nxt.isalpha() or nxt in ("/", "!", "?")) or not nxt:
+            out.append("&lt;")
+            i += 1
+            continue
+        j, quote, after_eq = i + 1, "", False
+        while j < len(html) and (quote or html[j] != ">"):
+            c = html[j]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'" and after_eq and c in html[j + 1 :]:
+                quote = c
+            after_eq = not quote and (c == "=" or after_eq and c.isspace())
+            j += 1
+        if j >= len(html):
+            out.append("&lt;")
+            i += 1
+            continue
+        name = next((n for n in ("script", "style") if low.startswith(n, i + 1) and not (low[i + 1 + len(n)].isalnum() or low[i + 1 + len(n)] == "_")), None)
+        if name:
+            m = re.compile(f"</{name}\\s*>").search(low, j + 1)
+            i = m.end() if m else len(html)
+            continue
+        out.append("<" + html[i + 1 : j].replace("<", "&lt;").replace(">", "&gt;") + ">")
+        i = j + 1
+    return "".join(out)
+
+
+MARKUP = ['<p title="a > b">attr text</p>', "<p title='a > \"b'>x</p> 1 < 2 <b>y</b>", '<script>var s = "<!--"; if (a < b) x("</p>");</script><p>kept</p><!-- gone -->tail', "<!-- open <p>x</p>",
+          "<style>a > b {}</style ><STYLE media='x>y'>p{}</STYLE>z", "a<b c", "<a href=x'y>q</a>", "<p it's>fine</p><p it's>more</p>", "<br/><x-y data-a = \"<p>\" b>t</x-y>", "<script src='a>b'>never closed <p>",
+          "< p>no tag</ p>", "<!doctype html><?xml a='>'?>t", "<scripty>kept</scripty>", "", "plain", "<", "a <", "<p a=\"unclosed>text</p>", "<p a=\"x\"b='y'>z</p>"]
+
+
+def test_markup_is_scanned_in_order(spark):
+    rng = random.Random(6)
+    bits = ["<p", ">", "</p>", "<", '"', "'", "=", " a", "<!--", "-->", "<script>", "</script>", "x", "<b c='", "/>", "&lt;"]
+    cases = MARKUP + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) + "'\">" for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    assert [r[0] for r in df.select(strip_raw_text("h")).collect()] == [scanned(c) for c in cases]
+
+
+def test_quoted_brackets(spark):
+    html = "<html><body><article>" + "".join(f'<p title="a > b {i}" data-x=\'<p>\'>attr text {i} with words enough to pass the gate of paragraphs here</p>' for i in range(5)) + "</article></body></html>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [b.content for b in B.extract_blocks(df).first().blocks if b.type == "paragraph"]
+    assert got and all(c.startswith("attr text") for c in got)

@@ -37,7 +37,29 @@ def test_js_signals(spark):
     html = ('<html><body><div id="root"></div><noscript>You need to enable JavaScript to run this app.</noscript>'
             '<script src="/_next/static/x.js"></script></body></html>')
     df = spark.createDataFrame([(html, {"X-Powered-By": "Next.js"})], "html string, h map<string,string>")
-    r = df.select(D.js_detect("html", "h", F.lit(0)).alias("j")).first().j
+    r = D.js_detect(df, "html", "h", F.lit(0), "j").first().j
     assert "no_content_extracted(+4)" in r.signals and "empty_root_#root(+3)" in r.signals
     assert "noscript_content(+3)" in r.signals and "react:_next/static/(+2)" in r.signals
     assert any(s.startswith("thin_body:") for s in r.signals) and r.needs_js
+
+
+LONG = "word " * 140
+ROOTS = {
+    f'<div id="app"><div></div>{LONG}</div>': None,
+    f'<div id="root"><div class=x>{LONG}</div></div>': None,
+    '<div id="root"><div class=x><div></div></div></div>' + LONG: "empty_root_#root(+3)",
+    f'<p title="id=root">a</p><DIV data-x="1" ID=app>x</DIV>{LONG}': "empty_root_#app(+3)",
+    f'<div id="root"><p>{LONG}</p></div><div id="app"></div>': "empty_root_#app(+3)",
+    f'<!-- <div id="root"></div> --><script>var s = "<div id=root></div>";</script>{LONG}': None,
+    f'<div data-a="x > y" id=\'__next\'><divider></divider>short</div>{LONG}': "empty_root_#__next(+3)",
+    f'<app-root id="app-root"><app-root>{LONG}</app-root></app-root>': None,
+    f'<input id="root">{LONG}': "empty_root_#root(+3)",
+    f'<div id="root">unclosed {LONG}': None,
+    f'<div id="rooted"></div>{LONG}': None,
+}
+
+
+def test_root_elements_end_by_depth(spark):
+    df = spark.createDataFrame([(f"<html><body>{h}</body></html>",) for h in ROOTS], "html string")
+    got = [next((s for s in r.js.signals if s.startswith("empty_root")), None) for r in D.js_detect(df, "html").collect()]
+    assert got == list(ROOTS.values())

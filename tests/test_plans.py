@@ -2,7 +2,7 @@
 column pruning reach the parquet scan."""
 import __spark_entry__ as E
 
-JVM_ONLY = ["links_per_host", "extract_links", "wall_detect", "js_detect", "classify_pages", "classify_with_scorer", "build_versions", "diff_by_content", "export_csv",
+JVM_ONLY = ["links_per_host", "extract_links", "wall_detect", "js_detect", "classify_with_scorer", "build_versions", "diff_by_content", "export_csv",
             "job_summary", "upsert_status", "validate_jobs", "llm_parse_labels"]
 
 
