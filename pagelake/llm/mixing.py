@@ -101,10 +101,10 @@ def plan(narrow: DataFrame, names: list[str], percent: int, weights: Mapping[str
     sums = sums.withColumn("before", F.coalesce(F.sum("bn").over(running), F.lit(0)))
     fits = F.col("before") + F.col("bn") <= F.col("rest")
     whole_buckets = sums.groupBy(*names).agg(F.first("whole").alias("whole"), F.max(F.when(fits, F.col("top"))).alias("last"))
-    # the bucket where the budget ends is put in order, a key at a time
+    # the bucket where the budget ends is put in order, a key at a time; one bucket for each leaf
     edge = sums.where(~fits & (F.col("before") <= F.col("rest"))).select(*names, "bucket", "before")
-    keys = rows.groupBy(*names, "bucket", "order").agg(F.sum("n").alias("kn"), F.first("n").alias("n"), F.first("rest").alias("rest"))
-    keys = keys.join(edge, [*names, "bucket"]).withColumn("upto", F.col("before") + F.sum("kn").over(Window.partitionBy(*names).orderBy("order")))
+    keys = rows.join(edge, [*names, "bucket"]).groupBy(*names, "order").agg(F.sum("n").alias("kn"), *(F.first(c).alias(c) for c in ("n", "rest", "before")))
+    keys = keys.withColumn("upto", F.col("before") + F.sum("kn").over(Window.partitionBy(*names).orderBy("order")))
     over = F.col("upto") > F.col("rest")
     inside = keys.groupBy(*names).agg(F.max(F.when(~over, F.col("order"))).alias("inside"),
                                       F.min(F.when(over, F.struct("order", F.expr("(rest - upto + kn) div n").alias("copies")))).alias("cut"))
