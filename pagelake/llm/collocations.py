@@ -262,7 +262,7 @@ def neighbours(places: np.ndarray) -> np.ndarray:
 
 
 def first_round(coded: DataFrame, answers: DataFrame, bits: int, bucket_bits: int) -> DataFrame:
-    """Places of frequent words with the words' ids; ``answers``: owner (a shard), number (in the shard), id."""
+    """Places of frequent words with the words' ids; ``answers``: owner (a shard), number (in the shard), id (0: rare)."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return round_rows(0, np.zeros(0, np.int64), np.zeros(0, np.int64), bits, bucket_bits, True)
@@ -359,7 +359,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, lang: str = "lang", text
     held = vocabulary.agg(F.max("id").alias("top"), F.sum(F.octet_length("lang") + F.octet_length("word") + 64).alias("bytes")).first()
     known = vocabulary.select("lang", "word", "id")
     known = F.broadcast(known) if (held["bytes"] or 0) <= BROADCAST_BYTES else known
-    answers = words.join(known, ["lang", "word"]).select(F.col("shard").alias("owner"), "number", "id")
+    # every number of a shard has its answer, 0 for a rare word: as many rows as there are words, at any size
+    answers = words.join(known, ["lang", "word"], "left").select(F.col("shard").alias("owner"), "number", F.coalesce("id", F.lit(0)).alias("id"))
 
     same = F.array("f")
     level = vocabulary.join(sizes, "lang").select("lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), "id", F.lit(None).cast("long").alias("prefix"),
