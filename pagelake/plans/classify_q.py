@@ -115,11 +115,11 @@ def q_score_domain(spark, d):
     return I.domain_signal(pages, I.keyword_index(stored_categories(spark, d))).select(F.col("id").alias("doc_id"), "category_id", F.lit(1.0).alias("domain_match"))
 
 
-@register("score_category", sql=SQL_SCORES + " SELECT doc_id, category_id, name, round(score, 9) AS score, url_pattern, round(keyword_frequency, 9) AS keyword_frequency, domain_match FROM s_",
+@register("score_category", sql=SQL_SCORES + " SELECT doc_id, category_id, name, score, url_pattern, round(keyword_frequency, 9) AS keyword_frequency, domain_match FROM s_",
           views=["v_rule_categories"])
 def q_score_category(spark, d):
     s = I.score_by_table(flat_docs(spark, d), stored_categories(spark, d), "doc_id", "url", "flat")
-    return s.select("doc_id", "category_id", "name", F.round("score", 9).alias("score"), "url_pattern", F.round("keyword_frequency", 9).alias("keyword_frequency"), "domain_match")
+    return s.select("doc_id", "category_id", "name", "score", "url_pattern", F.round("keyword_frequency", 9).alias("keyword_frequency"), "domain_match")
 
 
 @register("classify_pages", sql=SQL_SCORES + " SELECT doc_id, category_id, name AS category_name, round(score, 4) AS confidence, url_pattern, round(keyword_frequency, 6) AS keyword_frequency, "
