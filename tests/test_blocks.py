@@ -103,6 +103,24 @@ def test_ads_inside_ads(spark):
     assert [b.content for b in got] == ["outer words here inner words here", "inner words here"]
 
 
+def test_ends_of_a_batch_hold_few_objects():
+    """A batch of pages is not turned into Python strings and lists as a whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pagelake.functions import elements_udf as U
+    page = ["div", "", "p", "", "/div", "span"] * 100
+    keys = pa.array([page, None, [], *[page] * 3000])
+    tracemalloc.start()
+    got = U.piece_ends.func(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000, peak
+    assert got.slice(1, 2).to_pylist() == [None, []] and len(got) == 3003
+    assert got[0].as_py() == got[3002].as_py() == U.ends_of(page, False)
+    assert U.element_ends.func(keys.slice(1, 3)).to_pylist() == [None, [], U.ends_of(page, True)]
+
+
 def test_ends_of_elements():
     from pagelake.functions.elements_udf import ends_of
     assert ends_of(["div", "", "div", "/div", "/div", ""], True) == [5, 2, 4, 4, 5, 6]
