@@ -171,20 +171,15 @@ def _classify_by_long_list(df: DataFrame, url_col: str, text_col: str, categorie
 
 
 def class_text_service(title: Column, blocks: Column, max_words: int) -> Column:
-    """Title then non-code blocks within one word budget."""
-    tw = words_of(title)
-    t_take = F.slice(tw, 1, max_words)
-    init = F.struct(F.when(F.size(tw) > 0, F.array(F.array_join(t_take, " "))).otherwise(F.array().cast("array<string>"))
-                    .alias("parts"), F.least(F.size(tw), F.lit(max_words)).alias("n"))
-
-    def step(acc, b):
-        w = words_of(b["content"])
-        rem = F.lit(max_words) - acc["n"]
-        skip = (acc["n"] >= max_words) | (F.size(w) == 0) | (b["type"] == "code_block")
-        nxt = F.struct(F.concat(acc["parts"], F.array(F.array_join(F.slice(w, 1, F.greatest(rem, F.lit(0))), " "))).alias("parts"),
-                       (acc["n"] + F.least(F.size(w), rem)).alias("n"))
-        return F.when(skip, acc).otherwise(nxt)
-    return F.aggregate(blocks, init, step, lambda acc: F.array_join(acc["parts"], " "))
+    """Title then non-code blocks within one word budget. The blocks' texts are split up to the budget only. A missing title, or a
+    block without content, uses the budget up."""
+    texts = F.transform(F.filter(blocks, lambda b: ~F.coalesce(b["type"] == "code_block", F.lit(False))), lambda b: b["content"])
+    body = F.get(F.transform(F.array(texts), lambda t: F.array_join(F.when(
+        F.exists(t, lambda c: c.isNull()), F.slice(t, 1, F.array_position(F.transform(t, lambda c: c.isNull()), True).cast("int") - 1)).otherwise(t), " ")), F.lit(0))
+    none = F.array().cast("array<string>")
+    # the last part of a split with a limit is the rest of the text
+    first = F.get(F.transform(F.array(pystrip(body)), lambda t: F.when(t == "", none).otherwise(F.slice(F.split(t, WS + "+", max_words + 1), 1, max_words))), F.lit(0))
+    return F.when(title.isNull() & blocks.isNotNull(), F.lit("")).otherwise(F.array_join(F.slice(F.concat(words_of(title), first), 1, max_words), " "))
 
 
 def class_text_worker(title: Column, blocks: Column, max_words: int) -> Column:
@@ -236,10 +231,13 @@ def _empty_result(error: Column | None = None) -> Column:
 def keyword_scorer(text: Column, labels: list[str], threshold: float) -> Column:
     """Native deterministic scorer: occurrences of the lower-cased label in
     the lower-cased text, a third of a point each, capped at 1."""
-    t = F.lower(text)
-    scores = [F.least(((F.length(t) - F.length(F.replace(t, F.lit(l.lower()), F.lit("")))) / F.lit(max(len(l), 1)))
-                      / 3.0, F.lit(1.0)) for l in labels]
-    return _result(F.array(*[F.lit(l) for l in labels]), F.array(*scores), threshold)
+
+    def score(t, label):
+        found = (F.length(t) - F.length(F.replace(t, F.lit(label.lower()), F.lit("")))) / F.lit(max(len(label), 1))
+        return F.when(F.contains(t, F.lit(label.lower())), F.least(found / 3.0, F.lit(1.0))).otherwise(F.lit(0.0))
+    # the text is lower-cased once for all labels
+    scores = F.get(F.transform(F.array(F.lower(text)), lambda t: F.array(*[score(t, l) for l in labels])), F.lit(0))
+    return _result(F.array(*[F.lit(l) for l in labels]), scores, threshold)
 
 
 _PANDAS_SCORERS: dict[str, Callable] = {}

@@ -50,3 +50,13 @@ def test_text_budget_and_truncate(spark):
                   C.class_text_worker(F.col("title"), F.col("blocks"), 4).alias("w"),
                   C.truncate_words(F.lit("one two  three"), 2).alias("t")).first()
     assert r.s == "t1 t2 a b" and r.w == "t1 t2 a b c x" and r.t == "one two"
+
+
+def test_service_text_splits_up_to_the_budget(spark):
+    """Long blocks aren't split beyond the budget; code is left out; a missing title or content uses the budget up."""
+    rows = [(1, " A  title ", [("paragraph", " one\ttwo "), ("code_block", "code"), (None, "\u00a0three four five"), ("paragraph", "six")]), (2, "t", []), (3, None, [("paragraph", "x")]),
+            (4, "t", [("paragraph", "a"), ("paragraph", None), ("paragraph", "b")]), (5, "t", None), (6, "", [("paragraph", " \n ")])]
+    df = spark.createDataFrame(rows, "i int, title string, blocks array<struct<type:string,content:string>>").select(
+        "i", C.class_text_service(F.col("title"), F.col("blocks"), 5).alias("s"))
+    assert {r.i: r.s for r in df.collect()} == {1: "A title one two three", 2: "t", 3: "", 4: "t a", 5: None, 6: ""}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
