@@ -17,7 +17,8 @@ BLOCK_TYPE = "struct<type:string,content:string,level:int,language:string,items:
 
 def q(s: Column) -> Column:
     """JSON string literal of ``s`` (quotes and escapes from to_json)."""
-    return F.regexp_replace(F.to_json(F.struct(s.alias("v"))), r'^\{"v":|\}$', "")
+    # the value starts after {"v": and ends in a quote, which the brace follows
+    return F.when(s.isNull(), F.lit("{")).otherwise(F.rtrim(F.substring(F.to_json(F.struct(s.alias("v"))), 6, 1 << 30), F.lit("}")))
 
 
 def block_json(b: Column) -> Column:

@@ -51,12 +51,16 @@ def diff_by_content(old: Column, new: Column) -> Column:
     """added/removed by content text (distinct, first-seen order, last
     block of a text wins); modified only at indexes where both texts survive
     on the other side (reordering or type change)."""
-    ok = F.transform(old, lambda b: b["content"])
-    nk = F.transform(new, lambda b: b["content"])
-    removed = F.transform(F.filter(F.array_distinct(ok), lambda k: ~F.array_contains(nk, k)),
-                          lambda k: F.element_at(F.filter(old, lambda b: b["content"] == k), -1))
-    added = F.transform(F.filter(F.array_distinct(nk), lambda k: ~F.array_contains(ok, k)),
-                        lambda k: F.element_at(F.filter(new, lambda b: b["content"] == k), -1))
+    texts = F.struct(F.transform(old, lambda b: b["content"]).alias("ok"), F.transform(new, lambda b: b["content"]).alias("nk"))
+    # the lists of texts are made once, not for every block they are compared with
+    return F.get(F.transform(F.array(texts), lambda t: _diff_of_texts(old, new, t["ok"], t["nk"])), F.lit(0))
+
+
+def _diff_of_texts(old: Column, new: Column, ok: Column, nk: Column) -> Column:
+    def only(one, other, blocks):
+        keys = F.filter(F.array_except(one, other), lambda k: k.isNotNull())
+        return F.transform(keys, lambda k: F.element_at(F.filter(blocks, lambda b: b["content"] == k), -1))
+    removed, added = only(ok, nk, old), only(nk, ok, new)
     m = F.least(F.size(old), F.size(new))
 
     def keep(x):
@@ -73,12 +77,15 @@ def diff_by_content(old: Column, new: Column) -> Column:
 def apply_diff(content: Column, diff: Column) -> Column:
     """Replace modified indexes, drop blocks whose text is in removed,
     append added (not an exact inverse, by design of the format)."""
-    mods = diff["modified"]
-    replaced = F.transform(content, lambda b, i: F.coalesce(
-        F.try_element_at(F.filter(mods, lambda m: m["index"] == i), F.lit(-1))["new"], b))
-    gone = F.transform(diff["removed"], lambda b: b["content"])
-    kept = F.filter(replaced, lambda b: ~F.array_contains(gone, b["content"]))
-    return F.concat(kept, diff["added"])
+    def applied(d):
+        mods = d["d"]["modified"]
+        replaced = F.when(F.size(mods) == 0, content).otherwise(F.transform(content, lambda b, i: F.coalesce(
+            F.try_element_at(F.filter(mods, lambda m: m["index"] == i), F.lit(-1))["new"], b)))
+        kept = F.filter(replaced, lambda b: ~F.array_contains(d["gone"], b["content"]))
+        return F.concat(kept, d["d"]["added"])
+    # the diff and its removed texts are made once, not for every block
+    first = F.transform(F.array(diff), lambda d: F.struct(d.alias("d"), F.transform(d["removed"], lambda b: b["content"]).alias("gone")))
+    return F.get(F.transform(first, applied), F.lit(0))
 
 
 def apply_positional(content: Column, diff: Column) -> Column:

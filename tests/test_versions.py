@@ -77,3 +77,18 @@ def test_versions_follow_code_rules(spark):
     assert [r.result_id for r in v] == [1, 3, 5]
     assert [r.version_number for r in v] == [1, 2, 3]
     assert v[0].change_summary == "Initial snapshot" and v[1].change_summary == "1 block(s) changed"
+
+
+def test_texts_of_a_diff_are_gathered_once(spark):
+    """The blocks' texts are bound before they are compared: no list is made inside a comparison with a block."""
+    n = 300
+
+    def lines(first):
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct(
+            F.lit("paragraph").alias("type"), F.concat(F.lit("line "), (i * 2 + first).cast("string")).alias("content"), F.lit(None).cast("int").alias("level"),
+            F.lit(None).cast("string").alias("language"), F.lit(None).cast("array<string>").alias("items")))
+    df = spark.range(1).select(lines(F.col("id")).alias("old"), lines(F.col("id") + 1).alias("new"))
+    diff = X.diff_by_content(F.col("old"), F.col("new"))
+    got = df.select(diff.alias("d"), X.apply_diff(F.col("old"), diff).alias("a"), "new")
+    assert tuple(got.select(F.size("d.added"), F.size("d.removed"), F.size("d.modified"), F.col("a") == F.col("new")).first()) == (n + 1, n + 1, 0, True)
+    assert "array_contains(transform(" not in got._jdf.queryExecution().analyzed().toString()
