@@ -22,6 +22,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..session import ensure_checkpoint_dir
 
 
+#: Compressed size of the page files that a micro-batch of ``stream_extract`` takes (at least one file).
+EXTRACT_BYTES = 256 << 20
+
+
 def stream_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str:
     """The folder of a stream's sink and checkpoint: the same for the same
     ``run_id``, a new one without."""
@@ -29,15 +33,17 @@ def stream_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str
     return os.path.join(base, "streams", f"{name}-{run_id or uuid.uuid4().hex[:12]}")
 
 
-def read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1, max_bytes: int | None = None) -> DataFrame:
     """Incremental source over one table's files (schema fixed up front,
-    ``maxFilesPerTrigger`` bounds each micro-batch)."""
+    ``maxFilesPerTrigger`` bounds each micro-batch, or ``maxBytesPerTrigger``
+    where ``max_bytes`` is given)."""
     path = os.path.join(sf_dir, f"{table}.parquet")
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader.option("maxFilesPerTrigger", max_files)
     if os.path.isdir(path):
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def run(sdf: DataFrame, name: str, mode: str = "append", batch_fn=None, run_id: str | None = None) -> DataFrame:
@@ -173,11 +179,14 @@ def stream_volume(spark, sf_dir: str) -> DataFrame:
 
 def stream_extract(spark, sf_dir: str) -> DataFrame:
     """Pages stream -> blocks and links (stateless, same Column functions):
-    (page_id, type, pos, content), links with type ``link``."""
+    (page_id, type, pos, content), links with type ``link``. A micro-batch
+    takes files up to ``EXTRACT_BYTES`` and deals their pages over all cores:
+    one file is often one row group, which one task would work through."""
     from ..config import EngineConfig
     from ..operators.blocks import blocks_relational, extract_blocks
     from ..operators.links import extract_links
-    p = read_stream(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = read_stream(spark, sf_dir, "pages", max_bytes=EXTRACT_BYTES).select("page_id", "url", "html")
+    p = p.repartition(4 * spark.sparkContext.defaultParallelism)
     blocks = blocks_relational(extract_blocks(p)).select("page_id", "type", F.col("pos").cast("int").alias("pos"), "content")
     links = extract_links(p, cfg=EngineConfig()).select("page_id", F.lit("link").alias("type"), F.col("pos").cast("int").alias("pos"), F.col("link").alias("content"))
     return run(blocks.unionByName(links), "extract")

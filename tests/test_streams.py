@@ -28,3 +28,14 @@ def test_stateful_versions_across_batches(spark, sf):
                 exp.append((url, r.event_id, v))
     exp = sorted(exp)
     assert sorted(zip(got.url, got.result_id, got.version_number)) == exp
+
+
+def test_extract_takes_many_files_at_once(spark, monkeypatch, tmp_path):
+    rows = [(i, f"https://a.org/{i}", f"<h1>Title {i}</h1><p>Some longer paragraph number {i}.</p><a href='/x{i}'>x</a>") for i in range(5)]
+    for r in rows:
+        spark.createDataFrame([r], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(Z, "stream_dir", lambda *a: str(tmp_path / "stream"))
+    got = Z.stream_extract(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.content) for r in got if r.type == "link") == [(i, f"https://a.org/x{i}") for i in range(5)]
+    assert {r.page_id for r in got if r.type != "link"} == set(range(5))
+    assert [f for f in os.listdir(tmp_path / "stream" / "checkpoint" / "commits") if f.isdigit()] == ["0"]      # one micro-batch
