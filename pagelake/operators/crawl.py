@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .export import new_table
+
+#: Rows of a frontier that are copied to each task; a larger one is dealt by a shuffle, with the edges.
+BROADCAST_FRONTIER = 1_000_000
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int,
@@ -39,11 +43,16 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int,
     frontier = seeds.select("job_id", "url").distinct().withColumn("start_url", F.col("url")).withColumn("depth", F.lit(0))
     frontier = frontier.checkpoint(eager=True)
     seen = frontier.select("job_id", "url", "depth")
-    # The edge table is read at every level: materialise it once (reliable
-    # checkpoint) instead of re-deriving it from the pages per level.
-    e = edges.select(F.col("src"), F.col("dst")).checkpoint(eager=True)
+    # The edge table is read at every level: written once, in columns, instead
+    # of re-derived from the pages per level.
+    path = new_table(spark, "crawl-edges")
+    edges.select("src", "dst").write.parquet(path)
+    e = spark.read.schema(edges.select("src", "dst").schema).parquet(path)
+    size = frontier.count()
     for d in range(max_depth + 1):
-        cand = frontier.select("job_id", "start_url", F.col("url").alias("src")).join(e, "src") \
+        here = frontier.select("job_id", "start_url", F.col("url").alias("src"))
+        # a small frontier goes to the edges, so that these are only scanned
+        cand = e.join(F.broadcast(here) if size <= BROADCAST_FRONTIER else here, "src") \
             .select("job_id", "start_url", "src", F.col("dst").alias("url"))
         if edge_filter is not None:
             cand = edge_filter(cand)
@@ -52,7 +61,8 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int,
                .join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
                .withColumn("depth", F.lit(d + 1)))
         nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
+        size = nxt.count()
+        if not size:
             break
         seen = seen.unionByName(nxt.select("job_id", "url", "depth"))
         if (d + 1) % compact_every == 0:

@@ -28,11 +28,12 @@ CATEGORY_PATTERNS = [{"type": "domain", "pattern": "example.com"}]
 
 
 def part_graph(spark, d):
-    """Bipartite order <-> part graph, nodes named 'o<key>' / 'p<key>'."""
-    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    """Bipartite order <-> part graph, nodes named 'o<key>' / 'p<key>'. Lines are made distinct by their keys, before each
+    becomes two edges."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     o = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
     p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    return li.select(o.alias("src"), p.alias("dst")).unionByName(li.select(p.alias("src"), o.alias("dst"))).distinct()
+    return li.select(o.alias("src"), p.alias("dst")).unionByName(li.select(p.alias("src"), o.alias("dst")))
 
 
 def deep_seeds(spark, d):
