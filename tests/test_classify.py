@@ -60,3 +60,14 @@ def test_service_text_splits_up_to_the_budget(spark):
         "i", C.class_text_service(F.col("title"), F.col("blocks"), 5).alias("s"))
     assert {r.i: r.s for r in df.collect()} == {1: "A title one two three", 2: "t", 3: "", 4: "t a", 5: None, 6: ""}
     assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_response_is_parsed_once(spark):
+    """Each step of a response's parsing stands once in the plan, however often its value is used."""
+    texts = ['{"labels": ["art", "FOOD", "x"], "scores": ["0.2", 3]}', '```json\n{"labels": ["Food"]}\n```', 'so: {"labels": ["art", null], "scores": [null]} ok', "```{}```", "", None, "[1]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", C.llm_parse_labels(C.llm_json_extract(df.t), ["Art", "Food"]).alias("r"))
+    assert [(r.r.labels, r.r.scores, r.r.primary_label, r.r.error) for r in got.orderBy("i").collect()] == [
+        (["Food", "Art"], [1.0, 0.2], "Food", None), (["Food"], [1.0], "Food", None), (["Art"], [1.0], "Art", None), *[([], [], None, "no_json")] * 4]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("get_json_object(") <= 4
