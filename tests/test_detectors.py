@@ -63,3 +63,19 @@ def test_root_elements_end_by_depth(spark):
     df = spark.createDataFrame([(f"<html><body>{h}</body></html>",) for h in ROOTS], "html string")
     got = [next((s for s in r.js.signals if s.startswith("empty_root")), None) for r in D.js_detect(df, "html").collect()]
     assert got == list(ROOTS.values())
+
+
+def test_walls_are_worked_out_once(spark, sf):
+    """What is asked of an outcome doesn't go below the cascade, and its log rows come from one pass."""
+    from pagelake.operators import export as K
+    from pagelake.plans.detectors_q import walls
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ddos-guard")
+    w = walls(spark, sf)
+    o = D.fetch_outcome("http_status", F.col("w"))
+    assert text(w.where(o["outcome"] == "success")) == text(w) > 0
+    rows = [(1, "u", "success", None, ["a", "b"]), (2, "u", "success", "e", []), (3, None, "skip", "e", ["a"]), (4, "u", None, None, None), (None, "u", "success", None, None)]
+    logs = K.outcome_logs(spark.createDataFrame(rows, "job_id int, url string, outcome string, error string, labels array<string>"))
+    assert "Union" not in logs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, logs.collect()), key=str) == sorted([
+        (1, "info", "Scraped successfully → a, b", "u", "scraper"), (1, "info", "Classified as: a, b", "u", "classifier"), (2, "info", "Scraped successfully", "u", "scraper"),
+        (3, "error", "Failed: e", None, "scraper"), (4, "error", "Failed: ?", "u", "scraper"), (None, "info", "Scraped successfully", "u", "scraper")], key=str)
