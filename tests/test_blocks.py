@@ -234,3 +234,23 @@ def test_quoted_brackets(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = [b.content for b in B.extract_blocks(df).first().blocks if b.type == "paragraph"]
     assert got and all(c.startswith("attr text") for c in got)
+
+
+def test_ends_of_a_batch_are_kept_once():
+    """Arrow holds no second copy of a batch's ends, which go into one buffer; null and empty pages, and slices, keep their places."""
+    import pyarrow as pa
+
+    from pagelake.functions.elements_udf import ends_of_pages
+    pages = [["div", "", "/div"], None, [], ["p", "p"]]
+    for shift in (0, 1):
+        got = ends_of_pages(pa.array(pages, pa.list_(pa.string())).slice(shift), True)
+        assert got.to_pylist() == [[3, 2, 3], None, [], [1, 2]][shift:] and got.type == pa.list_(pa.int32())
+    assert ends_of_pages(pa.array([], pa.list_(pa.string())), False).to_pylist() == []
+    keys = pa.array([["div", "p", "", "/div"] * 100] * 2000)
+    pool, default = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        ends = ends_of_pages(keys, True)
+    finally:
+        pa.set_memory_pool(default)
+    assert len(ends.flatten()) == 800_000 and pool.max_memory() < ends.nbytes / 2
