@@ -253,4 +253,15 @@ def test_ends_of_a_batch_are_kept_once():
         ends = ends_of_pages(keys, True)
     finally:
         pa.set_memory_pool(default)
-    assert len(ends.flatten()) == 800_000 and pool.max_memory() < ends.nbytes / 2
+    n, size, most = len(ends.flatten()), ends.nbytes, pool.max_memory()
+    del ends  # before its pool
+    assert n == 800_000 and most < size / 2
+
+
+def test_attributes_are_read_once(spark):
+    """A tag's class, an element's density and a block's even text stand once in the plan, however often they are used."""
+    df = spark.createDataFrame([('<div class="a HLJS">', "x"), ("<p style='font: Courier'>", "a = {b: [1]};  \\n  c = {d: (2)};"), ("<p>", ""), ("<p>", None), (None, "some plain words, quite a few of them")], "o string, t string")
+    got = df.select(B.has_code_class(F.col("o")).alias("k"), B.is_code_by_density(F.col("t")).alias("d"))
+    assert [tuple(r) for r in got.collect()] == [(True, False), (True, True), (False, False), (False, None), (None, False)]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") <= 6 and text.count("regexp_replace(") <= 1
